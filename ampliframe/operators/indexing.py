@@ -1,0 +1,42 @@
+"""Gap-free numbering of a whole table, and joins on hot keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window, functions as F
+
+from ampliframe.session import scratch_dir
+
+# monotonically_increasing_id puts the partition number above this many low bits.
+ROW_BITS = 33
+
+
+def global_index(df: DataFrame, order_by: list[str], name: str) -> DataFrame:
+    """Number rows 0, 1, 2, … in the order of ``order_by`` (a unique key).
+
+    Rows are range-sorted and checkpointed, so the partitions stay as they are; then each
+    row's place is its place inside its partition plus the size of the partitions before.
+    Only one row per partition is windowed, never the table.
+    """
+    scratch_dir(df.sparkSession)
+    places = df.orderBy(*order_by).checkpoint().withColumn("_at", F.monotonically_increasing_id())
+    places = places.select(
+        "*", F.shiftright("_at", ROW_BITS).alias("_part"),
+        F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("_row"))
+    before = (places.groupBy("_part").count()
+              .withColumn("_before", F.sum("count").over(Window.orderBy("_part")) - F.col("count"))
+              .select("_part", "_before"))
+    return (places.join(before, "_part")
+            .withColumn(name, F.col("_row") + F.col("_before"))
+            .select(*df.columns, name))
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 16,
+                how: str = "inner") -> DataFrame:
+    """Equi-join where a key may hold a large share of ``big``.
+
+    The rows of a key of ``big`` spread over ``salts`` tasks by a hash of the whole row; the
+    rows of ``small`` (few per key) are repeated once per salt. No row is lost.
+    """
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
