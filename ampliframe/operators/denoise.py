@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -33,8 +35,23 @@ def _explained(pairs: DataFrame, rates: DataFrame, omega: float) -> DataFrame:
             .withColumn("log_mean", F.col("test.log_mean")).drop("test"))
 
 
-def find_centres(uniques: DataFrame, rates: DataFrame, omega: float = 1e-40,
-                 d_max: int = 6) -> DataFrame:
+@dataclass
+class Prepared:
+    """Uniques with the size of their group, and the abundant ones under all blocking keys."""
+
+    uniques: DataFrame
+    blocks: DataFrame
+    d_max: int
+
+
+def prepare(uniques: DataFrame, d_max: int = 6) -> Prepared:
+    groups = uniques.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("in_group"))
+    sized = persist_stage(uniques.join(groups, GROUP), "uniques")
+    blocks = persist_stage(with_blocks(sized.filter(F.col("n") >= 2), d_max), "blocks")
+    return Prepared(sized, blocks, d_max)
+
+
+def find_centres(prepared: Prepared, rates: DataFrame, omega: float = 1e-40) -> DataFrame:
     """Sequences with n >= 2 that no more abundant centre explains.
 
     Works in rounds. A sequence that is the most abundant undecided one under all its
@@ -43,38 +60,40 @@ def find_centres(uniques: DataFrame, rates: DataFrame, omega: float = 1e-40,
     centres per round. What these explain is decided too. Each round decides at least the
     largest sequence of every sample, in practice all but a few.
     """
-    undecided = persist_stage(with_blocks(uniques.filter(F.col("n") >= 2), d_max), "undecided")
-    centres = None
+    d_max, undecided = prepared.d_max, prepared.blocks
+    rounds = []
     while not undecided.isEmpty():
         winners = undecided.groupBy(*BLOCK).agg(
             F.min(F.struct((-F.col("n")).alias("minus_n"), "sequence")).alias("w"))
         new = persist_stage(
             winners.groupBy(*GROUP, F.col("w.sequence").alias("centre"), (-F.col("w.minus_n")).alias("centre_n"))
             .count().filter(F.col("count") == d_max + 1).drop("count"), "new-centres")
-        centres = new if centres is None else centres.unionByName(new)
+        rounds.append(new)
         rivals = undecided.join(new.select(*GROUP, F.col("centre").alias("sequence")), UNIQUE, "left_anti")
         met = (salted_join(rivals, with_blocks(new, d_max, "centre"), BLOCK)
                .filter(hamming(F.col("sequence"), F.col("centre")) <= d_max))
         explained = _explained(met, rates, omega).select(*UNIQUE).distinct()
         undecided = persist_stage(rivals.join(explained, UNIQUE, "left_anti"), "undecided")
-    if centres is None:
-        return uniques.limit(0).select(*GROUP, F.col("sequence").alias("centre"), F.col("n").alias("centre_n"))
-    return centres
+    if not rounds:
+        return prepared.uniques.limit(0).select(
+            *GROUP, F.col("sequence").alias("centre"), F.col("n").alias("centre_n"))
+    return reduce(DataFrame.unionByName, rounds)
 
 
-def denoise(uniques: DataFrame, rates: DataFrame, omega: float = 1e-40, d_max: int = 6) -> DataFrame:
+def denoise(uniques: DataFrame | Prepared, rates: DataFrame, omega: float = 1e-40,
+            d_max: int = 6) -> DataFrame:
     """Assigns every unique sequence to its centre.
 
     ``uniques(sample_id, direction, sequence, n, quality)``. A unique goes to the centre that
     expects most copies of it among those that explain it; single reads that no centre
     explains are left out. Result: ``sample_id, direction, sequence, n, quality, centre``.
     """
-    groups = uniques.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("in_group"))
-    sized = persist_stage(uniques.join(groups, GROUP), "uniques")
-    centres = persist_stage(find_centres(sized, rates, omega, d_max), "centres")
+    prepared = uniques if isinstance(uniques, Prepared) else prepare(uniques, d_max)
+    sized = prepared.uniques
+    centres = persist_stage(find_centres(prepared, rates, omega), "centres")
     own = centres.select(*GROUP, F.col("centre").alias("sequence"))
     copies = sized.join(own, UNIQUE, "left_anti")
-    best = (_explained(near_pairs(copies, centres, d_max), rates, omega)
+    best = (_explained(near_pairs(copies, centres, prepared.d_max), rates, omega)
             .groupBy(*UNIQUE)
             .agg(F.min(F.struct((-F.col("log_mean")).alias("m"), "centre")).alias("b"),
                  F.first("n").alias("n"), F.first("quality").alias("quality")))
@@ -91,10 +110,11 @@ def learn_error_model(uniques: DataFrame, max_iter: int = 10, omega: float = 1e-
     Only a two-number fingerprint of the assignment and the rate table (16 rows per quality)
     come to the driver.
     """
+    prepared = prepare(uniques, d_max)
     rates = nominal_rates(uniques.sparkSession, q_max)
     last = None
     for _ in range(max_iter):
-        assigned = persist_stage(denoise(uniques, rates, omega, d_max), "assigned")
+        assigned = persist_stage(denoise(prepared, rates, omega), "assigned")
         mark = assigned.agg(F.count(F.lit(1)), F.sum(
             F.xxhash64(*UNIQUE, "centre").cast("decimal(38,0)"))).first()
         if mark == last:

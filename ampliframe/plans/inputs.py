@@ -106,4 +106,4 @@ def derive(spark: SparkSession, sf_dir: str, block: str, name: str) -> DataFrame
 
 def checking_sql(block: str, rest: str) -> str:
     """The block with plain table names, then ``rest`` (further sub-queries or a SELECT)."""
-    return f"WITH {block.format(**{table: table for table in TABLES[block]}).strip()}{rest}"
+    return f"WITH RECURSIVE {block.format(**{table: table for table in TABLES[block]}).strip()}{rest}"

@@ -280,14 +280,48 @@ def _uniques(i) -> DataFrame:
     return persist_stage(rd.rounded_quality(rd.dereplicate(rd.by_direction(i.reads))), "uniques")
 
 
-@query(READS)
+# Candidates one by one in order of abundance: a centre unless an earlier centre explains it.
+# The Poisson tail is summed with lgamma here.
+DENOISE_SQL = """, qs AS (SELECT sample_id, direction, seq, j, sum(ascii(qual[j]) - 33) AS s, count(*) AS n FROM
+  (SELECT *, unnest(range(1, length(qual) + 1)) AS j FROM directed) z GROUP BY ALL),
+u AS (SELECT sample_id, direction, seq AS sequence, max(n) AS n,
+  string_agg(chr(CAST(floor(s / n + 0.5) AS INTEGER) + 33), '' ORDER BY j) AS quality FROM qs GROUP BY 1, 2, 3),
+big AS (SELECT *, row_number() OVER (PARTITION BY sample_id, direction ORDER BY n DESC, sequence) AS r FROM u WHERE n >= 2),
+size AS (SELECT sample_id, direction, CAST(count(*) AS DOUBLE) AS in_group FROM u GROUP BY 1, 2),
+near AS (SELECT u.sample_id, u.direction, u.sequence, u.n, c.sequence AS centre, in_group, CAST(u.n AS DOUBLE) AS a,
+    ln(c.n) + list_sum([ln(CASE WHEN c.sequence[j] = u.sequence[j] THEN 1 - least(pow(10, -(ascii(u.quality[j]) - 33) / 10.0), 0.75)
+      ELSE least(pow(10, -(ascii(u.quality[j]) - 33) / 10.0), 0.75) / 3 END) for j in range(1, length(u.sequence) + 1)]) AS lm
+  FROM u JOIN big c ON u.sample_id = c.sample_id AND u.direction = c.direction AND length(u.sequence) = length(c.sequence)
+    AND (c.n > u.n OR (c.n = u.n AND c.sequence < u.sequence))
+  JOIN size ON size.sample_id = u.sample_id AND size.direction = u.direction WHERE hamming(u.sequence, c.sequence) <= 6),
+tail AS (SELECT *, CASE WHEN n <= 1 OR a <= exp(lm) THEN 0 ELSE least(
+    -exp(lm) + a * lm - lgamma(a + 1) + ln(list_sum([exp(x * lm - lgamma(a + x + 1) + lgamma(a + 1)) for x in range(0, 51)]))
+    - CASE WHEN lm < ln(1e-8) THEN lm ELSE ln(1 - exp(-exp(lm))) END, 0) END AS chance FROM near),
+ok AS (SELECT * FROM tail WHERE chance + ln(in_group) >= ln(1e-40)),
+cand AS (SELECT b.sample_id, b.direction, b.sequence, b.r, coalesce(ex, []) AS ex FROM big b LEFT JOIN
+  (SELECT sample_id, direction, sequence, list(centre) AS ex FROM ok GROUP BY 1, 2, 3) e
+  ON e.sample_id = b.sample_id AND e.direction = b.direction AND e.sequence = b.sequence),
+walk AS (SELECT sample_id, direction, CAST(0 AS BIGINT) AS r, CAST([] AS VARCHAR[]) AS found FROM size
+  UNION ALL SELECT c.sample_id, c.direction, c.r,
+    CASE WHEN list_has_any(found, c.ex) THEN found ELSE list_append(found, c.sequence) END
+  FROM walk JOIN cand c ON c.sample_id = walk.sample_id AND c.direction = walk.direction AND c.r = walk.r + 1),
+centres AS (SELECT sample_id, direction, unnest(found) AS centre FROM (SELECT * FROM walk
+  QUALIFY row_number() OVER (PARTITION BY sample_id, direction ORDER BY r DESC) = 1) w)"""
+
+
+@query(READS, DENOISE_SQL + """ SELECT c.sample_id, c.direction, centre, n AS centre_n FROM centres c
+JOIN big ON big.sample_id = c.sample_id AND big.direction = c.direction AND big.sequence = centre""")
 def find_centres(i):
-    uniques = _uniques(i)
-    groups = uniques.groupBy("sample_id", "direction").agg(F.count(F.lit(1)).alias("in_group"))
-    return dn.find_centres(uniques.join(groups, ["sample_id", "direction"]), errors.nominal_rates(i.spark))
+    return dn.find_centres(dn.prepare(_uniques(i)), errors.nominal_rates(i.spark))
 
 
-@query(READS)
+@query(READS, DENOISE_SQL + """, best AS (SELECT ok.sample_id, ok.direction, ok.sequence, ok.centre FROM ok
+  SEMI JOIN centres c ON c.sample_id = ok.sample_id AND c.direction = ok.direction AND c.centre = ok.centre
+  ANTI JOIN centres d ON d.sample_id = ok.sample_id AND d.direction = ok.direction AND d.centre = ok.sequence
+  QUALIFY row_number() OVER (PARTITION BY ok.sample_id, ok.direction, ok.sequence ORDER BY ok.lm DESC, ok.centre) = 1),
+found AS (SELECT * FROM best UNION ALL SELECT sample_id, direction, centre, centre FROM centres)
+SELECT f.sample_id, f.direction, f.sequence, u.n, u.quality, f.centre FROM found f
+JOIN u ON u.sample_id = f.sample_id AND u.direction = f.direction AND u.sequence = f.sequence""")
 def denoise(i):
     return dn.denoise(_uniques(i), errors.nominal_rates(i.spark))
 
