@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 
 # Phred+33 quality text and the DNA alphabet.
 PHRED_OFFSET = 33
+MAX_QUALITY = 93
 BASES = "ACGT"
 
 
@@ -21,10 +22,10 @@ def phred(qual: Column) -> Column:
 
 
 def expected_errors(qual: Column) -> Column:
-    """Expected number of wrong bases: the sum of 10^(-Q/10)."""
-    return F.aggregate(
-        F.split(qual, ""), F.lit(0.0),
-        lambda total, c: total + F.pow(F.lit(10.0), -(F.ascii(c) - PHRED_OFFSET) / F.lit(10.0)))
+    """Expected number of wrong bases: the sum of 10^(-Q/10), read from a table of all Q."""
+    chances = F.array(*[F.lit(10 ** (-q / 10)) for q in range(MAX_QUALITY + 1)])
+    return F.aggregate(F.split(qual, ""), F.lit(0.0), lambda total, c: total + F.get(
+        chances, F.ascii(c) - PHRED_OFFSET))
 
 
 def quality_prefix_length(qual: Column, trunc_q: int) -> Column:
@@ -40,11 +41,10 @@ def feature_id(seq: Column) -> Column:
 
 def kmers(seq: Column, k: int) -> Column:
     """All overlapping words of length k in order; empty for shorter sequences."""
-    return F.when(
-        F.length(seq) >= k,
-        F.transform(F.sequence(F.lit(1), F.length(seq) - (k - 1)),
-                    lambda i: F.substring(seq, i, F.lit(k)))
-    ).otherwise(F.array().cast("array<string>"))
+    return let(seq, lambda s: F.when(
+        F.length(s) >= k,
+        F.transform(F.sequence(F.lit(1), F.length(s) - (k - 1)), lambda i: F.substring(s, i, F.lit(k)))
+    ).otherwise(F.array().cast("array<string>")))
 
 
 def mismatches(a: Column, b: Column) -> Column:

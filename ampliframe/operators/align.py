@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ampliframe.functions import kmers
+from ampliframe.functions import kmers, let
 from ampliframe.sources.stage import persist_stage
 
 # Scores of the pairwise alignment (our choice), and score cells held at a time in one task.
@@ -133,6 +133,6 @@ def mask_alignment(aln: DataFrame, max_gap_frequency: float = 1.0,
     kept = sorted(r.pos for r in stats.filter(
         (F.col("gaps") / F.col("rows") <= max_gap_frequency)
         & (F.col("top") / F.col("rows") >= min_conservation)).select("pos").collect())
-    places = F.array(*[F.lit(p + 1) for p in kept]).cast("array<int>")
-    return aln.select("feature_id", F.array_join(F.transform(
-        places, lambda p: F.substring(F.col("aligned"), p, F.lit(1))), "").alias("aligned"))
+    places = F.array(*[F.lit(p) for p in kept]).cast("array<int>")
+    return aln.select("feature_id", let(F.split("aligned", ""), lambda bases: F.array_join(
+        F.transform(places, lambda p: F.get(bases, p)), "")).alias("aligned"))

@@ -6,28 +6,27 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ampliframe.functions import feature_id, hamming, let, reverse_complement
 from ampliframe.operators.errors import (
-    estimate_rates, log_likelihood, log_rate_table, log_surplus_chance, nominal_rates,
+    RateTable, estimate_rates, log_likelihood, log_rate_table, log_surplus_chance, nominal_rates,
     transition_counts)
-from ampliframe.operators.indexing import salted_join
+from ampliframe.operators.partitioning import salted_join
 from ampliframe.operators.near import BLOCK, GROUP, near_pairs, with_blocks
 from ampliframe.sources.stage import persist_stage
 
 UNIQUE = [*GROUP, "sequence"]
 
 
-def _explained(pairs: DataFrame, rates: DataFrame, omega: float) -> DataFrame:
+def _explained(pairs: DataFrame, table: RateTable, omega: float) -> DataFrame:
     """Pairs (unique, more abundant centre) in which the unique's count is no surprise.
 
     ``in_group`` is the number of uniques of the sample and direction.
     """
-    table, q_max = log_rate_table(rates)
     more = (F.col("centre_n") > F.col("n")) | (
         (F.col("centre_n") == F.col("n")) & (F.col("centre") < F.col("sequence")))
-    log_lambda = log_likelihood(F.col("centre"), F.col("sequence"), F.col("quality"), table, q_max)
+    log_lambda = log_likelihood(F.col("centre"), F.col("sequence"), F.col("quality"), table)
     test = let(F.ln("centre_n") + log_lambda, lambda m: F.struct(
         m.alias("log_mean"), log_surplus_chance(F.col("n"), F.exp(m)).alias("log_chance")))
     return (pairs.filter(more).withColumn("test", test)
@@ -51,7 +50,7 @@ def prepare(uniques: DataFrame, d_max: int = 6) -> Prepared:
     return Prepared(sized, blocks, d_max)
 
 
-def find_centres(prepared: Prepared, rates: DataFrame, omega: float = 1e-40) -> DataFrame:
+def find_centres(prepared: Prepared, rates: DataFrame | RateTable, omega: float = 1e-40) -> DataFrame:
     """Sequences with n >= 2 that no more abundant centre explains.
 
     Works in rounds. A sequence that is the most abundant undecided one under all its
@@ -60,6 +59,7 @@ def find_centres(prepared: Prepared, rates: DataFrame, omega: float = 1e-40) ->
     centres per round. What these explain is decided too. Each round decides at least the
     largest sequence of every sample, in practice all but a few.
     """
+    table = rates if isinstance(rates, RateTable) else log_rate_table(rates)
     d_max, undecided = prepared.d_max, prepared.blocks
     rounds = []
     while not undecided.isEmpty():
@@ -72,7 +72,7 @@ def find_centres(prepared: Prepared, rates: DataFrame, omega: float = 1e-40) ->
         rivals = undecided.join(new.select(*GROUP, F.col("centre").alias("sequence")), UNIQUE, "left_anti")
         met = (salted_join(rivals, with_blocks(new, d_max, "centre"), BLOCK)
                .filter(hamming(F.col("sequence"), F.col("centre")) <= d_max))
-        explained = _explained(met, rates, omega).select(*UNIQUE).distinct()
+        explained = _explained(met, table, omega).select(*UNIQUE).distinct()
         undecided = persist_stage(rivals.join(explained, UNIQUE, "left_anti"), "undecided")
     if not rounds:
         return prepared.uniques.limit(0).select(
@@ -89,11 +89,11 @@ def denoise(uniques: DataFrame | Prepared, rates: DataFrame, omega: float = 1e-4
     explains are left out. Result: ``sample_id, direction, sequence, n, quality, centre``.
     """
     prepared = uniques if isinstance(uniques, Prepared) else prepare(uniques, d_max)
-    sized = prepared.uniques
-    centres = persist_stage(find_centres(prepared, rates, omega), "centres")
+    sized, table = prepared.uniques, log_rate_table(rates)
+    centres = persist_stage(find_centres(prepared, table, omega), "centres")
     own = centres.select(*GROUP, F.col("centre").alias("sequence"))
     copies = sized.join(own, UNIQUE, "left_anti")
-    best = (_explained(near_pairs(copies, centres, prepared.d_max), rates, omega)
+    best = (_explained(near_pairs(copies, centres, prepared.d_max), table, omega)
             .groupBy(*UNIQUE)
             .agg(F.min(F.struct((-F.col("log_mean")).alias("m"), "centre")).alias("b"),
                  F.first("n").alias("n"), F.first("quality").alias("quality")))
@@ -183,14 +183,15 @@ def flag_bimeras(asv: DataFrame, min_fold: float = 1.0) -> DataFrame:
     """
     if min_fold < 1:
         raise ValueError("a parent is more abundant than its child: min_fold must be at least 1")
-    length = F.length("sequence")
-    cuts = F.inline(F.transform(F.sequence(F.lit(0), length), lambda b: F.struct(
-        b.alias("cut"),
-        F.md5(F.left(F.col("sequence"), b)).alias("start"),
-        F.md5(F.right(F.col("sequence"), F.col("len") - b)).alias("rest"))))
-    split = asv.withColumn("len", length).select(
-        "sample_id", F.md5("sequence").alias("id"), "n", "len", cuts)
-    split = split.withColumn("rest_len", F.col("len") - F.col("cut"))
+    def mark(text: Column) -> Column:
+        """128 bits that stand for a text."""
+        return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+    cuts = let(F.col("sequence"), lambda s: F.transform(
+        F.sequence(F.lit(0), F.length(s)), lambda b: F.struct(
+            b.alias("cut"), (F.length(s) - b).alias("rest_len"), mark(F.left(s, b)).alias("start"),
+            mark(F.substring(s, b + 1, F.length(s))).alias("rest"))))
+    split = asv.select("sample_id", mark(F.col("sequence")).alias("id"), "n", F.inline(cuts))
 
     def top_two(size: str, text: str, name: str) -> DataFrame:
         group = ["sample_id", size, text]
@@ -216,7 +217,7 @@ def flag_bimeras(asv: DataFrame, min_fold: float = 1.0) -> DataFrame:
             two_parents = two_parents | (fits(s) & fits(e) & (F.col(f"{s}.id") != F.col(f"{e}.id")))
     flagged = (at_cut.filter(two_parents).select("sample_id", "id").distinct()
                .withColumn("bimera", F.lit(True)))
-    return (asv.withColumn("id", F.md5("sequence")).join(flagged, ["sample_id", "id"], "left")
+    return (asv.withColumn("id", mark(F.col("sequence"))).join(flagged, ["sample_id", "id"], "left")
             .select("sample_id", "sequence", "n", F.coalesce("bimera", F.lit(False)).alias("bimera")))
 
 

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ampliframe.functions.sequence import BASES, PHRED_OFFSET, let
-from ampliframe.schema import ERROR_RATES
+from ampliframe.functions.sequence import BASES, MAX_QUALITY, PHRED_OFFSET, let
 
 # Terms of the tail series; the published test works at 1e-40.
 SERIES_TERMS = 50
-Q_LIMIT = 93
 
 
 def nominal_rates(spark: SparkSession, q_max: int = 45) -> DataFrame:
@@ -19,10 +18,12 @@ def nominal_rates(spark: SparkSession, q_max: int = 45) -> DataFrame:
 
     Scores 0 and 1 claim more errors than a random base has; they count as random.
     """
-    wrong = [min(10 ** (-q / 10), 0.75) for q in range(q_max + 1)]
-    rows = [(a, b, q, 1 - wrong[q] if a == b else wrong[q] / 3)
-            for a in BASES for b in BASES for q in range(q_max + 1)]
-    return spark.createDataFrame(rows, ERROR_RATES)
+    bases = F.split(F.lit(BASES), "")
+    grid = (spark.range(q_max + 1).select(F.col("id").cast("int").alias("q"), F.explode(bases).alias("from_base"))
+            .select("*", F.explode(bases).alias("to_base")))
+    wrong = F.least(F.pow(F.lit(10.0), -F.col("q") / 10), F.lit(0.75))
+    rate = F.when(F.col("from_base") == F.col("to_base"), 1 - wrong).otherwise(wrong / 3)
+    return grid.select("from_base", "to_base", "q", rate.alias("rate"))
 
 
 def transition_counts(assigned: DataFrame, centre: str = "centre", sequence: str = "sequence",
@@ -51,27 +52,34 @@ def estimate_rates(counts: DataFrame, q_max: int = 45, reach: int = 2) -> DataFr
     return smoothed.select("from_base", "to_base", "q", (F.col("s") / F.sum("s").over(row)).alias("rate"))
 
 
-def log_rate_table(rates: DataFrame) -> tuple[Column, int]:
-    """The rate table as one literal array (at most 16 x 94 numbers) and its q range."""
-    rows = rates.limit(16 * (Q_LIMIT + 1) + 1).collect()
-    if len(rows) > 16 * (Q_LIMIT + 1):
+@dataclass
+class RateTable:
+    """ln of the rates as one literal array, by (from, to, q)."""
+
+    values: Column
+    q_max: int
+
+
+def log_rate_table(rates: DataFrame) -> RateTable:
+    """Brings the rates (at most 16 x 94 rows) into an expression."""
+    rows = rates.limit(16 * (MAX_QUALITY + 1) + 1).collect()
+    if len(rows) > 16 * (MAX_QUALITY + 1):
         raise ValueError("more rates than base pairs and qualities")
     q_max = max(r.q for r in rows)
     by_key = {(r.from_base, r.to_base, r.q): r.rate for r in rows}
     values = [math.log(by_key[a, b, q]) for a in BASES for b in BASES for q in range(q_max + 1)]
-    return F.array(*[F.lit(v) for v in values]), q_max
+    return RateTable(F.expr(f"array({', '.join(f'{v!r}D' for v in values)})"), q_max)
 
 
-def log_likelihood(centre: Column, sequence: Column, quality: Column,
-                   table: Column, q_max: int) -> Column:
+def log_likelihood(centre: Column, sequence: Column, quality: Column, table: RateTable) -> Column:
     """ln of the chance that a read of ``centre`` comes out as ``sequence``."""
     places = F.arrays_zip(F.split(centre, "").alias("f"), F.split(sequence, "").alias("t"),
                           F.split(quality, "").alias("q"))
 
     def term(p: Column) -> Column:
-        q = F.least(F.ascii(p["q"]) - PHRED_OFFSET, F.lit(q_max))
+        q = F.least(F.ascii(p["q"]) - PHRED_OFFSET, F.lit(table.q_max))
         pair = (F.instr(F.lit(BASES), p["f"]) - 1) * 4 + F.instr(F.lit(BASES), p["t"]) - 1
-        return F.get(table, pair * (q_max + 1) + q)
+        return F.get(table.values, pair * (table.q_max + 1) + q)
 
     return F.aggregate(places, F.lit(0.0), lambda total, p: total + term(p))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ampliframe.functions import mismatches
-from ampliframe.operators.indexing import salted_join
+from ampliframe.operators.partitioning import salted_join
 
 GROUP = ["sample_id", "direction"]
 BLOCK = [*GROUP, "len", "stride", "text"]

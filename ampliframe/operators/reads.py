@@ -181,9 +181,8 @@ def remove_contaminants(pairs: DataFrame, contaminants: DataFrame, key: list[str
     Only fragments with a shared word reach the shuffles, so clean reads are never moved.
     """
     words = contaminants.select(F.explode(kmers(F.col("sequence"), k)).alias("_w")).distinct()
-    hit = (pairs.select(*key, F.explode(F.array_distinct(F.flatten(F.array(
-               *[kmers(F.col(c), k) for c in columns])))).alias("_w"))
-           .join(words, "_w")
+    hit = (pairs.select(*key, F.explode(F.concat(*[kmers(F.col(c), k) for c in columns])).alias("_w"))
+           .join(words, "_w").distinct()
            .groupBy(*key).agg(F.count(F.lit(1)).alias("hits"))
            .filter(F.col("hits") >= min_hits))
     return pairs.join(hit, key, "left_anti")

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ampliframe.sources.stage import persist_stage
+
 READS = """
 e AS (SELECT event_id, concat('S', cast(user_id % 12 AS string)) AS sample_id,
         cast(floor(sqrt(event_id % 400)) AS int) AS k FROM {events}),
@@ -98,10 +100,28 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_imported: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def derive(spark: SparkSession, sf_dir: str, block: str, name: str) -> DataFrame:
-    """The named sub-query of a block over the tables of ``sf_dir``."""
-    return spark.sql(f"WITH {block} SELECT * FROM {name}",
-                     **{table: load(spark, sf_dir, table) for table in TABLES[block]})
+    """The named sub-query of a block over the tables of ``sf_dir``.
+
+    Read tables are imported once per session and stored, as a sequencing run would be;
+    queries then read the stored columns they need.
+    """
+    tables = {table: load(spark, sf_dir, table) for table in TABLES[block]}
+    if block is READS:
+        key = (spark.sparkContext.applicationId, sf_dir, name)
+        if key not in _imported:
+            rows = spark.sql(f"WITH {block} SELECT * FROM {name}", **tables)
+            # An input of fewer splits than cores is stored in as many parts as there are
+            # cores; a larger one keeps its own splits.
+            cores = spark.sparkContext.defaultParallelism
+            if tables["events"].rdd.getNumPartitions() < cores:
+                rows = rows.repartition(cores)
+            _imported[key] = persist_stage(rows, f"import-{name}")
+        return _imported[key]
+    return spark.sql(f"WITH {block} SELECT * FROM {name}", **tables)
 
 
 def checking_sql(block: str, rest: str) -> str:

@@ -208,18 +208,18 @@ cons AS (SELECT sequence, CAST(sum(CAST(bimera AS BIGINT)) AS BIGINT) AS flagged
 
 @query(READS, BIMERA_SQL + " SELECT sample_id, sequence, n, bimera FROM flags")
 def flag_bimeras(i):
-    return dn.flag_bimeras(persist_stage(i.asv, "asv"))
+    return dn.flag_bimeras(i.asv)
 
 
 @query(READS, BIMERA_SQL + " SELECT * FROM cons")
 def consensus_bimeras(i):
-    return dn.consensus_bimeras(dn.flag_bimeras(persist_stage(i.asv, "asv")))
+    return dn.consensus_bimeras(dn.flag_bimeras(i.asv))
 
 
 @query(READS, BIMERA_SQL + """ SELECT md5(sequence) AS feature_id, sample_id, CAST(sum(n) AS BIGINT) AS frequency
 FROM asv ANTI JOIN cons USING (sequence) GROUP BY 1, 2""")
 def chimera_free_table(i):
-    asv = persist_stage(i.asv, "asv")
+    asv = i.asv
     return dn.make_feature_table(dn.remove_bimeras(asv, dn.consensus_bimeras(dn.flag_bimeras(asv))))
 
 
