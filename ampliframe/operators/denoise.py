@@ -204,8 +204,10 @@ def flag_bimeras(asv: DataFrame, min_fold: float = 1.0) -> DataFrame:
                      F.max(F.when(F.col("r") == 2, F.struct("id", "n"))).alias(f"{name}2"))
                 .filter(F.col(f"{name}2").isNotNull()))
 
-    at_cut = (split.join(top_two("cut", "start", "s"), ["sample_id", "cut", "start"])
-              .join(top_two("rest_len", "rest", "e"), ["sample_id", "rest_len", "rest"]))
+    # Sort-merge joins, which are split where skewed: the cut rows are many times more than
+    # Spark's size estimate says.
+    at_cut = (split.join(top_two("cut", "start", "s").hint("merge"), ["sample_id", "cut", "start"])
+              .join(top_two("rest_len", "rest", "e").hint("merge"), ["sample_id", "rest_len", "rest"]))
     need = F.lit(float(min_fold)) * F.col("n")
 
     def fits(parent: str):

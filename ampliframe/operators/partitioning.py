@@ -36,7 +36,23 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int =
 
     The rows of a key of ``big`` spread over ``salts`` tasks by a hash of the whole row; the
     rows of ``small`` (few per key) are repeated once per salt. No row is lost.
+
+    A sort-merge join is asked for: Spark's size estimate does not see how far the rows were
+    multiplied before, and might broadcast far more than its threshold.
     """
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
+    return salted.join(spread.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+
+
+# Above this many rows a small side is not broadcast.
+BROADCAST_ROWS = 4_000_000
+
+
+def join_small(big: DataFrame, small: DataFrame, keys: list[str],
+               broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join with a side that should be small: broadcast if its counted rows are within
+    the limit, else salted. ``small`` should be a stored table, since it is counted first."""
+    if small.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return big.join(F.broadcast(small), keys)
+    return salted_join(big, small, keys)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ampliframe.functions import expected_errors, kmers, quality_prefix_length
 from ampliframe.functions.sequence import PHRED_OFFSET
+from ampliframe.operators.partitioning import join_small
+from ampliframe.sources.stage import persist_stage
 
 # The seven fractions of the summary tables.
 SUMMARY_FRACTIONS = [0.02, 0.09, 0.25, 0.5, 0.75, 0.91, 0.98]
@@ -180,9 +182,12 @@ def remove_contaminants(pairs: DataFrame, contaminants: DataFrame, key: list[str
 
     Only fragments with a shared word reach the shuffles, so clean reads are never moved.
     """
-    words = contaminants.select(F.explode(kmers(F.col("sequence"), k)).alias("_w")).distinct()
-    hit = (pairs.select(*key, F.explode(F.concat(*[kmers(F.col(c), k) for c in columns])).alias("_w"))
-           .join(words, "_w").distinct()
+    words = persist_stage(
+        contaminants.select(F.explode(kmers(F.col("sequence"), k)).alias("_w")).distinct(), "bad-words")
+    own = pairs.select(*key, F.explode(F.concat(*[kmers(F.col(c), k) for c in columns])).alias("_w"))
+    hit = (join_small(own, words, ["_w"]).distinct()
            .groupBy(*key).agg(F.count(F.lit(1)).alias("hits"))
-           .filter(F.col("hits") >= min_hits))
+           .filter(F.col("hits") >= min_hits).select(*key))
+    # Stored, so that Spark knows how few they are before it plans the anti join.
+    hit = persist_stage(hit, "contaminated")
     return pairs.join(hit, key, "left_anti")

@@ -9,14 +9,19 @@ from ampliframe.operators.lookup import attach_metadata, semi_keep
 from ampliframe.operators.reshape import to_wide
 
 
-def keep_features(taxonomy: DataFrame, include: str | None = None, exclude: str | None = None,
-                  mode: str = "contains") -> DataFrame:
-    """Ids of features whose lineage has an include term and no exclude term."""
+def filter_taxonomy(taxonomy: DataFrame, include: str | None = None, exclude: str | None = None,
+                    mode: str = "contains") -> DataFrame:
+    """Rows whose lineage has an include term and no exclude term."""
     wanted, unwanted = parse_terms(include), parse_terms(exclude)
     keep: Column = matches_any(F.col("taxon"), wanted, mode) if wanted else F.lit(True)
     if unwanted:
         keep = keep & ~matches_any(F.col("taxon"), unwanted, mode)
-    return taxonomy.filter(keep).select("feature_id")
+    return taxonomy.filter(keep)
+
+
+def keep_features(taxonomy: DataFrame, include: str | None = None, exclude: str | None = None,
+                  mode: str = "contains") -> DataFrame:
+    return filter_taxonomy(taxonomy, include, exclude, mode).select("feature_id")
 
 
 def require_taxonomy(df: DataFrame, taxonomy: DataFrame) -> None:

@@ -357,17 +357,18 @@ def train_taxonomy_nb(i):
     return classify.log_ratios(counts).select("taxon", "kmer", "n", r6("log_p"), r6("log_absent"))
 
 
-NB_SQL = """, c AS (SELECT taxon, substr(sequence, j, 7) AS kmer, count(*) AS n FROM
+NB_ON = """, c AS (SELECT taxon, substr(sequence, j, 7) AS kmer, count(*) AS n FROM
   (SELECT taxon, sequence, unnest(range(1, length(sequence) - 5)) AS j FROM ref_tax) z GROUP BY 1, 2),
 tot AS (SELECT taxon, CAST(sum(n) AS DOUBLE) AS total FROM c GROUP BY 1),
 fk AS (SELECT feature_id, substr(sequence, j, 7) AS kmer, count(*) AS m FROM
-  (SELECT feature_id, sequence, unnest(range(1, length(sequence) - 5)) AS j FROM unique_seqs) z GROUP BY 1, 2),
+  (SELECT feature_id, sequence, unnest(range(1, length(sequence) - 5)) AS j FROM {features}) z GROUP BY 1, 2),
 hits AS (SELECT feature_id, taxon, sum(m * (ln(n + 0.001) - ln(0.001))) AS gain FROM fk JOIN c USING (kmer) GROUP BY 1, 2),
 sc AS (SELECT u.feature_id, tot.taxon, -ln((SELECT count(*) FROM tot))
     + (length(u.sequence) - 6) * (ln(0.001) - ln(total + 0.001 * 16384)) + coalesce(gain, 0) AS score
-  FROM unique_seqs u CROSS JOIN tot LEFT JOIN hits ON u.feature_id = hits.feature_id AND tot.taxon = hits.taxon),
+  FROM {features} u CROSS JOIN tot LEFT JOIN hits ON u.feature_id = hits.feature_id AND tot.taxon = hits.taxon),
 ex AS (SELECT *, exp(score - max(score) OVER (PARTITION BY feature_id)) AS e FROM sc),
 post AS (SELECT feature_id, taxon, score, e / sum(e) OVER (PARTITION BY feature_id) AS posterior FROM ex)"""
+NB_SQL = NB_ON.format(features="unique_seqs")
 
 
 def _model(i) -> classify.TaxonomyModel:
@@ -397,9 +398,18 @@ def assign_taxonomy(i):
     return classify.assign_taxonomy(i.unique_seqs, _model(i)).select("feature_id", "taxon", r6("confidence"))
 
 
-@query(READS)
+@query(READS, """, probe AS (SELECT * FROM unique_seqs ORDER BY md5(feature_id), feature_id LIMIT 100),
+strands AS (SELECT concat('+', feature_id) AS feature_id, sequence FROM probe
+  UNION ALL SELECT concat('-', feature_id), reverse(translate(sequence, 'ACGT', 'TGCA')) FROM probe)"""
+       + NB_ON.format(features="strands") + """,
+means AS (SELECT left(feature_id, 1) AS strand, avg(m) AS mean_confidence, count(*) AS n FROM
+  (SELECT feature_id, max(posterior) AS m FROM post GROUP BY 1) z GROUP BY 1)
+SELECT strand, ROUND(mean_confidence, 6) AS mean_confidence, n,
+  mean_confidence = (SELECT max(mean_confidence) FROM means) AS chosen FROM means""")
 def detect_orientation(i):
-    return classify.detect_orientation(i.unique_seqs, _model(i))
+    """The sample of 100 sequences is the operator's own."""
+    return classify.detect_orientation(i.unique_seqs, _model(i)).withColumn(
+        "mean_confidence", F.round("mean_confidence", 6))
 
 
 CENTRE_SQL = "(SELECT sequence FROM unique_seqs ORDER BY n DESC, feature_id LIMIT 1)"
@@ -509,7 +519,8 @@ def filter_table_first_pass(i):
 
 @query(TABLE, " SELECT * FROM pass2")
 def filter_table_both_passes(i):
-    return wf.remove_organelles(i.ft, i.tax)
+    once = tx.filter_table_by_taxon(i.ft, i.tax, wf.INCLUDE, wf.EXCLUDE_FIRST)
+    return tx.filter_table_by_taxon(once, i.tax, wf.INCLUDE, wf.EXCLUDE_SECOND, missing="drop")
 
 
 @query(TABLE, """ SELECT ft.* FROM ft JOIN tax USING (feature_id)
@@ -524,7 +535,16 @@ WHERE contains(lower(taxon), 'd_') AND NOT (contains(lower(taxon), 'archaea') OR
 def filter_seqs(i):
     seqs = load(i.spark, i.sf_dir, "part").select(
         F.col("p_partkey").cast("string").alias("feature_id"), F.col("p_name").alias("sequence"))
-    return wf.remove_organelle_seqs(seqs, i.tax)
+    return wf.remove_organelles(seqs, i.tax)
+
+
+@query(TABLE, """ SELECT feature_id, p_name AS sequence FROM part JOIN tax ON CAST(p_partkey AS VARCHAR) = feature_id
+WHERE contains(lower(taxon), 'd_') AND NOT (contains(lower(taxon), 'archaea') OR contains(lower(taxon), 'mitochondra')
+  OR contains(lower(taxon), 'chloroplast') OR contains(lower(taxon), 'unassigned'))""")
+def filter_seqs_first_pass(i):
+    seqs = load(i.spark, i.sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("feature_id"), F.col("p_name").alias("sequence"))
+    return tx.filter_seqs_by_taxon(seqs, i.tax, wf.INCLUDE, wf.EXCLUDE_FIRST)
 
 
 @query(TABLE, " SELECT ft.* FROM ft WHERE feature_id NOT IN (SELECT feature_id FROM pass2)")

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ampliframe.operators import denoise as dn
 from ampliframe.operators.classify import TaxonomyModel, assign_taxonomy
-from ampliframe.operators.lookup import match_lookup
+from ampliframe.operators.lookup import match_lookup, semi_keep
 from ampliframe.operators.reads import (
     by_direction, dereplicate, filter_expected_errors, remove_contaminants, rounded_quality,
     sample_reads, trim_truncate, truncate_at_quality)
 from ampliframe.operators.taxa import (
-    collapse_taxa, filter_seqs_by_taxon, filter_table_by_taxon, relative_abundance)
+    collapse_taxa, filter_taxonomy, relative_abundance, require_taxonomy)
 from ampliframe.sources.sinks import TSV_COMMENT, write_table
 from ampliframe.sources.stage import persist_stage
 
@@ -69,24 +69,30 @@ def reads_to_counts(pairs: DataFrame, contaminants: DataFrame | None = None, key
     return Counts(dn.make_feature_table(clean), dn.rep_seqs(clean), stats)
 
 
-def remove_organelles(ft: DataFrame, taxonomy: DataFrame, missing: str = "error") -> DataFrame:
-    """Both filter passes on the counts."""
-    once = filter_table_by_taxon(ft, taxonomy, INCLUDE, EXCLUDE_FIRST, missing=missing)
-    return filter_table_by_taxon(once, taxonomy, INCLUDE, EXCLUDE_SECOND, missing="drop")
+def organelle_free(taxonomy: DataFrame) -> DataFrame:
+    """Both filter passes as one condition on the lineages; counts and sequences share it."""
+    return filter_taxonomy(filter_taxonomy(taxonomy, INCLUDE, EXCLUDE_FIRST), INCLUDE, EXCLUDE_SECOND)
 
 
-def remove_organelle_seqs(seqs: DataFrame, taxonomy: DataFrame, missing: str = "error") -> DataFrame:
-    once = filter_seqs_by_taxon(seqs, taxonomy, INCLUDE, EXCLUDE_FIRST, missing=missing)
-    return filter_seqs_by_taxon(once, taxonomy, INCLUDE, EXCLUDE_SECOND, missing="drop")
+def remove_organelles(features: DataFrame, taxonomy: DataFrame, missing: str = "error") -> DataFrame:
+    """Counts, or sequences, without the features that either filter pass removes."""
+    if missing == "error":
+        require_taxonomy(features, taxonomy)
+    return semi_keep(features, organelle_free(taxonomy))
 
 
 def composition(ft: DataFrame, taxonomy: DataFrame, level: int = 2, missing: str = "error") -> DataFrame:
-    """Share of each taxon in each sample after the two filter passes."""
-    return relative_abundance(collapse_taxa(remove_organelles(ft, taxonomy, missing), taxonomy, level))
+    """Share of each taxon in each sample after the two filter passes.
+
+    Joining the filtered lineages filters the counts too, so one join does both.
+    """
+    if missing == "error":
+        require_taxonomy(ft, taxonomy)
+    return relative_abundance(collapse_taxa(ft, organelle_free(taxonomy), level))
 
 
 def classify_counts(counts: Counts, model: TaxonomyModel, confidence: float = 0.7) -> DataFrame:
-    return assign_taxonomy(counts.sequences, model, confidence)
+    return assign_taxonomy(counts.sequences, model, confidence, orientation="auto")
 
 
 def export_with_taxonomy(wide: DataFrame, taxonomy: DataFrame, path: str, id_col: str = "#OTU ID") -> None:

@@ -40,7 +40,12 @@ def log_tail(n, mean):
     return min(value - (math.log(mean) if mean < 1e-8 else math.log(-math.expm1(-mean))), 0.0)
 
 
-def brute_force(uniques, omega, d_max):
+def nominal(a, b, q):
+    wrong = min(10 ** (-q / 10), 0.75)
+    return 1 - wrong if a == b else wrong / 3
+
+
+def brute_force(uniques, omega, d_max, rate=nominal):
     groups = {}
     for sample, direction, seq, n, qual in uniques:
         groups.setdefault((sample, direction), []).append((seq, n, qual))
@@ -54,9 +59,7 @@ def brute_force(uniques, omega, d_max):
             for c, cn in pool:
                 if not (cn > n or (cn == n and c < seq)) or sum(a != b for a, b in zip(c, seq)) > d_max:
                     continue
-                lm = math.log(cn) + sum(
-                    math.log(1 - 10 ** (-(ord(q) - 33) / 10) if a == b else 10 ** (-(ord(q) - 33) / 10) / 3)
-                    for a, b, q in zip(c, seq, qual))
+                lm = math.log(cn) + sum(math.log(rate(a, b, ord(q) - 33)) for a, b, q in zip(c, seq, qual))
                 if log_tail(n, math.exp(lm)) >= bar:
                     yield -lm, c
 
@@ -83,6 +86,28 @@ def test_denoise_equals_brute_force(spark, seed, omega, d_max):
     assert 0 < len(set(expected.values())) < len(expected) <= len(uniques)
 
 
+@pytest.mark.parametrize("seed", [7, 8])
+def test_learned_rates_equal_brute_force(spark, seed):
+    uniques, omega, d_max, top = random_uniques(seed), 1e-6, 4, 45
+    rate, last = nominal, None
+    for _ in range(10):
+        assigned = brute_force(uniques, omega, d_max, rate)
+        if assigned == last:
+            break
+        last, counts = assigned, {}
+        for s, d, seq, n, qual in uniques:
+            centre = assigned.get((s, d, seq))
+            for a, b, q in zip(centre or "", seq, qual):
+                counts[a, b, ord(q) - 33] = counts.get((a, b, ord(q) - 33), 0) + n
+        smooth = {(a, b, q): 1 + sum(counts.get((a, b, p), 0) for p in range(q - 2, q + 3))
+                  for a in "ACGT" for b in "ACGT" for q in range(top + 1)}
+        table = {(a, b, q): v / sum(smooth[a, x, q] for x in "ACGT") for (a, b, q), v in smooth.items()}
+        rate = lambda a, b, q, table=table: table[a, b, q]
+    got = dn.learn_error_model(spark.createDataFrame(uniques, UNIQUE), 10, omega, d_max, top)
+    for r in got.collect():
+        assert abs(r.rate - rate(r.from_base, r.to_base, r.q)) < 1e-12
+
+
 def test_near_pairs_equal_brute_force(spark):
     uniques = random_uniques(5, 23)
     df = spark.createDataFrame(uniques, UNIQUE)
