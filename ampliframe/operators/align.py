@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ampliframe.functions import kmers, let
 from ampliframe.sources.stage import persist_stage
@@ -57,7 +57,7 @@ def _align_batch(texts: list[str], centre: str) -> list[dict]:
     aligned = []
     for n, text in enumerate(texts):
         i, j = len(centre), len(text)
-        bases, inserts = [""] * len(centre), [""] * (len(centre) + 1)
+        bases, inserts = ["-"] * len(centre), {}
         while i or j:
             here = scores[i][n, j]
             if i and j and here == scores[i - 1][n, j - 1] + (MATCH if centre[i - 1] == text[j - 1] else MISMATCH):
@@ -65,21 +65,20 @@ def _align_batch(texts: list[str], centre: str) -> list[dict]:
                 bases[i] = text[j]
             elif i and here == scores[i - 1][n, j] + GAP:
                 i -= 1
-                bases[i] = "-"
             else:
                 j -= 1
-                inserts[i] = text[j] + inserts[i]
-        aligned.append({"bases": bases, "inserts": inserts})
+                inserts[i] = text[j] + inserts.get(i, "")
+        aligned.append({"bases": "".join(bases), "inserts": [
+            {"place": place, "text": inserts[place]} for place in sorted(inserts)]})
     return aligned
 
 
-PAIRWISE = T.StructType([T.StructField("bases", T.ArrayType(T.StringType())),
-                         T.StructField("inserts", T.ArrayType(T.StringType()))])
+PAIRWISE = "bases string, inserts array<struct<place: int, text: string>>"
 
 
 def align_to(seqs: DataFrame, centre: str) -> DataFrame:
     """Pairwise alignment of every sequence to the centre: the base (or ``-``) at each centre
-    place, and the text inserted before each place and at the end."""
+    place, and the texts inserted before a place (or at the end)."""
     @F.pandas_udf(PAIRWISE)
     def pairwise(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -105,13 +104,22 @@ def star_align(seqs: DataFrame, centre: str) -> DataFrame:
     """Multiple alignment by one centre. Each gap before a centre place is as wide as the
     longest insert there, so all results have one length; removing ``-`` gives the input."""
     pairs = persist_stage(align_to(seqs, centre), "pairwise")
-    longest = (pairs.select(F.posexplode("inserts").alias("place", "text")).filter(F.col("text") != "")
-               .groupBy("place").agg(F.max(F.length("text")).alias("w")).collect())
-    by_place = {r.place: r.w for r in longest}  # at most one entry per place of the centre
-    widths = F.array(*[F.lit(by_place.get(i, 0)) for i in range(len(centre) + 1)])
-    padded = F.zip_with("inserts", widths, lambda text, w: F.rpad(text, w, F.lit("-")))
-    cells = F.zip_with(padded, F.concat("bases", F.array(F.lit(""))), lambda gap, base: F.concat(gap, base))
-    return pairs.select("feature_id", F.array_join(cells, "").alias("aligned"))
+    longest = (pairs.select(F.inline("inserts")).groupBy("place")
+               .agg(F.max(F.length("text")).alias("w")).orderBy("place").collect())
+    # At most one gap per place of the centre: (place, width, bases up to the next gap).
+    ends = [gap.place for gap in longest[1:]] + [len(centre)]
+    gaps = F.array(*[F.struct(F.lit(gap.place).alias("place"), F.lit(gap.w).alias("w"), F.lit(end - gap.place).alias("run"))
+                     for gap, end in zip(longest, ends)])
+    if not longest:
+        return pairs.select("feature_id", F.col("bases").alias("aligned"))
+
+    def gap_and_run(gap: Column) -> Column:
+        text = F.get(F.filter("inserts", lambda x: x["place"] == gap["place"]), F.lit(0))["text"]
+        return F.concat(F.rpad(F.coalesce(text, F.lit("")), gap["w"], F.lit("-")),
+                        F.substring(F.col("bases"), gap["place"] + 1, gap["run"]))
+
+    return pairs.select("feature_id", F.concat(
+        F.substring("bases", 1, longest[0].place), F.array_join(F.transform(gaps, gap_and_run), "")).alias("aligned"))
 
 
 def column_counts(aln: DataFrame) -> DataFrame:

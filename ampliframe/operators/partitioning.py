@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ampliframe.session import scratch_dir
@@ -10,26 +12,56 @@ from ampliframe.session import scratch_dir
 ROW_BITS = 33
 
 
+def _sorted_parts(df: DataFrame, order_by: list[str]) -> DataFrame:
+    """Range-sorted and checkpointed, so partitions stay as they are; adds the partition
+    (``_part``) and the place in it (``_row``)."""
+    scratch_dir(df.sparkSession)
+    places = df.orderBy(*order_by).checkpoint().withColumn("_at", F.monotonically_increasing_id())
+    return places.select("*", F.shiftright("_at", ROW_BITS).alias("_part"),
+                         F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("_row")).drop("_at")
+
+
+def _before_parts(sizes: DataFrame) -> DataFrame:
+    """Sum of the sizes of all earlier partitions; one row per partition."""
+    return sizes.withColumn(
+        "_before", F.sum("_size").over(Window.orderBy("_part")) - F.col("_size"))
+
+
 def global_index(df: DataFrame, order_by: list[str], name: str) -> DataFrame:
     """Number rows 0, 1, 2, … in the order of ``order_by`` (a unique key).
 
-    Rows are range-sorted and checkpointed, so the partitions stay as they are; then each
-    row's place is its place inside its partition plus the size of the partitions before.
-    Only one row per partition is windowed, never the table.
+    A row's number is its place inside its sorted partition plus the size of the partitions
+    before. Only one row per partition is windowed, never the table.
     """
-    scratch_dir(df.sparkSession)
-    places = df.orderBy(*order_by).checkpoint().withColumn("_at", F.monotonically_increasing_id())
-    places = places.select(
-        "*", F.shiftright("_at", ROW_BITS).alias("_part"),
-        F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("_row"))
-    before = (places.groupBy("_part").count()
-              .withColumn("_before", F.sum("count").over(Window.orderBy("_part")) - F.col("count"))
-              .select("_part", "_before"))
+    places = _sorted_parts(df, order_by)
+    before = _before_parts(places.groupBy("_part").agg(F.count(F.lit(1)).alias("_size")))
     return (places.join(before, "_part")
             .withColumn(name, F.col("_row") + F.col("_before"))
             .select(*df.columns, name))
 
 
+def weighted_quantiles(counted: DataFrame, value: str, weight: str, fractions: list[float]) -> list:
+    """Exact quantiles (linear between neighbours) of ``value``, each present ``weight`` times.
+
+    No task sees all values: ranks are running sums inside sorted partitions plus the sums of
+    the partitions before, and only the wanted ranks come back.
+    """
+    places = _sorted_parts(counted.select(value, weight), [value])
+    before = _before_parts(places.groupBy("_part").agg(F.sum(weight).alias("_size")))
+    total = before.agg(F.sum("_size")).first()[0]
+    if not total:
+        return [None] * len(fractions)
+    inside = Window.partitionBy("_part").orderBy(value)
+    ranked = places.withColumn("_to", F.sum(weight).over(inside)).join(before, "_part").withColumn(
+        "_to", F.col("_to") + F.col("_before")).withColumn("_from", F.col("_to") - F.col(weight))
+    spots = [(total - 1) * f for f in fractions]
+    wanted = sorted({math.floor(s) for s in spots} | {math.ceil(s) for s in spots})
+    found = ranked.select(value, F.explode(F.filter(
+        F.array(*[F.lit(r) for r in wanted]), lambda r: (r >= F.col("_from")) & (r < F.col("_to")))).alias("r"))
+    at = {row["r"]: float(row[value]) for row in found.collect()}  # one row per wanted rank
+    return [at[math.floor(s)] + (at[math.ceil(s)] - at[math.floor(s)]) * (s - math.floor(s)) for s in spots]
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 16,
                 how: str = "inner") -> DataFrame:
     """Equi-join where a key may hold a large share of ``big``.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ampliframe.functions import expected_errors, kmers, quality_prefix_length
 from ampliframe.functions.sequence import PHRED_OFFSET
-from ampliframe.operators.partitioning import join_small
+from ampliframe.operators.partitioning import join_small, weighted_quantiles
 from ampliframe.sources.stage import persist_stage
 
 # The seven fractions of the summary tables.
@@ -94,10 +94,18 @@ def demux_counts(reads: DataFrame) -> DataFrame:
 
 
 def demux_count_summary(reads: DataFrame) -> DataFrame:
-    return demux_counts(reads).groupBy("direction").agg(
-        F.min("reads").alias("min_reads"), F.percentile("reads", 0.5).alias("median_reads"),
-        F.avg("reads").alias("mean_reads"), F.max("reads").alias("max_reads"),
-        F.sum("reads").alias("total_reads"))
+    """Spread of the reads per sample, one row per direction."""
+    counts = persist_stage(demux_counts(reads), "demux-counts")
+
+    def summary(direction: str) -> DataFrame:
+        some = counts.filter(F.col("direction") == direction)
+        median = weighted_quantiles(some.groupBy("reads").agg(F.count(F.lit(1)).alias("n")), "reads", "n", [0.5])
+        return some.groupBy("direction").agg(
+            F.min("reads").alias("min_reads"), F.lit(median[0]).alias("median_reads"),
+            F.avg("reads").alias("mean_reads"), F.max("reads").alias("max_reads"),
+            F.sum("reads").alias("total_reads"))
+
+    return summary("F").unionByName(summary("R"))
 
 
 def _seven_numbers(counted: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -155,18 +163,25 @@ def dereplicate(reads: DataFrame) -> DataFrame:
 
     Qualities are summed in chunks of 16 positions, one row per chunk, so map-side
     aggregation works on plain number columns and a hot sequence shrinks before the shuffle.
+    A chunk carries 128 bits that stand for the whole sequence and its own 16 bases; the
+    sequence is put together again from these.
     """
-    key = ["sample_id", "direction", "sequence"]
-    chunks = (reads.withColumnRenamed("seq", "sequence")
-              .withColumn("_c", F.explode(F.sequence(
-                  F.lit(0), F.greatest(F.ceil(F.length("sequence") / CHUNK).cast("int") - 1, F.lit(0))))))
-    chunks = chunks.select(*key, "_c", F.substring(F.col("qual"), F.col("_c") * CHUNK + 1, F.lit(CHUNK)).alias("_t"))
+    group = ["sample_id", "direction", "_a", "_b"]
+    last = F.greatest(F.ceil(F.length("seq") / CHUNK).cast("int") - 1, F.lit(0))
+    start = F.col("_c") * CHUNK + 1
+    chunks = reads.select(
+        "sample_id", "direction", "seq", "qual", F.xxhash64("seq").alias("_a"),
+        F.xxhash64(F.lit(1), "seq").alias("_b"), F.explode(F.sequence(F.lit(0), last)).alias("_c")).select(
+        *group, "_c", F.substring(F.col("seq"), start, F.lit(CHUNK)).alias("_piece"),
+        F.substring(F.col("qual"), start, F.lit(CHUNK)).alias("_t"))
     sums = [F.sum(F.ascii(F.substring("_t", j + 1, 1)) - PHRED_OFFSET).alias(f"_s{j}") for j in range(CHUNK)]
-    summed = chunks.groupBy(*key, "_c").agg(F.count(F.lit(1)).alias("n"), *sums)
-    row = F.struct("_c", F.array(*[f"_s{j}" for j in range(CHUNK)]).alias("s"))
-    unique = summed.groupBy(*key).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(row)).alias("_rows"))
+    summed = chunks.groupBy(*group, "_c", "_piece").agg(F.count(F.lit(1)).alias("n"), *sums)
+    row = F.struct("_c", "_piece", F.array(*[f"_s{j}" for j in range(CHUNK)]).alias("s"))
+    unique = summed.groupBy(*group).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(row)).alias("_rows"))
+    unique = unique.withColumn("sequence", F.array_join("_rows._piece", ""))
     totals = F.slice(F.flatten(F.col("_rows.s")), F.lit(1), F.length("sequence"))
-    return unique.select(*key, "n", F.transform(totals, lambda s: s / F.col("n")).alias("mean_quality"))
+    return unique.select("sample_id", "direction", "sequence", "n",
+                         F.transform(totals, lambda s: s / F.col("n")).alias("mean_quality"))
 
 
 def rounded_quality(uniques: DataFrame) -> DataFrame:

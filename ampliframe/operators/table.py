@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ampliframe.operators.partitioning import weighted_quantiles
 from ampliframe.operators.reads import SUMMARY_FRACTIONS, SUMMARY_NAMES
+from ampliframe.sources.stage import persist_stage
 
 
 def frequency_per_sample(ft: DataFrame) -> DataFrame:
@@ -29,14 +31,13 @@ def table_overview(ft: DataFrame) -> DataFrame:
 
 
 def frequency_quantiles(frequencies: DataFrame) -> DataFrame:
-    """Five-number summary and mean of a ``frequency`` column, from counts per value."""
-    counted = frequencies.groupBy("frequency").agg(F.count(F.lit(1)).alias("n"))
-    quartiles = F.percentile("frequency", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
+    """Five-number summary and mean of a ``frequency`` column."""
+    counted = persist_stage(frequencies.groupBy("frequency").agg(F.count(F.lit(1)).alias("n")), "frequencies")
+    first, median, third = weighted_quantiles(counted, "frequency", "n", [0.25, 0.5, 0.75])
     return counted.agg(
-        F.min("frequency").alias("minimum"), quartiles.alias("q"), F.max("frequency").alias("maximum"),
-        (F.sum(F.col("frequency") * F.col("n")) / F.sum("n")).alias("mean")
-    ).select("minimum", F.col("q")[0].alias("first_quartile"), F.col("q")[1].alias("median"),
-             F.col("q")[2].alias("third_quartile"), "maximum", "mean")
+        F.min("frequency").alias("minimum"), F.lit(first).alias("first_quartile"), F.lit(median).alias("median"),
+        F.lit(third).alias("third_quartile"), F.max("frequency").alias("maximum"),
+        (F.sum(F.col("frequency") * F.col("n")) / F.sum("n")).alias("mean"))
 
 
 def retention_at_depth(ft: DataFrame, depths: list[int], by: str | None = None,

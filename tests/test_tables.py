@@ -1,8 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ampliframe.operators import lookup, reads as rd, reshape, table as tb, taxa as tx
-from ampliframe.operators.partitioning import global_index, salted_join
+from ampliframe.operators.partitioning import global_index, join_small, salted_join, weighted_quantiles
 
 
 @pytest.fixture(scope="module")
@@ -121,6 +122,17 @@ def test_salted_join_equals_join(spark, rows):
     big = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k"), "id")
     small = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     assert rows(salted_join(big, small, ["k"], 5)) == rows(big.join(small, "k"))
+    for limit in (0, 39, 40):
+        assert rows(join_small(big, small, ["k"], limit)) == rows(big.join(small, "k"))
+
+
+def test_quantiles_equal_numpy(spark):
+    values = [int(v) for v in np.random.default_rng(0).integers(0, 60, 777)]
+    counted = spark.createDataFrame([(v,) for v in values], "v long").groupBy("v").count().repartition(5)
+    for fractions in ([0.5], [0.0, 0.25, 0.33, 0.75, 1.0]):
+        got = weighted_quantiles(counted, "v", "count", fractions)
+        assert np.allclose(got, np.quantile(values, fractions))
+    assert weighted_quantiles(counted.limit(0), "v", "count", [0.5]) == [None]
 
 
 def test_empty_table(spark, ft):
