@@ -76,14 +76,15 @@ def collapse_all_levels(ft: DataFrame, taxonomy: DataFrame, levels: int | None =
     """Counts per sample at every rank.
 
     Counts are first summed per full lineage and sample; only these sums are repeated for
-    the ranks, not every feature row.
+    the ranks, not every feature row. Prefixes are cut once per distinct lineage.
     """
     levels = levels or max_level(taxonomy)
     full = (ft.join(taxonomy.select("feature_id", "taxon"), "feature_id")
             .groupBy("taxon", "sample_id").agg(F.sum("frequency").alias("frequency")))
     every = F.transform(F.sequence(F.lit(1), F.lit(levels)), lambda i: F.struct(
         i.alias("level"), lineage_prefix(F.col("taxon"), i, pad).alias("prefix")))
-    return (full.select("sample_id", "frequency", F.inline(every))
+    prefixes = taxonomy.select("taxon").distinct().select("taxon", every.alias("prefixes"))
+    return (full.join(prefixes, "taxon").select("sample_id", "frequency", F.inline("prefixes"))
             .groupBy("level", F.col("prefix").alias("taxon"), "sample_id")
             .agg(F.sum("frequency").alias("frequency")))
 

@@ -762,6 +762,13 @@ def wide_text_round_trip(i):
     return reshape.to_long(text.read_biom_tsv(i.spark, path), row="#OTU ID").withColumnRenamed("#OTU ID", "feature_id")
 
 
+@query(TABLE, " SELECT feature_id, sample_id, CAST(frequency AS DOUBLE) AS frequency FROM ft")
+def wide_text_to_long(i):
+    path = new_path(i.spark, "wide")
+    sinks.write_biom_tsv(i.ft, path, i.tax)
+    return text.read_biom_long(i.spark, path)
+
+
 @query(TABLE, " SELECT * FROM pass2")
 def stage_round_trip(i):
     path = new_path(i.spark, "table")

@@ -86,7 +86,10 @@ def test_wide_table_text(spark, tmp_path, rows):
     wide = text.read_biom_tsv(spark, str(path))
     assert wide.columns == ["#OTU ID", "s1", "s2"]
     assert rows(wide) == [("f1", 12.0, 0.0), ("f2", 0.0, 0.0), ("f3", 1.0, 3.0)]
+    assert rows(text.read_biom_long(spark, str(path))) == [("f1", "s1", 12.0), ("f3", "s1", 1.0), ("f3", "s2", 3.0)]
     path.write_text(WIDE.replace("12.0", "many"))
+    with pytest.raises(Exception):
+        text.read_biom_long(spark, str(path)).collect()
     with pytest.raises(Exception):
         text.read_biom_tsv(spark, str(path)).collect()
 
@@ -108,6 +111,8 @@ def test_wide_export(spark, ft, tax):
     sinks.write_biom_tsv(ft, path, tax)
     assert joined(path) == ("# Constructed from biom file\n#OTU ID\ts1\ts2\ts3\ttaxonomy\n"
                             'f1\t12.0\t0.0\t0.0\tD_0__A;D_1__"B"\nf2\t0.0\t5.0\t0.0\tNA\nf3\t1.0\t0.0\t3.0\tD_0__C\n')
+    long = text.read_biom_long(spark, path)
+    assert sorted(map(tuple, long.collect())) == sorted(map(tuple, ft.collect()))
     with pytest.raises(ValueError, match="long table"):
         sinks.write_biom_tsv(ft, new_path(spark, "wide"), max_samples=2)
 
