@@ -8,8 +8,11 @@ Reads come from ``events`` (one fragment per event), counts from ``lineitem``, l
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
+from ampliframe.session import new_path
 from ampliframe.sources.stage import persist_stage
 
 READS = """
@@ -103,7 +106,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 # What a run stores once and later steps read again: all read tables, and the counts.
 STORED = {READS: None, TABLE: {"ft"}}
 SOURCE = {READS: "events", TABLE: "lineitem"}
-_derived: dict[tuple[str, str, str], DataFrame] = {}
+_plans: dict[tuple[str, str, str], DataFrame] = {}
+_stored: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def derive(spark: SparkSession, sf_dir: str, block: str, name: str) -> DataFrame:
@@ -113,18 +117,28 @@ def derive(spark: SparkSession, sf_dir: str, block: str, name: str) -> DataFrame
     columns they need. Lineages and sample metadata stay plans over the given tables.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _derived:
-        tables = {table: load(spark, sf_dir, table) for table in TABLES[block]}
-        rows = spark.sql(f"WITH {block} SELECT * FROM {name}", **tables)
-        if STORED[block] is None or name in STORED[block]:
-            # An input of fewer splits than cores is stored in as many parts as there are
-            # cores; a larger one keeps its own splits.
-            cores = spark.sparkContext.defaultParallelism
-            if tables[SOURCE[block]].rdd.getNumPartitions() < cores:
-                rows = rows.repartition(cores)
-            rows = persist_stage(rows, f"import-{name}")
-        _derived[key] = rows
-    return _derived[key]
+    if key in _stored:
+        path, schema = _stored[key]
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException:  # the shared folder was emptied: import again
+            del _stored[key]
+    if key in _plans:
+        return _plans[key]
+    tables = {table: load(spark, sf_dir, table) for table in TABLES[block]}
+    rows = spark.sql(f"WITH {block} SELECT * FROM {name}", **tables)
+    if STORED[block] is not None and name not in STORED[block]:
+        _plans[key] = rows
+        return rows
+    # An input of fewer splits than cores is stored in as many parts as there are cores; a
+    # larger one keeps its own splits.
+    cores = spark.sparkContext.defaultParallelism
+    if tables[SOURCE[block]].rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
+    path = new_path(spark, f"import-{name}")
+    rows = persist_stage(rows, name, path)
+    _stored[key] = (path, rows.schema)
+    return rows
 
 
 def checking_sql(block: str, rest: str) -> str:
