@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import math
-import re
 import uuid
 from collections import Counter
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ampliframe.llm.common import boxed, map_rows, plain, join_rows, unboxed
+from ampliframe.llm.common import boxed, join_rows, map_rows, plain, unboxed
+from ampliframe.llm.hashing import WORD_LIKE, run_codes, word_codes
 from ampliframe.sources.stage import persist_stage
 
 SHINGLE = 5
@@ -25,37 +24,12 @@ ITEMS_PER_PASS = 20_000
 #: Characters of one pass's items, checked before the index is sent.
 MAX_PASS_CHARS = 64_000_000
 
-_words = re.compile(r"\w+").findall
-_code_of = xxhash.xxh3_64_intdigest
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Codes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        self[word] = code = _code_of(word)
-        return code
-
-
-_codes = _Codes()
-
-
-def word_codes(text: str) -> np.ndarray:
-    words = _words(text.lower())
-    return np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
-
-
-def shingles(codes: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hash of each run of ``k`` words."""
-    n = len(codes) - k + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out = (out ^ codes[i:i + n]) * _ODD
-        out ^= out >> np.uint64(29)
-    return out
+def words_of(text: str) -> np.ndarray:
+    """Codes of the words: runs of ASCII letters, digits, underscores and all non-ASCII characters."""
+    return word_codes(text, WORD_LIKE)
 
 
 def _signs(hashes: np.ndarray) -> np.ndarray:
@@ -76,10 +50,10 @@ class Index:
     """Items by number of words, with their shingle weights, fingerprints and Hamming blocks."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        found = [(i, word_codes(t)) for i, t in items]
+        found = [(i, words_of(t)) for i, t in items]
         found = [(i, c) for i, c in found if len(c)]
         self.kinds = sorted({min(SHINGLE, len(c)) for _, c in found})
-        per_item = [(i, len(c), min(SHINGLE, len(c)), shingles(c, min(SHINGLE, len(c)))) for i, c in found]
+        per_item = [(i, len(c), min(SHINGLE, len(c)), run_codes(c, min(SHINGLE, len(c)))) for i, c in found]
         held = Counter(int(h) for x in per_item for h in set(x[3].tolist()))
         # Weight of a shingle: rarer among the items counts more; one outside the benchmark
         # counts as one that a single item holds.
@@ -120,9 +94,9 @@ class Index:
 
     def matches(self, text: str) -> dict[int, tuple[float, int, int, int]]:
         """Item -> (similarity, first word, number of words, matching windows), the best window first."""
-        codes, best = word_codes(text), {}
+        codes, best = words_of(text), {}
         for k in self.kinds:
-            hashes = shingles(codes, k)
+            hashes = run_codes(codes, k)
             hit = np.flatnonzero(_member(hashes, self.known[k]))
             if not len(hit):
                 continue
@@ -184,7 +158,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """``doc_id, item_id, similarity, first_word, n_words, n_windows``: one row per document and
     benchmark item that some item-sized window of the document matches; clean documents have none.
 
-    Words are runs of word characters in lower case. Every window with as many words as an item
+    Words are runs of ASCII letters, digits and all non-ASCII characters, A-Z in lower case. Every window with as many words as an item
     gets a SimHash of its 5-word shingles (shorter items: one shingle of all words). The Hamming
     blocks yield all pairs within ``RADIUS`` bits, whose weighted similarity is then computed
     exactly and compared with ``THRESHOLD``. Null or empty texts and items match nothing; items

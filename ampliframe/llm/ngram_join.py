@@ -4,7 +4,7 @@ A text's set is its distinct 4-word shingles. Two sets with Jaccard similarity o
 share a shingle among the first ``n - ceil(0.85 n) + 1`` of each in any common order; rare
 shingles first makes those prefixes selective. Texts with equal prefix and equal set size are
 collapsed into one group, groups that share a prefix shingle and fit in size are paired, and the
-pairs are expanded to different sets and verified on the texts.
+pairs are expanded to different sets, filtered by parity signatures and verified on the texts.
 
 Only connectivity is returned, so a list of texts that share a prefix shingle is not expanded
 into all its pairs: in a long list texts are first compared with a hub near them, and once those
@@ -13,7 +13,6 @@ links are known, only texts of different components still need comparing.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,8 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ampliframe.llm.common import LOWER, UPPER, WORD, _arrow_fields, boxed, map_rows, plain, join_rows, unboxed
+from ampliframe.llm.common import _arrow_fields, boxed, join_rows, map_rows, plain, unboxed
 from ampliframe.llm.components import components
+from ampliframe.llm.hashing import NOT_SPACE, distinct, run_codes, word_codes
 from ampliframe.operators.partitioning import salted_join
 from ampliframe.sources.stage import persist_stage
 
@@ -39,38 +39,32 @@ SMALL = 8
 RUN = 64
 #: A shingle whose bucket counts more is spread over several tasks.
 HOT = 4096
+#: Bits of the parity signature of a set.
+PARITY_BITS = 512
+#: Members of a long list that are compared with one another or with as many others at a time.
+BLOCK = 2048
 #: Rows of one list that a task holds at a time.
 MOST_HELD = 20_000
 SALTS = 8
 
-_words = re.compile(WORD).findall
-_low = str.maketrans(UPPER, LOWER)
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Codes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        self[word] = code = xxhash.xxh3_64_intdigest(word)
-        return code
+def shingle_set(text: str) -> np.ndarray:
+    """Sorted distinct 64-bit codes of the 4-word shingles; of the whole sequence if it is shorter."""
+    codes = word_codes(text, NOT_SPACE)
+    return distinct(run_codes(codes, min(SHINGLE, max(len(codes), 1))))
 
 
-_codes = _Codes()
+def parities(codes: np.ndarray) -> bytes:
+    """A bit per hash bucket, set if an odd number of shingles fall in it. What two sets share cancels
+    out, so their bits differ in at most as many places as the sets differ in shingles."""
+    return np.packbits(np.bincount((codes >> np.uint64(40)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1).tobytes()
 
 
-def shingle_set(text: str) -> np.ndarray:
-    """Sorted distinct 64-bit codes of the 4-word shingles; of the whole sequence if it is shorter."""
-    words = _words(text.translate(_low) if not text.isascii() else text.lower())
-    if not words:
-        return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
-    k = min(SHINGLE, len(words))
-    out = np.full(len(words) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = (out ^ codes[i:i + len(out)]) * _ODD
-        out ^= out >> np.uint64(29)
-    return np.unique(out)
+def can_be_similar(apart: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` shingles of which at least ``apart`` are in one only can reach
+    the similarity: |difference| <= 15 / 185 of the sizes' sum, and the smaller at least 85 % of
+    the larger."""
+    return ((100 + PERCENT) * apart <= (100 - PERCENT) * (n + m)) & (
+        100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
 
 
 def prefix_length(n: int) -> int:
@@ -100,7 +94,7 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for value in batch.column(0):
-                np.add.at(counts, (shingle_set(value.as_py()) % np.uint64(BUCKETS)).astype(np.int64), 1)
+                counts[(shingle_set(value.as_py()) % np.uint64(BUCKETS)).astype(np.int64)] += 1
         if counts.any():
             yield send((i, c) for i, c in enumerate(counts.reshape(SLICES, width)) if c.any())
 
@@ -121,7 +115,8 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``doc_id, _t, n, s1, s2`` (hash of the set), ``p1, p2`` (hash of the prefix), ``prefix`` (its codes)."""
+    """``doc_id, _t, n, s1, s2`` (hash of the set), ``p1, p2`` (hash of the prefix),
+    ``prefix`` (its codes), ``parity``."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # BUCKETS numbers
 
     def work(rows):
@@ -129,14 +124,15 @@ def _prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         for doc, t, text in zip(rows["doc_id"], rows["_t"], rows["text"]):
             codes = shingle_set(text)
             often = frequency[(codes % np.uint64(BUCKETS)).astype(np.int64)]
-            first = codes[np.lexsort((codes, often))[:prefix_length(len(codes))]] if len(codes) else codes
+            # The codes are in order, and a stable sort keeps it within one frequency.
+            first = codes[np.argsort(often, kind="stable")[:prefix_length(len(codes))]] if len(codes) else codes
             whole, start = xxhash.xxh3_128_digest(codes.tobytes()), xxhash.xxh3_128_digest(first.tobytes())
             out.append((doc, t, len(codes), *np.frombuffer(whole, "<i8").tolist(), *np.frombuffer(start, "<i8").tolist(),
-                        first.view(np.int64).tobytes()))
-        return dict(zip(("doc_id", "_t", "n", "s1", "s2", "p1", "p2", "prefix"), list(zip(*out)) or [()] * 8))
+                        first.view(np.int64).tobytes(), parities(codes)))
+        return dict(zip(("doc_id", "_t", "n", "s1", "s2", "p1", "p2", "prefix", "parity"), list(zip(*out)) or [()] * 9))
 
     return map_rows(docs.select("doc_id", "_t", "text"), work, "doc_id long, _t long, n long, s1 long, s2 long, "
-                    "p1 long, p2 long, prefix binary")
+                    "p1 long, p2 long, prefix binary, parity binary")
 
 
 def _tokens(groups: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -238,8 +234,34 @@ def _cached_set(text: str) -> np.ndarray:
     return shingle_set(text)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose texts are similar enough."""
+def _bits(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, PARITY_BITS // 64)
+
+
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose parities leave the similarity within reach; no similar pair is lost."""
+    left, right = (classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
+                   for c in "ab")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select(
+        "a", "b", "n_a", "n_b", "parity_a", "parity_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = np.bitwise_count(_bits(batch.column(4)) ^ _bits(batch.column(5))).sum(axis=1, dtype=np.int64)
+            good = can_be_similar(apart, batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good)) for i in (0, 1)], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose texts are similar enough. Only texts that stand in a pair are moved;
+    Spark broadcasts their ids if the stored table is within its limit."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    wanted = persist_stage(classes.select("rep", "rep_t").join(wanted.hint("merge"), "rep", "left_semi").select(
+        F.col("rep").alias("doc_id"), F.col("rep_t").alias("_t")), "compared")
+    texts = persist_stage(docs.select("doc_id", "_t", "text").join(wanted, ["doc_id", "_t"], "left_semi")
+                          .dropDuplicates(["doc_id", "_t"]).select("doc_id", "text"), "compared-texts")
     left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
 
@@ -267,20 +289,21 @@ def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame, counts: np.nd
     pairs = found.filter("what = 0").select("kind", "a", "b").distinct()
     pairs = persist_stage(_expanded(_expanded(pairs, classes, "a"), classes, "b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "pairs")
+    possible = persist_stage(_possible(pairs, classes), "possible")
+    links = persist_stage(_verified(possible, docs, classes), "similar")
     # Long lists are unions of parts, so members are taken by key alone from here on.
-    long_lists = persist_stage(_expanded(found.filter("what = 1").select("kind", "key", "a", "n").distinct(), classes, "a")
-                               .select("kind", "key", F.col("a").alias("member"), "n").distinct(), "long-lists")
-    wanted = (pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id")))
-              .unionAll(long_lists.select(F.col("member").alias("doc_id"))).distinct())
-    wanted = persist_stage(wanted, "compared")
-    reps = classes.select(F.col("rep").alias("doc_id"), F.col("rep_t").alias("_t"))
-    texts = persist_stage(docs.select("doc_id", "_t", "text").join(wanted, "doc_id", "left_semi")
-                          .join(reps, ["doc_id", "_t"], "left_semi").dropDuplicates(["doc_id", "_t"])
-                          .select("doc_id", "text"), "compared-texts")
-    links = persist_stage(_verified(pairs, texts), "similar")
-    rest = _remaining(long_lists, components(links)).join(pairs, ["a", "b"], "left_anti")
-    more = persist_stage(_verified(rest, texts), "similar-rest")
-    return links.unionAll(more)
+    lists = persist_stage(_expanded(found.filter("what = 1").select("kind", "key", "a").distinct(), classes, "a")
+                          .select("kind", "key", F.col("a").alias("rep")).distinct(), "long-lists")
+    # First one pair per pair of components that may be similar, which connects nearly all; then
+    # every such pair that is left, so that a pair that failed hides no other.
+    for forest in (True, False):
+        rest = _remaining(lists, components(links), classes, forest).join(possible.hint("merge"), ["a", "b"], "left_anti")
+        rest = persist_stage(rest, "possible-rest")
+        if not rest.limit(1).count():
+            break
+        links = persist_stage(links.unionAll(_verified(rest, docs, classes)), "similar-rest")
+        possible = possible.unionAll(rest)
+    return links
 
 
 def _by(column: str):
@@ -288,28 +311,67 @@ def _by(column: str):
     return Window.partitionBy(column)
 
 
-def _remaining(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of members of one long list that are in different components and fit in size.
+def _remaining(lists: DataFrame, roots: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
+    """Pairs ``a, b`` of members of one long list that are in different components and whose sizes and
+    parities leave the similarity within reach.
 
-    Lists inside one component fall away by an aggregate. Of the others, members outside the
-    list's largest component are joined with all members, so a large component is never paired
-    with itself.
+    Lists inside one component fall away by an aggregate. The others are dealt out in cells of two
+    blocks of bounded size, each pair of blocks to a task of its own, where parities are compared
+    as arrays and only possible pairs are made. With ``forest`` a cell gives no pair that its
+    earlier pairs connect already.
     """
-    placed = lists.join(roots.withColumnRenamed("node", "member").hint("merge"), "member", "left").select(
-        "kind", "key", "member", "n", F.coalesce("root", "member").alias("root"))
-    placed = persist_stage(placed, "long-lists-placed")
-    sizes = placed.groupBy("kind", "key", "root").agg(F.count(F.lit(1)).alias("size"))
-    largest = (sizes.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("roots"), F.max("size").alias("size"))
-               .filter("roots > 1").select("kind", "key", "size"))
-    largest = (salted_join(sizes, largest, ["kind", "key", "size"], SALTS)
-               .groupBy("kind", "key").agg(F.min("root").alias("largest")))
-    open_lists = persist_stage(salted_join(placed, largest, ["kind", "key"], SALTS), "long-lists-open")
-    few = open_lists.filter("root <> largest").select(
-        "kind", "key", F.col("member").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"))
-    met = salted_join(open_lists, few, ["kind", "key"], SALTS).filter(
-        (F.col("root") != F.col("x_root")) & ((F.col("root") == F.col("largest")) | (F.col("member") < F.col("x")))
-        & (100 * F.least("n", "x_n") >= PERCENT * F.greatest("n", "x_n")))
-    return met.select(F.least("member", "x").alias("a"), F.greatest("member", "x").alias("b")).distinct()
+    root = roots.select(F.col("node").alias("rep"), "root").hint("merge")
+    placed = lists.join(root, "rep", "left").select("kind", "key", "rep", F.coalesce("root", "rep").alias("root"))
+    open_lists = (placed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("x"), F.max("root").alias("y"))
+                  .filter("x <> y").select("kind", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    members = salted_join(placed, open_lists, ["kind", "key"], SALTS)
+    members = members.join(classes.select("rep", "n", "parity").hint("merge"), "rep").withColumn(
+        "own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    cells = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "kind", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "root", "parity")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def cell(rows: pa.Table) -> pa.RecordBatch:
+            side, reps, n, root = (rows.column(c).to_numpy() for c in ("own", "rep", "n", "root"))
+            bits, one_block = _bits(rows.column("parity")), rows.column("i")[0] == rows.column("j")[0]
+            up, out = {}, []
+
+            def top(x: int) -> int:
+                while (y := up.get(x, x)) != x:
+                    x = y
+                return x
+
+            for x in range(len(reps) - 1):
+                apart = np.bitwise_count(bits[x + 1:] ^ bits[x]).sum(axis=1, dtype=np.int64)
+                good = can_be_similar(apart, n[x + 1:], n[x]) & (root[x + 1:] != root[x])
+                if not one_block:
+                    good &= side[x + 1:] != side[x]
+                found = np.flatnonzero(good)
+                for y in (found[np.argsort(apart[found], kind="stable")] + x + 1).tolist():
+                    p, q = top(int(root[x])), top(int(root[y]))
+                    if not forest or p != q:
+                        out.append((min(int(reps[x]), int(reps[y])), max(int(reps[x]), int(reps[y]))))
+                        up[max(p, q)] = min(p, q)
+            return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            ids = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)])
+            if not ids.shape[1]:
+                continue
+            edges = (np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist()
+            for start, end in zip([0, *edges], [*edges, ids.shape[1]]):
+                part = batch.slice(start, end - start)
+                if held and any(held[0].column(c)[0] != part.column(c)[0] for c in range(4)):
+                    yield cell(pa.Table.from_batches(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield cell(pa.Table.from_batches(held))
+
+    dealt = cells.repartition("kind", "key", "i", "j").sortWithinPartitions("kind", "key", "i", "j", "rep")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 # ---------------------------------------------------------------------------------- results
@@ -322,8 +384,9 @@ def _placed(docs: DataFrame) -> DataFrame:
     named = rows.filter("n > 0 and doc_id is not null")
     sets = named.groupBy("n", "p1", "p2", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     # Texts under one id that differ but in words outside the rules share the set; take one.
-    first = (salted_join(named.select("doc_id", "_t", "n", "p1", "p2", "s1", "s2"), sets, ["n", "p1", "p2", "s1", "s2"], SALTS)
-             .filter("doc_id = rep").groupBy("n", "p1", "p2", "s1", "s2", "rep").agg(F.min("_t").alias("rep_t")))
+    slim = named.select("doc_id", "_t", "n", "p1", "p2", "s1", "s2", "parity")
+    first = (salted_join(slim, sets, ["n", "p1", "p2", "s1", "s2"], SALTS)
+             .filter("doc_id = rep").groupBy("n", "p1", "p2", "s1", "s2", "rep", "parity").agg(F.min("_t").alias("rep_t")))
     first = persist_stage(first, "sets")
     group = first.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"))
     classes = persist_stage(first.join(group, ["n", "p1", "p2"]), "groups")
