@@ -36,42 +36,62 @@ WORD_LIKE = byte_class(b"0123456789_ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqr
 
 
 def _chunks(data: bytes, inside: np.ndarray):
+    """``(offset, part)`` with cuts between words."""
     start = 0
     while len(data) - start > CHUNK:
         end = start + CHUNK
         while end < len(data) and inside[data[end]]:
             end += 1
-        yield data[start:end]
+        yield start, data[start:end]
         start = end
-    yield data[start:]
+    yield start, data[start:]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` or more powers of the base and of its inverse."""
+    global _up, _down
+    if n > len(_up):
+        size = 1 << n.bit_length()
+        _up, _down = _powers(_BASE, size), _powers(_INVERSE, size)
+    return _up, _down
 
 
 def word_codes(text: str, inside: np.ndarray) -> np.ndarray:
     """The code of each word (run of ``inside`` bytes of the UTF-8 text), A-Z in lower case."""
-    parts = [_codes(c, inside) for c in _chunks(text.encode().lower(), inside)]
-    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+    return words_at(text.encode(), inside)[0]
 
 
-def _codes(data: bytes, inside: np.ndarray) -> np.ndarray:
-    global _up, _down
+def words_at(data: bytes, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the words, and the bytes where each begins and ends."""
+    parts = [_codes(c, inside, at) for at, c in _chunks(data.lower(), inside)]
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _codes(data: bytes, inside: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, np.uint8)
     n = len(raw)
-    if n >= len(_up):
-        size = 1 << (n + 1).bit_length()
-        _up, _down = _powers(_BASE, size), _powers(_INVERSE, size)
+    up, down = powers(n + 1)
     mark = np.zeros(n + 2, np.int8)
     mark[1:-1] = inside[raw]
     edges = np.flatnonzero(mark[1:] != mark[:-1])
-    if not len(edges):
-        return np.zeros(0, np.uint64)
     starts, ends = edges[::2], edges[1::2]
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_byte_code[raw] * _up[:n], out=total[1:])
-    out = (total[ends] - total[starts]) * _down[starts]
+    np.cumsum(_byte_code[raw] * up[:n], out=total[1:])
+    out = (total[ends] - total[starts]) * down[starts]
     out ^= out >> np.uint64(32)
     out *= _ODD
     out ^= out >> np.uint64(29)
-    return out
+    return out, starts + at, ends + at
+
+
+def range_codes(codes: np.ndarray, first: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """The code of each range of words ``first`` to before ``behind``."""
+    up, down = powers(len(codes) + 1)
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * up[:len(codes)], out=total[1:])
+    out = (total[behind] - total[first]) * down[first]
+    out ^= out >> np.uint64(31)
+    return out * _ODD
 
 
 def run_codes(codes: np.ndarray, k: int) -> np.ndarray:

@@ -37,7 +37,7 @@ def op4_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.span_report(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_sentences", "n_removed", "n_removed_words", "first_docs", F.sha2("kept", 256).alias("kept_sha256"))
+        "doc_id", "n_sentences", "n_removed", "n_removed_words", "earlier_docs", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

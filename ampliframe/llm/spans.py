@@ -2,137 +2,183 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ampliframe.llm.common import boxed, map_rows, plain, join_rows, unboxed
-from ampliframe.operators.partitioning import salted_join
-from ampliframe.sources.stage import persist_stage
+from ampliframe.llm.common import _arrow_fields, boxed, join_rows, map_rows, plain, unboxed
+from ampliframe.llm.hashing import NOT_SPACE, byte_class, range_codes, words_at
 
 #: A span is the shortest run of at least so many sentences with at least so many words.
 MIN_SENTENCES, MIN_WORDS = 3, 20
-#: A longer sentence counts as several, cut behind a comma or the like from the sixth word on, at the
-#: latest behind the twelfth; so a long sentence can also be found inside another.
-CLAUSE_WORDS, MOST_WORDS = 6, 12
-SALTS = 8
-
-_word = re.compile(r"\S+\s*")
-
-
-def sentences(text: str) -> list[tuple[int, int, int]]:
-    """``(from, to, words)`` of each sentence; together they are the whole text (leading white
-    space belongs to the first)."""
-    out, start, words = [], 0, 0
-    for m in _word.finditer(text):
-        token = m.group()
-        bare = token.rstrip()
-        words += 1
-        last = bare.rstrip("\"')]»”’")[-1:]
-        if last in ".!?…" and last or "\n" in token or words >= MOST_WORDS or words >= CLAUSE_WORDS and last in ",;:" and last:
-            out.append((start, m.end(), words))
-            start, words = m.end(), 0
-    if words:
-        out.append((start, len(text), words))
-    elif out and start < len(text):
-        out[-1] = (out[-1][0], len(text), out[-1][2])
-    return out
-
-
-def spans(text: str) -> list[tuple[int, int, bytes]]:
-    """``(first, last, key)``: for each sentence the shortest long enough run that begins with it; the
-    128-bit key is of the run's words in lower case."""
-    parts = sentences(text)
-    keys = [" ".join(text[a:b].lower().split()) for a, b, _ in parts]
-    out, last, words = [], -1, 0
-    for first in range(len(parts)):
-        while last + 1 < len(parts) and (last - first + 1 < MIN_SENTENCES or words < MIN_WORDS):
-            last += 1
-            words += parts[last][2]
-        if last - first + 1 < MIN_SENTENCES or words < MIN_WORDS:
-            break
-        out.append((first, last, xxhash.xxh3_128_digest(" ".join(keys[first:last + 1]))))
-        words -= parts[first][2]
-    return out
+#: A sentence of more words than ``LONG`` counts as several of ``PIECE`` words, so that a passage of one
+#: or two very long sentences also holds runs of several.
+LONG, PIECE = 18, 9
+
+_ends, _closes = byte_class(b".!?"), byte_class(b"\"')]")
+
+
+def sentences(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the words of a UTF-8 text, the number of words before each sentence (and in all), and
+    the byte where each sentence begins (and the text ends). A sentence ends behind a word with
+    ``. ! ?`` or before a line break; together the sentences are the whole text."""
+    codes, starts, ends = words_at(data, NOT_SPACE)
+    n = len(codes)
+    if not n:
+        return codes, np.zeros(1, np.int64), np.array([len(data)])
+    raw = np.frombuffer(data, np.uint8)
+    last, before = raw[ends - 1], raw[np.maximum(ends - 2, starts)]
+    lines = np.concatenate([[0], np.cumsum(raw == 10)])
+    stop = _ends[last] | _closes[last] & _ends[before]
+    stop[:-1] |= lines[starts[1:]] > lines[ends[:-1]]
+    stop[-1] = True
+    final = np.flatnonzero(stop)
+    size = np.diff(np.concatenate([[-1], final]))
+    place = np.arange(n) - np.repeat(final - size + 1, size)
+    left = np.repeat(final, size) - np.arange(n)
+    stop |= (np.repeat(size, size) > LONG) & ((place + 1) % PIECE == 0) & (left >= PIECE // 2)
+    first = np.concatenate([[0], np.flatnonzero(stop) + 1])
+    return codes, first, np.concatenate([[0], starts[first[1:-1]], [len(data)]])
+
+
+def spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``first, last, h1, h2``: for each sentence the shortest long enough run that begins with it, and a
+    128-bit key of the run's words, A-Z in lower case."""
+    codes, at, _ = sentences(data)
+    n = len(at) - 1
+    first = np.arange(n)
+    last = np.maximum(first + MIN_SENTENCES, np.searchsorted(at, at[:-1] + MIN_WORDS)) - 1
+    first, last = first[last < n], last[last < n]
+    other = (codes ^ (codes >> np.uint64(17))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (first, last, range_codes(codes, at[first], at[last + 1]).view(np.int64),
+            range_codes(other, at[first], at[last + 1]).view(np.int64))
+
+
+def _later(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of columns sorted by key (rows 0 and 1): which rows are not the first of their key, and for each
+    row the place of the first."""
+    new = np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)])
+    return ~new, np.maximum.accumulate(np.where(new, np.arange(rows.shape[1]), 0))
+
+
+#: Order of texts: id (null last), hash of the text, place in it.
+_ROWS = "h1 long, h2 long, id long, t long, first int, last int, earlier long"
 
 
 def _span_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, _t, first, last, h1, h2, inside``; ``inside``: an earlier span of the text has the key."""
-    def work(rows):
-        out = []
-        for doc, t, text in zip(rows["doc_id"], rows["_t"], rows["text"]):
-            seen = set()
-            for first, last, key in spans(text):
-                h1, h2 = np.frombuffer(key, "<i8").tolist()
-                out.append((doc, t, first, last, h1, h2, key in seen))
-                seen.add(key)
-        return dict(zip(("doc_id", "_t", "first", "last", "h1", "h2", "inside"), list(zip(*out)) or [()] * 7))
-
-    return map_rows(docs.select("doc_id", "_t", "text"), work,
-                    "doc_id long, _t long, first int, last int, h1 long, h2 long, inside boolean")
+    """One row per span; ``earlier``: the id of an earlier text that holds it, if the same Arrow batch has
+    one. Such a row needs no further search and gets a key of its own, so a span that a large
+    share of all texts hold sends one row per batch to its key."""
+    fields = pa.schema(_arrow_fields(docs.sparkSession, _ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, ids, ts = [], batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, value in enumerate(batch.column(2)):
+                first, last, h1, h2 = spans(value.as_py().encode())
+                if len(first):
+                    parts.append(np.stack([h1, h2, np.full(len(first), ids[i]), np.full(len(first), ts[i]), first, last]))
+            if not parts:
+                continue
+            rows = np.concatenate(parts, axis=1)
+            rows = rows[:, np.lexsort(rows[[4, 3, 2, 1, 0]])]
+            later, place = _later(rows)
+            # Repeated rows are the same text.
+            later &= ~((rows[2:5] == rows[2:5, place]).all(axis=0))
+            earlier = rows[2, place]
+            own = rows.copy()
+            own[0, later], own[1, later] = rows[2, later] * 31 + rows[4, later], rows[3, later]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c.astype(np.int32) if f.type == pa.int32() else c) for c, f in zip(own, fields)]
+                + [pa.array(earlier, mask=~later)], schema=fields)
+
+    return docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "_t", "text").mapInArrow(run, _ROWS)
+
+
+#: Stands for a null id.
+LAST_ID = (1 << 63) - 1
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, _t, first, last, first_doc``: the spans that are not the first of their key. The first
-    is the earliest in the text with the smallest id (a null id comes after all others, texts
-    under one id in the order of their hash)."""
-    rows = persist_stage(_span_rows(docs), "spans")
-    # Order of texts: id, then text hash. Both minima are plain numbers, so they are added up
-    # before the shuffle; a second small step finds the text of the smallest id.
-    named = rows.filter("not inside").withColumn("_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    shared = (named.groupBy("h1", "h2").agg(F.min("_id").alias("first_doc"), F.count(F.lit(1)).alias("_n"))
-              .filter("_n > 1").select("h1", "h2", "first_doc"))
-    met = salted_join(named, shared, ["h1", "h2"], SALTS)
-    texts = (met.filter("_id = first_doc").groupBy("h1", "h2").agg(F.min("_t").alias("first_t")))
-    later = salted_join(met.select("doc_id", "_t", "_id", "first", "last", "h1", "h2", "first_doc"), texts, ["h1", "h2"], SALTS)
-    later = later.filter("_id <> first_doc or _t <> first_t").select("doc_id", "_t", "first", "last", "first_doc")
-    again = rows.filter("inside").select("doc_id", "_t", "first", "last", F.col("doc_id").alias("first_doc"))
-    return later.unionAll(again)
+    """``doc_id, _t, first, last, earlier_doc``: the spans that are not the first of their key, in the order
+    of ids (null last), text hashes and places; ``earlier_doc`` holds the span before them.
+
+    One shuffle of hashes; a task reads its keys in order and keeps one row in mind.
+    """
+    schema = "id long, _t long, first int, last int, earlier long"
+    fields = pa.schema(_arrow_fields(docs.sparkSession, schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.zeros((6, 0), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)])
+            known = batch.column(6).is_valid().to_numpy(zero_copy_only=False)
+            given = batch.column(6).fill_null(0).to_numpy()
+            rows = np.concatenate([head, new], axis=1)
+            skip = head.shape[1]
+            later, place = _later(rows)
+            later &= ~((rows[2:5] == rows[2:5, place]).all(axis=0))
+            earlier = rows[2, place]
+            later, earlier, own = later[skip:], earlier[skip:], rows[:, skip:]
+            earlier = np.where(known, given, earlier)
+            later |= known
+            out = [own[2], own[3], own[4].astype(np.int32), own[5].astype(np.int32), earlier]
+            yield pa.RecordBatch.from_arrays([pa.array(c[later], f.type) for c, f in zip(out, fields)], schema=fields)
+            head = rows[:, place[-1]:place[-1] + 1]
+
+    found = (_span_rows(docs).repartition("h1", "h2").sortWithinPartitions("h1", "h2", "id", "t", "first")
+             .mapInArrow(run, schema))
+    null_last = [F.when(F.col(c) != LAST_ID, F.col(c)).alias(n) for c, n in (("id", "doc_id"), ("earlier", "earlier_doc"))]
+    return found.select(null_last[0], "_t", "first", "last", null_last[1])
 
 
 def _removals(docs: DataFrame) -> DataFrame:
-    """Per text with repeats: its repeated spans and where they occurred first."""
+    """Per text with repeats: its repeated spans and texts that held them before."""
     return repeated_spans(docs).groupBy("doc_id", "_t").agg(
         F.collect_set(F.struct("first", "last")).alias("_spans"),
-        F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
+        F.array_sort(F.collect_set("earlier_doc")).alias("earlier_docs"))
 
 
 def without(text: str, covered: list[tuple[int, int]]) -> tuple[str, int, int, int]:
-    """The text without the covered sentences, and how many sentences and words it had and lost."""
-    parts = sentences(text)
-    gone = np.zeros(len(parts), bool)
+    """The text without the covered sentences, and how many sentences it had and how many sentences
+    and words it lost."""
+    data = text.encode()
+    _, words, at = sentences(data)
+    gone = np.zeros(len(words) - 1, bool)
     for first, last in covered:
         gone[first:last + 1] = True
-    kept = "".join(text[a:b] for (a, b, _), g in zip(parts, gone) if not g)
-    return kept, len(parts), int(gone.sum()), sum(p[2] for p, g in zip(parts, gone) if g)
+    kept = b"".join(data[a:b] for a, b, g in zip(at[:-1].tolist(), at[1:].tolist(), gone.tolist()) if not g)
+    return (kept.decode() if len(gone) else text), len(gone), int(gone.sum()), int(np.diff(words)[gone].sum())
 
 
 def span_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_sentences, n_removed, n_removed_words, first_docs, kept`` (text), one row per input
+    """``doc_id, n_sentences, n_removed, n_removed_words, earlier_docs, kept`` (text), one row per input
     row that loses sentences; a text that repeats nothing has no row.
 
     Every run of several consecutive sentences is hashed, keys meet over the whole table, and a
     sentence goes if any repeated span that is not the first covers it. Repeated rows are one
-    text and keep their sentences unless another text had them first. Null or empty texts and
-    texts shorter than a span lose nothing. Hashes are shuffled, and the texts that lose
-    sentences once; the joins on keys are salted.
+    text. ``earlier_docs``: ids of texts that hold the removed spans and come before. Null or empty texts and
+    texts shorter than a span lose nothing. Hashes are shuffled once, and texts once to
+    their removals.
     """
     docs = plain(docs, key, text)
     removals = _removals(docs)
     hit = join_rows(docs, removals, "inner").select(
-        "doc_id", "text", "first_docs", F.transform(
+        "doc_id", "text", "earlier_docs", F.transform(
             "_spans", lambda s: F.array(s["first"], s["last"])).alias("_spans"))
 
     def work(rows):
         done = [without(t, s) for t, s in zip(rows["text"], rows["_spans"])]
         kept, n, gone, words = zip(*done) if done else ((), (), (), ())
         return {"doc_id": rows["doc_id"], "n_sentences": n, "n_removed": gone, "n_removed_words": words,
-                "first_docs": rows["first_docs"], "kept": kept}
+                "earlier_docs": rows["earlier_docs"], "kept": kept}
 
-    return map_rows(hit.select("doc_id", "text", "first_docs", "_spans"), work, "doc_id long, n_sentences long, "
-                    "n_removed long, n_removed_words long, first_docs array<long>, kept string")
+    return map_rows(hit.select("doc_id", "text", "earlier_docs", "_spans"), work, "doc_id long, n_sentences long, "
+                    "n_removed long, n_removed_words long, earlier_docs array<long>, kept string")
 
 
 def drop_repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
