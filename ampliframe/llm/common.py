@@ -59,6 +59,41 @@ def join_rows(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
     return rows.join(other, same, how).drop("_other_id", "_other_t")
 
 
+#: A bitmap of 2^23 bits (1 MB) as ``SLICES`` rows of ``WORDS`` numbers.
+SLICES, WORDS = 256, 512
+
+
+def _bit_of() -> tuple[Column, Column, Column]:
+    h = F.xxhash64("doc_id", "_t")
+    return (F.pmod(h, F.lit(SLICES)).cast("int"), F.pmod(F.shiftright(h, 8), F.lit(WORDS)).cast("int"),
+            F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int"))
+
+
+def split_by(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that may be among ``keys`` (``doc_id, _t``), and those that certainly are not.
+
+    Keys set bits of a bitmap of fixed size, which alone goes to all executors. Few rows share a
+    bit with a key by chance, so a join of the first part moves few texts that it does not need;
+    with so many keys that the bitmap is full, it moves all, as a plain join would.
+    """
+    piece, word, bit = _bit_of()
+    words = (keys.select(piece.alias("_slice"), word.alias("_word"), bit.alias("_bit"))
+             .groupBy("_slice", "_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+             .groupBy("_slice").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_map"))
+             .select(F.col("_slice").alias("_piece"), F.transform(
+                 F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.coalesce(F.try_element_at("_map", i), F.lit(0).cast("long"))).alias("_words")))
+    columns = rows.columns
+    marked = rows.withColumn("_slice", piece).join(F.broadcast(words), F.col("_slice") == F.col("_piece"), "left")
+    maybe = F.coalesce(F.getbit(F.get("_words", word), bit) == 1, F.lit(False))
+    return marked.filter(maybe).select(*columns), marked.filter(~maybe).select(*columns)
+
+
+def without_rows(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows that are not among ``keys``."""
+    maybe, others = split_by(rows, keys)
+    return others.unionAll(join_rows(maybe, keys, "left_anti"))
+
+
 def wide_hash(*columns: Column | str) -> list[Column]:
     """Two 64-bit hashes ``h1``, ``h2`` under different seeds: a 128-bit key, so that chance
     collisions stay out of reach at any corpus size."""

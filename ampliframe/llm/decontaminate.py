@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ampliframe.llm.common import boxed, join_rows, map_rows, plain, unboxed
+from ampliframe.llm.common import boxed, map_rows, plain, unboxed, without_rows
 from ampliframe.llm.hashing import WORD_LIKE, run_codes, word_codes
 from ampliframe.sources.stage import persist_stage
 
@@ -205,4 +205,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     """The input rows that match no benchmark item, unchanged."""
     bad = persist_stage(contaminated(docs, benchmark, key, text).select("doc_id", "_t").distinct(), "contaminated")
     rows = boxed(docs, key, text)
-    return unboxed(join_rows(rows, bad, "left_anti"), docs.columns)
+    return unboxed(without_rows(rows, bad), docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ampliframe.llm.common import _arrow_fields, boxed, join_rows, map_rows, plain, unboxed
+from ampliframe.llm.common import _arrow_fields, boxed, join_rows, map_rows, plain, split_by, unboxed, without_rows
 from ampliframe.llm.components import components
 from ampliframe.llm.hashing import NOT_SPACE, distinct, run_codes, word_codes
 from ampliframe.operators.partitioning import salted_join
@@ -255,12 +255,11 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose texts are similar enough. Only texts that stand in a pair are moved;
-    Spark broadcasts their ids if the stored table is within its limit."""
+    """The pairs ``a, b`` whose texts are similar enough. Few texts that stand in no pair are moved."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     wanted = persist_stage(classes.select("rep", "rep_t").join(wanted.hint("merge"), "rep", "left_semi").select(
         F.col("rep").alias("doc_id"), F.col("rep_t").alias("_t")), "compared")
-    texts = persist_stage(docs.select("doc_id", "_t", "text").join(wanted, ["doc_id", "_t"], "left_semi")
+    texts = persist_stage(join_rows(split_by(docs.select("doc_id", "_t", "text"), wanted)[0], wanted, "left_semi")
                           .dropDuplicates(["doc_id", "_t"]).select("doc_id", "text"), "compared-texts")
     left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
@@ -419,7 +418,7 @@ def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     placed = persist_stage(_placed(plain(docs, key, text)), "components")
     rows = boxed(docs, key, text)
     gone = persist_stage(placed.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "_t").distinct(), "near-copies")
-    kept = join_rows(rows, gone, "left_anti")
+    kept = without_rows(rows, gone)
     repeated = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").limit(1).count()
     if repeated:
         kept = kept.dropDuplicates(["doc_id"])

@@ -5,10 +5,9 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ampliframe.llm.common import WORD, boxed, map_rows, join_rows, unboxed, wide_hash
+from ampliframe.llm.common import SPACES, WORD, boxed, join_rows, map_rows, unboxed, wide_hash, without_rows
 from ampliframe.operators.partitioning import salted_join
 from ampliframe.sources.stage import persist_stage
 
@@ -28,7 +27,6 @@ MIN_LEFT = 0.3
 
 SALTS = 8
 _words = re.compile(WORD).findall
-_code_of = xxhash.xxh3_64_intdigest
 
 
 def repeated_words(words: list[str], window: int = WINDOW) -> int:
@@ -83,9 +81,9 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 
 def _normal_lines(docs: DataFrame) -> DataFrame:
-    """``host, doc_id, _t, pos, h1, h2, words`` of every line with a word; normalised: lower case,
-    white space runs as one space, digits as one sign."""
-    normal = F.regexp_replace(F.lower(F.btrim(F.regexp_replace("line", "[ \\t\\x0B\\f\\r]+", " "))), "[0-9]+", "0")
+    """``host, doc_id, _t, pos, h1, h2, words`` of every line with a word; normalised: no
+    outer white space, lower case. Words are counted by spaces."""
+    normal = F.lower(F.trim(F.col("line"), F.lit(SPACES)))
     return (docs.select("host", "doc_id", "_t", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
             .select("host", "doc_id", "_t", "pos", normal.alias("key")).filter("key <> ''")
             .select("host", "doc_id", "_t", "pos", *wide_hash("key"),
@@ -135,9 +133,9 @@ def quality_report(docs: DataFrame, key: str = "doc_id", text: str = "text", hos
 
 
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """The input rows that :func:`quality_report` keeps, unchanged. Only the ids of rejected rows
-    are joined to the texts; Spark broadcasts them if their stored size is within its limit."""
+    """The input rows that :func:`quality_report` keeps, unchanged. Only ids are joined, and
+    only texts that may be rejected are moved."""
     rejected = persist_stage(
         quality_report(docs, key, text, host).filter(~F.col("kept")).select("doc_id", "_t").distinct(), "rejected")
     rows = boxed(docs, key, text)
-    return unboxed(join_rows(rows, rejected, "left_anti"), docs.columns)
+    return unboxed(without_rows(rows, rejected), docs.columns)

@@ -93,8 +93,7 @@ l AS (SELECT r, doc_id, host, text, unnest(string_split(text, chr(10))) AS line,
         unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),
 dup AS (SELECT r, sum(c - 1) AS n FROM (SELECT r, line, count(*) AS c FROM l
         WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line) GROUP BY r),
-k AS (SELECT r, host, text, pos, regexp_replace(lower(trim(regexp_replace(line, '[ \t\x0B\f\r]+', ' ', 'g'), ' ')), '[0-9]+', '0', 'g') AS key
-      FROM l),
+k AS (SELECT r, host, text, pos, lower(trim(line, {_SPACES})) AS key FROM l),
 f AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT text) AS c FROM k WHERE key <> '' GROUP BY host, key) x
       JOIN (SELECT host, count(DISTINCT text) AS a FROM d GROUP BY host) y USING (host)
       WHERE c > {quality.MIN_DOCS} AND c > {quality.SHARE} * a),

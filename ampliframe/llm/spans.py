@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ampliframe.llm.common import _arrow_fields, boxed, join_rows, map_rows, plain, unboxed
+from ampliframe.llm.common import _arrow_fields, boxed, join_rows, map_rows, plain, split_by, unboxed
 from ampliframe.llm.hashing import NOT_SPACE, byte_class, range_codes, words_at
+from ampliframe.sources.stage import persist_stage
 
 #: A span is the shortest run of at least so many sentences with at least so many words.
 MIN_SENTENCES, MIN_WORDS = 3, 20
@@ -167,7 +168,8 @@ def span_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """
     docs = plain(docs, key, text)
     removals = _removals(docs)
-    hit = join_rows(docs, removals, "inner").select(
+    removals = persist_stage(removals, "repeated-spans")
+    hit = join_rows(split_by(docs, removals)[0], removals, "inner").select(
         "doc_id", "text", "earlier_docs", F.transform(
             "_spans", lambda s: F.array(s["first"], s["last"])).alias("_spans"))
 
