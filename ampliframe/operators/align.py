@@ -28,7 +28,9 @@ def kmer_distance(seqs: DataFrame, centre: str, k: int = 6) -> DataFrame:
     shared = (words.join(F.broadcast(of_centre), "kmer", "left").groupBy("feature_id")
               .agg(F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("shared"), F.sum("n").alias("words")))
     shorter = F.least("words", F.lit(len(centre) - k + 1))
-    return shared.select("feature_id", (1 - F.col("shared") / shorter).alias("distance"))
+    known = shared.select("feature_id", (1 - F.col("shared") / shorter).alias("distance"))
+    # A sequence shorter than a word has no distance, but it is in the answer.
+    return seqs.select("feature_id").join(known, "feature_id", "left")
 
 
 def _codes(text: str, width: int) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 from functools import reduce
 
@@ -105,22 +106,24 @@ def denoise(uniques: DataFrame | Prepared, rates: DataFrame, omega: float = 1e-4
 
 def learn_error_model(uniques: DataFrame, max_iter: int = 10, omega: float = 1e-40,
                       d_max: int = 6, q_max: int = 45) -> DataFrame:
-    """Alternates denoising and rate estimation until the assignment stays the same.
+    """Alternates denoising and rate estimation until the assignment stays the same, or comes
+    back to an earlier one; warns if ``max_iter`` rounds end before that.
 
     Only a two-number fingerprint of the assignment and the rate table (16 rows per quality)
     come to the driver.
     """
     prepared = prepare(uniques, d_max)
     rates = nominal_rates(uniques.sparkSession, q_max)
-    last = None
+    seen = set()
     for _ in range(max_iter):
         assigned = persist_stage(denoise(prepared, rates, omega), "assigned")
         mark = assigned.agg(F.count(F.lit(1)), F.sum(
             F.xxhash64(*UNIQUE, "centre").cast("decimal(38,0)"))).first()
-        if mark == last:
-            break
-        last = mark
+        if mark in seen:  # the same assignment, or a circle of several
+            return rates
+        seen.add(mark)
         rates = persist_stage(estimate_rates(transition_counts(assigned, weight="n"), q_max), "rates")
+    warnings.warn(f"the assignment still changed in round {max_iter}; raise max_iter", RuntimeWarning, stacklevel=2)
     return rates
 
 

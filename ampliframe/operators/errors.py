@@ -78,8 +78,10 @@ def log_likelihood(centre: Column, sequence: Column, quality: Column, table: Rat
 
     def term(p: Column) -> Column:
         q = F.least(F.ascii(p["q"]) - PHRED_OFFSET, F.lit(table.q_max))
-        pair = (F.instr(F.lit(BASES), p["f"]) - 1) * 4 + F.instr(F.lit(BASES), p["t"]) - 1
-        return F.get(table.values, pair * (table.q_max + 1) + q)
+        f, t = F.instr(F.lit(BASES), p["f"]), F.instr(F.lit(BASES), p["t"])
+        rate = F.get(table.values, ((f - 1) * 4 + t - 1) * (table.q_max + 1) + q)
+        # Any other letter than a base says nothing about the read.
+        return F.when((f > 0) & (t > 0), rate).otherwise(F.lit(0.0))
 
     return F.aggregate(places, F.lit(0.0), lambda total, p: total + term(p))
 

@@ -85,6 +85,6 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str],
                broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Inner join with a side that should be small: broadcast if its counted rows are within
     the limit, else salted. ``small`` should be a stored table, since it is counted first."""
-    if small.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if small.count() <= broadcast_rows:
         return big.join(F.broadcast(small), keys)
     return salted_join(big, small, keys)

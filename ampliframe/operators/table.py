@@ -48,11 +48,13 @@ def retention_at_depth(ft: DataFrame, depths: list[int], by: str | None = None,
     if by is not None:
         totals = totals.join(metadata.select("sample_id", by), "sample_id", "left")
         groups.append(by)
-    reached = F.filter(F.array(*[F.lit(int(d)) for d in depths]), lambda d: F.col("frequency") >= d)
-    return (totals.withColumn("depth", F.explode(reached))
+    every = F.array(*[F.lit(int(d)) for d in depths])
+    reached = F.col("frequency") >= F.col("depth")
+    # Depths that no sample reaches keep nothing, but they are in the answer.
+    return (totals.withColumn("depth", F.explode(every))
             .groupBy(*groups)
-            .agg(F.count(F.lit(1)).alias("samples_kept"),
-                 F.sum(F.col("depth").cast("bigint")).alias("counts_kept")))
+            .agg(F.count_if(reached).alias("samples_kept"),
+                 F.sum(F.when(reached, F.col("depth")).otherwise(0).cast("bigint")).alias("counts_kept")))
 
 
 def sequence_length_stats(seqs: DataFrame) -> DataFrame:

@@ -57,13 +57,26 @@ def dropped_samples(before: DataFrame, after: DataFrame) -> DataFrame:
         after.select("sample_id").distinct(), "sample_id", "left_anti")
 
 
-def collapse_taxa(ft: DataFrame, taxonomy: DataFrame, level: int, pad: str = "__") -> DataFrame:
+def _with_lineage(ft: DataFrame, lineages: DataFrame, missing: str) -> DataFrame:
+    """Counts with ``taxon``. A feature without a lineage stops the job ("error") when its row is
+    read, without a job of its own, or is left out ("drop")."""
+    if missing not in ("error", "drop"):
+        raise ValueError(f"unknown choice {missing!r}")
+    if missing == "drop":
+        return ft.join(lineages, "feature_id")
+    known = ft.join(lineages.withColumn("_known", F.lit(True)), "feature_id", "left")
+    complaint = F.raise_error(F.concat(F.lit("feature without taxonomy: "), F.coalesce("feature_id", F.lit("NULL"))))
+    return known.withColumn("taxon", F.when(F.col("_known"), F.col("taxon")).otherwise(complaint)).drop("_known")
+
+
+def collapse_taxa(ft: DataFrame, taxonomy: DataFrame, level: int, pad: str = "__",
+                  missing: str = "error") -> DataFrame:
     """Counts per sample of the first ``level`` ranks.
 
     Prefixes are cut on the taxonomy, once per feature, not once per count row.
     """
     prefixes = taxonomy.select("feature_id", lineage_prefix(F.col("taxon"), level, pad).alias("taxon"))
-    return (ft.join(prefixes, "feature_id").groupBy("taxon", "sample_id")
+    return (_with_lineage(ft, prefixes, missing).groupBy("taxon", "sample_id")
             .agg(F.sum("frequency").alias("frequency")))
 
 
@@ -72,14 +85,14 @@ def max_level(taxonomy: DataFrame) -> int:
 
 
 def collapse_all_levels(ft: DataFrame, taxonomy: DataFrame, levels: int | None = None,
-                        pad: str = "__") -> DataFrame:
+                        pad: str = "__", missing: str = "error") -> DataFrame:
     """Counts per sample at every rank.
 
     Counts are first summed per full lineage and sample; only these sums are repeated for
     the ranks, not every feature row. Prefixes are cut once per distinct lineage.
     """
     levels = levels or max_level(taxonomy)
-    full = (ft.join(taxonomy.select("feature_id", "taxon"), "feature_id")
+    full = (_with_lineage(ft, taxonomy.select("feature_id", "taxon"), missing)
             .groupBy("taxon", "sample_id").agg(F.sum("frequency").alias("frequency")))
     every = F.transform(F.sequence(F.lit(1), F.lit(levels)), lambda i: F.struct(
         i.alias("level"), lineage_prefix(F.col("taxon"), i, pad).alias("prefix")))
@@ -131,12 +144,12 @@ def top_taxa(collapsed: DataFrame, k: int, other: str = "other") -> DataFrame:
 
 
 def barplot_table(ft: DataFrame, taxonomy: DataFrame, metadata: DataFrame, level: int,
-                  taxa: list[str] | None = None, check: bool = True) -> DataFrame:
+                  taxa: list[str] | None = None, check: bool = True, missing: str = "error") -> DataFrame:
     """Shares per sample and taxon with the metadata columns.
 
     With ``taxa`` (the columns wanted) one row per sample, else the long form.
     """
-    shares = relative_abundance(collapse_taxa(ft, taxonomy, level))
+    shares = relative_abundance(collapse_taxa(ft, taxonomy, level, missing=missing))
     if taxa is not None:
         shares = to_wide(shares, taxa, row="sample_id", column="taxon", value="share")
     return attach_metadata(shares, metadata, check)

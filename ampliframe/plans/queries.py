@@ -478,10 +478,11 @@ def frequency_quantiles(i):
 
 
 @query(TABLE, """, s AS (SELECT sample_id, sum(frequency) AS f FROM ft GROUP BY 1)
-SELECT CAST(d AS INTEGER) AS depth, area, count(*) AS samples_kept, CAST(sum(d) AS BIGINT) AS counts_kept
-FROM s JOIN meta USING (sample_id), (SELECT unnest([1000, 13000, 15000, 16000]) AS d) dd WHERE f >= d GROUP BY 1, 2""")
+SELECT CAST(d AS INTEGER) AS depth, area, count(*) FILTER (f >= d) AS samples_kept,
+       CAST(coalesce(sum(d) FILTER (f >= d), 0) AS BIGINT) AS counts_kept
+FROM s JOIN meta USING (sample_id), (SELECT unnest([1000, 13000, 15000, 16000, 1000000000]) AS d) dd GROUP BY 1, 2""")
 def retention_at_depth(i):
-    return tb.retention_at_depth(i.ft, [1000, 13000, 15000, 16000], "area", i.meta)
+    return tb.retention_at_depth(i.ft, [1000, 13000, 15000, 16000, 10**9], "area", i.meta)
 
 
 @query(READS, f""", s AS (SELECT DISTINCT fwd AS sequence FROM reads_var)
@@ -776,15 +777,15 @@ def stage_round_trip(i):
     return load_stage(i.spark, path)
 
 
-@query(TABLE, """ SELECT feature_id AS "#OTU ID", a."Area 1", a."Area 2", CASE WHEN contains(taxon, 'Archaea') THEN NULL ELSE taxon END AS taxonomy
-FROM (SELECT feature_id, CAST(coalesce(sum(frequency) FILTER (area = 'ASIA'), 0) AS DOUBLE) AS "Area 1",
-  CAST(coalesce(sum(frequency) FILTER (area = 'EUROPE'), 0) AS DOUBLE) AS "Area 2"
-  FROM ft JOIN meta USING (sample_id) WHERE area IN ('ASIA', 'EUROPE') GROUP BY 1) a JOIN tax USING (feature_id)""")
+@query(TABLE, """ SELECT a.* RENAME (feature_id AS "#OTU ID"), CASE WHEN contains(taxon, 'Archaea') THEN NULL ELSE taxon END AS taxonomy
+FROM (SELECT feature_id, """ + ", ".join(
+    f'CAST(coalesce(sum(frequency) FILTER (area = \'{a}\'), 0) AS DOUBLE) AS "{a}"' for a in AREAS) + """
+  FROM ft JOIN meta USING (sample_id) GROUP BY 1) a JOIN tax USING (feature_id)""")
 def export_with_taxonomy(i):
     """Wide counts, lineage looked up (Archaea left out of the lookup: NA), text out and in."""
     pooled = i.ft.join(i.meta, "sample_id").groupBy("feature_id", F.col("area").alias("sample_id")).agg(
         F.sum("frequency").alias("frequency"))
-    wide = reshape.to_wide(pooled, ["ASIA", "EUROPE"]).toDF("#OTU ID", "Area 1", "Area 2")
+    wide = reshape.to_wide(pooled, AREAS).withColumnRenamed("feature_id", "#OTU ID")
     known = i.tax.filter(~F.contains("taxon", F.lit("Archaea")))
     path = new_path(i.spark, "export")
     wf.export_with_taxonomy(wide, known, path)

@@ -38,13 +38,15 @@ def filter_reads(pairs: DataFrame, trim_f: int = 23, trim_r: int = 20, trunc_f:
 
 
 def reads_to_counts(pairs: DataFrame, contaminants: DataFrame | None = None, key: list[str] | None = None,
-                    learn_from: int | None = 1_000_000, omega: float = 1e-40, d_max: int = 6,
+                    learn_from: int | None = None, omega: float = 1e-40, d_max: int = 6,
                     min_overlap: int = 12, max_iter: int = 10, **trimming) -> Counts:
     """Paired reads to a chimera-free count table.
 
-    ``learn_from`` fragments (chosen by hash) train the error rates; all of them are denoised.
+    All fragments train the error rates, or ``learn_from`` of them (chosen by hash) if a number
+    is given. ``key`` names a fragment; the lane is part of it where there is one, since reads are
+    numbered per file.
     """
-    key = key or ["sample_id", "read_no"]
+    key = key or [c for c in ("sample_id", "lane", "read_no") if c in pairs.columns]
     kept = filter_reads(pairs, **trimming)
     if contaminants is not None:
         kept = remove_contaminants(kept, contaminants, key)
@@ -88,7 +90,7 @@ def composition(ft: DataFrame, taxonomy: DataFrame, level: int = 2, missing: str
     """
     if missing == "error":
         require_taxonomy(ft, taxonomy)
-    return relative_abundance(collapse_taxa(ft, organelle_free(taxonomy), level))
+    return relative_abundance(collapse_taxa(ft, organelle_free(taxonomy), level, missing="drop"))
 
 
 def classify_counts(counts: Counts, model: TaxonomyModel, confidence: float = 0.7) -> DataFrame:
