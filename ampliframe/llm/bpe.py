@@ -24,10 +24,12 @@ from ampliframe.llm.common import map_rows, plain
 #: A vocabulary file goes to every executor, so its size is checked.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pieces whose ids are remembered in a task; the memory is emptied when it is full.
-MAX_CACHED = 200_000
+MAX_CACHED = 450_000
 MAX_CACHED_CHARS = 48
 #: Pairs of tokens whose stability is remembered.
-MAX_PAIRS = 300_000
+MAX_PAIRS = 500_000
+#: Prefixes whose last token is remembered.
+MAX_PREFIXES = 400_000
 #: Above every rank.
 NEVER = 1 << 62
 
@@ -44,7 +46,13 @@ class Vocabulary:
         if missing:
             raise ValueError(f"not a byte-level vocabulary: {len(missing)} bytes have no token")
         self.longest = max(map(len, ranks))
+        # Longest token by its last three bytes (all of a shorter token).
+        self.reach: dict[bytes, int] = {}
+        for token in ranks:
+            for ending in {token[-3:], token[-2:], token[-1:]}:
+                self.reach[ending] = max(len(token), self.reach.get(ending, 2))
         self.pairs: dict[int, bool] = {}
+        self.prefixes: dict[bytes, int] = {}  # last token of prefixes that words share
         self._edges: dict[int, tuple | None] = {}
 
     def merged(self, data: bytes, trace: list | None = None) -> list[bytes]:
@@ -161,37 +169,51 @@ class PrefixTable:
 def short_ids(v: Vocabulary, data: bytes) -> list[int]:
     """As ``PrefixTable(v, data).ids()``, with the table filled only where the last token of the
     whole string asks for it; for strings short enough to recurse."""
-    token_of, pairs, last = v.ranks.get, v.pairs, {}
-
-    def fill(end: int) -> int:
-        for begin in range(max(0, end - v.longest), end):
-            token = token_of(data[begin:end])
-            if token is None:
-                continue
-            if not begin:
-                if v.whole(token):
-                    break
-                continue
-            before = last.get(begin)
-            if before is None:
-                before = fill(begin)
-            pair = before << 32 | token
-            valid = pairs.get(pair)
-            if valid is None:
-                if len(pairs) >= MAX_PAIRS:
-                    pairs.clear()
-                valid = pairs[pair] = v.stable(before, token)
-            if valid:
-                break
-        last[end] = token
-        return token
-
+    last: dict[int, int] = {}
     out, end = [], len(data)
     while end:
-        token = last.get(end) or fill(end)
+        token = last.get(end)
+        if token is None:
+            token = _fill(v, data, end, last)
         out.append(token)
         end -= len(v.tokens[token])
-    return out[::-1]
+    out.reverse()
+    return out
+
+
+def _fill(v: Vocabulary, data: bytes, end: int, last: dict[int, int]) -> int:
+    ranks, pairs = v.ranks, v.pairs
+    # No token with this ending is longer than its reach.
+    begin = end - v.reach.get(data[end - 3:end] if end >= 3 else data[:end], 2)
+    for begin in range(begin if begin > 0 else 0, end):
+        part = data[begin:end]
+        if part not in ranks:
+            continue
+        token = ranks[part]
+        if not begin:
+            if v.whole(token):
+                break
+            continue
+        before = last.get(begin)
+        if before is None:
+            prefix = data[:begin]
+            before = v.prefixes.get(prefix)
+            if before is None:
+                before = _fill(v, data, begin, last)
+                if len(v.prefixes) >= MAX_PREFIXES:
+                    v.prefixes.clear()
+                v.prefixes[prefix] = before
+            last[begin] = before
+        pair = before << 32 | token
+        valid = pairs.get(pair)
+        if valid is None:
+            if len(pairs) >= MAX_PAIRS:
+                pairs.clear()
+            valid = pairs[pair] = v.stable(before, token)
+        if valid:
+            break
+    last[end] = token
+    return token
 
 
 class _Pieces(dict):
