@@ -29,7 +29,7 @@ def _explained(pairs: DataFrame, table: RateTable, omega: float) -> DataFrame:
         (F.col("centre_n") == F.col("n")) & (F.col("centre") < F.col("sequence")))
     log_lambda = log_likelihood(F.col("centre"), F.col("sequence"), F.col("quality"), table)
     test = let(F.ln("centre_n") + log_lambda, lambda m: F.struct(
-        m.alias("log_mean"), log_surplus_chance(F.col("n"), F.exp(m)).alias("log_chance")))
+        m.alias("log_mean"), log_surplus_chance(F.col("n"), m).alias("log_chance")))
     return (pairs.filter(more).withColumn("test", test)
             .filter(F.col("test.log_chance") + F.ln("in_group") >= math.log(omega))
             .withColumn("log_mean", F.col("test.log_mean")).drop("test"))
@@ -104,10 +104,11 @@ def denoise(uniques: DataFrame | Prepared, rates: DataFrame, omega: float = 1e-4
     return themselves.unionByName(assigned)
 
 
-def learn_error_model(uniques: DataFrame, max_iter: int = 10, omega: float = 1e-40,
+def learn_error_model(uniques: DataFrame, max_iter: int | None = None, omega: float = 1e-40,
                       d_max: int = 6, q_max: int = 45) -> DataFrame:
     """Alternates denoising and rate estimation until the assignment stays the same, or comes
-    back to an earlier one; warns if ``max_iter`` rounds end before that.
+    back to an earlier one. There are finitely many assignments, so one of the two happens.
+    If ``max_iter`` is given and that many rounds end before, a warning says so.
 
     Only a two-number fingerprint of the assignment and the rate table (16 rows per quality)
     come to the driver.
@@ -115,7 +116,7 @@ def learn_error_model(uniques: DataFrame, max_iter: int = 10, omega: float = 1e-
     prepared = prepare(uniques, d_max)
     rates = nominal_rates(uniques.sparkSession, q_max)
     seen = set()
-    for _ in range(max_iter):
+    while max_iter is None or len(seen) < max_iter:
         assigned = persist_stage(denoise(prepared, rates, omega), "assigned")
         mark = assigned.agg(F.count(F.lit(1)), F.sum(
             F.xxhash64(*UNIQUE, "centre").cast("decimal(38,0)"))).first()

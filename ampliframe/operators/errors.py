@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ampliframe.functions.sequence import BASES, MAX_QUALITY, PHRED_OFFSET, let
 
-# Terms of the tail series; the published test works at 1e-40.
-SERIES_TERMS = 50
+# The tail series runs until a term is below exp(-SERIES_DIGITS) of the sum, MIN_TERMS at least.
+SERIES_DIGITS = 37.0
+MIN_TERMS = 50
 
 
 def nominal_rates(spark: SparkSession, q_max: int = 45) -> DataFrame:
@@ -86,13 +87,28 @@ def log_likelihood(centre: Column, sequence: Column, quality: Column, table: Rat
     return F.aggregate(places, F.lit(0.0), lambda total, p: total + term(p))
 
 
-def log_surplus_chance(n: Column, mean: Column) -> Column:
-    """ln P(X >= n | X >= 1) for a Poisson X; 0 where n is no surplus (n = 1 or n <= mean)."""
-    return let(mean, lambda m: _log_surplus_chance(n, m))
+def log_surplus_chance(n: Column, log_mean: Column) -> Column:
+    """ln P(X >= n | X >= 1) for a Poisson X, given ln of its mean; 0 where n is no surplus
+    (n = 1 or n <= mean).
+
+    The mean itself may be too small for a double; its logarithm is not.
+    """
+    return let(log_mean, lambda m: _log_surplus_chance(n, m))
+
+
+def _terms(a: Column, log_mean: Column) -> Column:
+    """Terms after which the tail series changes no more in double precision.
+
+    Terms shrink at least by mean / (a + 1) each; near the mean by exp(-i^2 / 2(a + i)) in all.
+    """
+    shrink = F.ln(a + 1) - log_mean
+    few = F.when(shrink > 0, SERIES_DIGITS / shrink)
+    many = SERIES_DIGITS + F.sqrt(SERIES_DIGITS ** 2 + 2 * SERIES_DIGITS * a)
+    return F.greatest(F.lit(MIN_TERMS), F.ceil(F.least(few, many)).cast("int"))
 
 
-def _log_surplus_chance(n: Column, mean: Column) -> Column:
-    a = n.cast("double")
+def _log_surplus_chance(n: Column, log_mean: Column) -> Column:
+    a, mean = n.cast("double"), F.exp(log_mean)
     log_factorial = (a * F.ln(a) - a + 0.5 * F.ln(2 * math.pi * a)
                      + 1 / (12 * a) - 1 / (360 * F.pow(a, F.lit(3.0))))
     start = F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term"))
@@ -101,8 +117,8 @@ def _log_surplus_chance(n: Column, mean: Column) -> Column:
         term = acc["term"] * mean / (a + i)
         return F.struct((acc["sum"] + term).alias("sum"), term.alias("term"))
 
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(SERIES_TERMS)), start, add_term,
+    series = F.aggregate(F.sequence(F.lit(1), _terms(a, log_mean)), start, add_term,
                          lambda acc: acc["sum"])
-    log_tail = F.least(-mean + a * F.ln(mean) - log_factorial + F.ln(series), F.lit(0.0))
-    log_any = F.when(mean < 1e-8, F.ln(mean)).otherwise(F.ln(1 - F.exp(-mean)))
+    log_tail = F.least(-mean + a * log_mean - log_factorial + F.ln(series), F.lit(0.0))
+    log_any = F.when(mean < 1e-8, log_mean).otherwise(F.ln(1 - F.exp(-mean)))
     return F.when((n <= 1) | (a <= mean), F.lit(0.0)).otherwise(F.least(log_tail - log_any, F.lit(0.0)))

@@ -48,6 +48,19 @@ def validate_reads(reads: DataFrame) -> DataFrame:
     return per_read.unionByName(per_file)
 
 
+def require_sound(pairs: DataFrame) -> DataFrame:
+    """The pairs as they are; the job that reads them stops at the first one with a ``pair_error``,
+    with a sequence and qualities of unequal lengths, or with letters outside ACGTN. No pass of its own.
+    """
+    faults = [F.col("pair_error")] if "pair_error" in pairs.columns else []
+    for mate in ("fwd", "rev"):
+        faults += [F.when(F.length(mate) != F.length(f"{mate}_qual"), F.lit(f"{mate}: length_mismatch")),
+                   F.when(~F.col(mate).rlike("^[ACGTN]*$"), F.lit(f"{mate}: bad_base"))]
+    fault = F.coalesce(*faults)
+    stop = F.raise_error(F.concat_ws(" ", F.lit("unsound pair"), F.col("sample_id"), F.col("read_no"), fault))
+    return pairs.filter(F.when(fault.isNull(), F.lit(True)).otherwise(stop.cast("boolean")))
+
+
 def truncate_at_quality(pairs: DataFrame, trunc_q: int = 2) -> DataFrame:
     """Cut both mates before their first base with quality <= trunc_q."""
     cut = {}

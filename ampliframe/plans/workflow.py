@@ -10,7 +10,7 @@ from ampliframe.operators import denoise as dn
 from ampliframe.operators.classify import TaxonomyModel, assign_taxonomy
 from ampliframe.operators.lookup import match_lookup, semi_keep
 from ampliframe.operators.reads import (
-    by_direction, dereplicate, filter_expected_errors, remove_contaminants, rounded_quality,
+    by_direction, dereplicate, filter_expected_errors, remove_contaminants, require_sound, rounded_quality,
     sample_reads, trim_truncate, truncate_at_quality)
 from ampliframe.operators.taxa import (
     collapse_taxa, filter_taxonomy, relative_abundance, require_taxonomy)
@@ -39,14 +39,15 @@ def filter_reads(pairs: DataFrame, trim_f: int = 23, trim_r: int = 20, trunc_f:
 
 def reads_to_counts(pairs: DataFrame, contaminants: DataFrame | None = None, key: list[str] | None = None,
                     learn_from: int | None = None, omega: float = 1e-40, d_max: int = 6,
-                    min_overlap: int = 12, max_iter: int = 10, **trimming) -> Counts:
-    """Paired reads to a chimera-free count table.
+                    min_overlap: int = 12, max_iter: int | None = None, **trimming) -> Counts:
+    """Paired reads to a chimera-free count table. An unsound pair stops the job.
 
     All fragments train the error rates, or ``learn_from`` of them (chosen by hash) if a number
     is given. ``key`` names a fragment; the lane is part of it where there is one, since reads are
     numbered per file.
     """
     key = key or [c for c in ("sample_id", "lane", "read_no") if c in pairs.columns]
+    pairs = require_sound(pairs)
     kept = filter_reads(pairs, **trimming)
     if contaminants is not None:
         kept = remove_contaminants(kept, contaminants, key)

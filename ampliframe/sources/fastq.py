@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-import io
 import re
+import warnings
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ampliframe.schema import DIRECTED_READS
+from ampliframe.schema import DIRECTED_READS, PAIRED_READS
 
 # Fixed value: <sample>_<barcode>_L<lane>_R<1|2>_001.fastq.gz
 FILE_NAME = re.compile(r"^(?P<sample>.+)_[^_]+_L(?P<lane>\d+)_R(?P<mate>[12])_001\.fastq\.gz$")
-BATCH_ROWS = 4096
+READS_NAME = re.compile(r"\.(fastq|fq)(\.gz)?$")
+BLOCK_BYTES = 4 << 20
+
+PAIRS = T.StructType([*PAIRED_READS, T.StructField("pair_error", T.StringType())])
 
 
 def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -26,6 +32,75 @@ class FastqFile(InputPartition):
     def __init__(self, path: str, sample_id: str, lane: int, direction: str):
         self.path, self.sample_id, self.lane, self.direction = path, sample_id, lane, direction
 
+    @property
+    def name(self) -> str:
+        return self.path.rsplit("/", 1)[-1]
+
+
+class Mates(InputPartition):
+    """The files of one sample and lane, by direction."""
+
+    def __init__(self, sample_id: str, lane: int, files: dict[str, FastqFile]):
+        self.sample_id, self.lane, self.files = sample_id, lane, files
+
+
+def _list_files(folder: str) -> list[FastqFile]:
+    """The read files of a folder. A reads file with another name is an error; anything else
+    in the folder is left out with a warning."""
+    files, root = _filesystem(folder)
+    found, others = [], []
+    for info in files.get_file_info(fs.FileSelector(root, recursive=False)):
+        name = FILE_NAME.match(info.base_name)
+        if name is not None and info.type == fs.FileType.File:
+            direction = "F" if name["mate"] == "1" else "R"
+            found.append(FastqFile(info.path, name["sample"], int(name["lane"]), direction))
+        elif READS_NAME.search(info.base_name):
+            raise ValueError(f"unexpected fastq file name: {info.base_name}")
+        else:
+            others.append(info.base_name)
+    if not found:
+        raise ValueError(f"no fastq files in {folder}")
+    if others:
+        warnings.warn(f"not read: {', '.join(sorted(others))}", RuntimeWarning, stacklevel=2)
+    return found
+
+
+def _records(files: fs.FileSystem, file: FastqFile) -> Iterator[pa.RecordBatch]:
+    """``read_id, seq, qual`` of a file, one batch per decompressed block."""
+    rest, before = b"", 0
+    with files.open_input_stream(file.path, compression="gzip") as raw:
+        while True:
+            block = raw.read(BLOCK_BYTES)
+            data = rest + block
+            if not block and data and not data.endswith(b"\n"):
+                data += b"\n"
+            ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1
+            if not block and len(ends) % 4:
+                raise ValueError(f"{file.name}: the file ends inside a record")
+            ends = ends[:len(ends) // 4 * 4]
+            if len(ends):
+                yield _parse(data[:ends[-1]], ends, file.name, before)
+                rest, before = data[ends[-1]:], before + len(ends) // 4
+            else:
+                rest = data
+            if not block:
+                return
+
+
+def _parse(data: bytes, ends: np.ndarray, name: str, before: int) -> pa.RecordBatch:
+    """Four lines make one record; all lines of a block are cut at once."""
+    if not data.isascii():
+        raise ValueError(f"{name}: not ASCII")
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    lines = pc.ascii_rtrim(
+        pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(data)), characters="\r\n")
+    header, seq, plus, qual = (lines.take(pa.array(np.arange(i, len(ends), 4))) for i in range(4))
+    sound = pc.and_(pc.starts_with(header, "@"), pc.starts_with(plus, "+"))
+    if not pc.all(sound).as_py():
+        raise ValueError(f"{name}: record {before + pc.index(sound, False).as_py()} is not fastq")
+    read_id = pc.list_element(pc.split_pattern(pc.utf8_slice_codeunits(header, 1), " ", max_splits=1), 0)
+    return pa.RecordBatch.from_arrays([read_id, seq, qual], ["read_id", "seq", "qual"])
+
 
 class FastqReader(DataSourceReader):
     def __init__(self, options: dict):
@@ -33,53 +108,63 @@ class FastqReader(DataSourceReader):
         self.direction = options.get("direction")
 
     def partitions(self):
-        files, root = _filesystem(self.folder)
-        found = []
-        for info in files.get_file_info(fs.FileSelector(root, recursive=False)):
-            name = FILE_NAME.match(info.base_name)
-            if name is None:
-                if info.base_name.endswith((".fastq", ".fastq.gz")):
-                    raise ValueError(f"unexpected fastq file name: {info.base_name}")
-                continue
-            direction = "F" if name["mate"] == "1" else "R"
-            if self.direction in (None, direction):
-                found.append(FastqFile(info.path, name["sample"], int(name["lane"]), direction))
-        if not found:
-            raise ValueError(f"no fastq files in {self.folder}")
-        return found
+        return [f for f in _list_files(self.folder) if self.direction in (None, f.direction)]
 
     def read(self, partition: FastqFile):
-        files, _ = _filesystem(self.folder)
-        columns: list[list] = [[], [], [], []]
-        file_name = partition.path.rsplit("/", 1)[-1]
-
-        def batch():
-            numbers, ids, bases, quals = columns
-            rows = len(numbers)
-            return pa.RecordBatch.from_arrays([
-                pa.array([partition.sample_id] * rows, pa.string()),
-                pa.array([partition.lane] * rows, pa.int32()),
-                pa.array([partition.direction] * rows, pa.string()),
-                pa.array(numbers, pa.int64()), pa.array(ids, pa.string()),
-                pa.array(bases, pa.string()), pa.array(quals, pa.string()),
-                pa.array([file_name] * rows, pa.string()),
+        first = 0
+        for part in _records(_filesystem(self.folder)[0], partition):
+            n = part.num_rows
+            yield pa.RecordBatch.from_arrays([
+                pa.repeat(pa.scalar(partition.sample_id), n), pa.repeat(pa.scalar(partition.lane, pa.int32()), n),
+                pa.repeat(pa.scalar(partition.direction), n), pa.array(np.arange(first, first + n)),
+                *part.columns, pa.repeat(pa.scalar(partition.name), n),
             ], names=DIRECTED_READS.fieldNames())
+            first += n
+
+
+def _side_by_side(sides: list[Iterator[pa.RecordBatch]]) -> Iterator[list[pa.RecordBatch | None]]:
+    """Batches of both files cut to equal numbers of records; None where a file has ended."""
+    heads = [next(side, None) for side in sides]
+    while any(head is not None for head in heads):
+        n = min(head.num_rows for head in heads if head is not None)
+        yield [head if head is None else head.slice(0, n) for head in heads]
+        heads = [None if head is None else head.slice(n) if head.num_rows > n else next(side, None)
+                 for head, side in zip(heads, sides)]
+
+
+class PairsReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.folder = options["path"]
 
-        with files.open_input_stream(partition.path, compression="gzip") as raw:
-            lines = (line.rstrip("\r\n") for line in io.TextIOWrapper(raw, encoding="ascii"))
-            # Four lines make one record; zip pulls them from the same iterator in turn.
-            for number, (header, seq, plus, qual) in enumerate(
-                    zip(lines, lines, lines, lines, strict=True)):
-                if not header.startswith("@") or not plus.startswith("+"):
-                    raise ValueError(f"{file_name}: record {number} is not fastq")
-                read_id = header[1:].split(" ", 1)[0]
-                for column, value in zip(columns, (number, read_id, seq, qual)):
-                    column.append(value)
-                if len(columns[0]) == BATCH_ROWS:
-                    yield batch()
-                    columns = [[], [], [], []]
-        if columns[0]:
-            yield batch()
+    def partitions(self):
+        mates: dict[tuple[str, int], Mates] = {}
+        for f in _list_files(self.folder):
+            found = mates.setdefault((f.sample_id, f.lane), Mates(f.sample_id, f.lane, {}))
+            if f.direction in found.files:
+                raise ValueError(f"two files for one lane: {found.files[f.direction].name} and {f.name}")
+            found.files[f.direction] = f
+        return list(mates.values())
+
+    def read(self, partition: Mates):
+        files, _ = _filesystem(self.folder)
+        sides = [_records(files, partition.files[d]) if d in partition.files else iter(()) for d in "FR"]
+        first = 0
+        for fwd, rev in _side_by_side(sides):
+            one = rev if fwd is None else fwd
+            n = one.num_rows
+            nothing = pa.nulls(n, pa.string())
+            if rev is None or fwd is None:
+                error = pa.repeat(pa.scalar("missing_reverse" if rev is None else "missing_forward"), n)
+            else:
+                error = pc.if_else(pc.not_equal(fwd["read_id"], rev["read_id"]), pa.scalar("id_mismatch"),
+                                   pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([
+                pa.repeat(pa.scalar(partition.sample_id), n), pa.repeat(pa.scalar(partition.lane, pa.int32()), n),
+                pa.array(np.arange(first, first + n)), one["read_id"],
+                *(nothing if side is None else side[column] for side in (fwd, rev) for column in ("seq", "qual")),
+                error,
+            ], names=PAIRS.fieldNames())
+            first += n
 
 
 class FastqSource(DataSource):
@@ -94,6 +179,18 @@ class FastqSource(DataSource):
         return FastqReader(self.options)
 
 
+class PairsSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "fastq_pairs"
+
+    def schema(self):
+        return PAIRS
+
+    def reader(self, schema):
+        return PairsReader(self.options)
+
+
 def read_fastq_casava(spark: SparkSession, path: str, direction: str | None = None) -> DataFrame:
     """One row per read. A file is one task (gzip cannot be split), streamed in batches.
 
@@ -104,3 +201,13 @@ def read_fastq_casava(spark: SparkSession, path: str, direction: str | None = No
     if direction:
         reader = reader.option("direction", direction)
     return reader.load(path)
+
+
+def read_fastq_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """One row per fragment, as ``pair_mates`` makes them from single reads, without a shuffle.
+
+    Mates stand in the same order in their two files, so one task per sample and lane reads
+    both side by side, each once. Two files for one sample, lane and direction are an error.
+    """
+    spark.dataSource.register(PairsSource)
+    return spark.read.format("fastq_pairs").load(path)

@@ -137,10 +137,22 @@ def test_planted_variants(spark):
 
 def test_surplus_chance(spark):
     for n, mean in [(1, 0.1), (2, 1e-9), (5, 0.3), (20, 3.0), (300, 100.0), (7, 9.0)]:
-        got = spark.range(1).select(errors.log_surplus_chance(F.lit(n), F.lit(mean))).first()[0]
+        got = spark.range(1).select(errors.log_surplus_chance(F.lit(n), F.lit(math.log(mean)))).first()[0]
         assert abs(got - log_tail(n, mean)) < 1e-3, (n, mean)
 
 
+def test_surplus_chance_near_and_far_from_the_mean(spark):
+    def chance(n, log_mean):
+        return spark.range(1).select(errors.log_surplus_chance(F.lit(n), F.lit(log_mean))).first()[0]
+
+    # Half of a Poisson lies above a large mean: hundreds of terms of the series count.
+    n, mean = 100_001, 100_000.0
+    terms = [math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) for k in range(n, n + 4000)]
+    assert abs(chance(n, math.log(mean)) - math.log(math.fsum(terms))) < 1e-6
+    # A mean below the smallest double: P(X >= 5 | X >= 1) is mean^4 / 5!.
+    assert abs(chance(5, -800.0) - (-3200 - math.log(120))) < 1e-3
+
+
 def test_merge(spark, rows):
     pairs = spark.createDataFrame([
         ("s", "AAAACCCCGGGGTTTT", "GGATAAAACCCCGGGG", 3),   # rc CCCCGGGGTTTTATCC: overlap 12
