@@ -812,11 +812,11 @@ lines AS (SELECT concat(CASE WHEN row_no = 0 THEN '' ELSE ',' END, '{"id":"', fe
 UNION ALL SELECT concat(CASE WHEN col_no = 0 THEN '' ELSE ',' END, '{"id":"', sample_id, '","metadata":null}') FROM c
 UNION ALL SELECT concat(CASE WHEN row_number() OVER (ORDER BY row_no, col_no) = 1 THEN '' ELSE ',' END, '[', row_no, ',', col_no, ',', frequency, ']')
   FROM ft JOIN r USING (feature_id) JOIN c USING (sample_id)
-UNION ALL SELECT concat('{"id": null, "format": "Biological Observation Matrix 1.0.0", "type": "OTU table", "matrix_type": "sparse", "matrix_element_type": "int", "shape": [',
+UNION ALL SELECT concat('{"id": null, "format": "Biological Observation Matrix 1.0.0", "format_url": "http://biom-format.org", "generated_by": "ampliframe", "date": "2020-05-14T00:00:00+00:00", "type": "OTU table", "matrix_type": "sparse", "matrix_element_type": "int", "shape": [',
   (SELECT count(*) FROM r), ', ', (SELECT count(*) FROM c), '], "rows": [')
 UNION ALL SELECT '], "columns": [' UNION ALL SELECT '], "data": [' UNION ALL SELECT ']}')
 SELECT line FROM lines""")
 def biom_json_file(i):
     path = new_path(i.spark, "json")
-    sinks.write_biom_json(i.ft, i.tax, path)
+    sinks.write_biom_json(i.ft, i.tax, path, date="2020-05-14T00:00:00+00:00")
     return i.spark.read.text(path).withColumnRenamed("value", "line")
