@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ampliframe.llm.common import LOWER, SPACES, UPPER, boxed, plain, join_rows, unboxed, wide_hash
+from ampliframe.llm.common import LOWER, SPACES, UPPER, boxed, join_rows, plain, split_by, unboxed, wide_hash
 from ampliframe.operators.partitioning import salted_join
+from ampliframe.sources.stage import persist_stage
 
 SALTS = 8
 
 
-def _lines() -> Column:
-    return F.split(F.col("text"), "\n", -1)
+def _lines(text: Column | str = "text") -> Column:
+    return F.split(text, "\n", -1)
 
 
 def line_key(line: Column) -> Column:
@@ -46,15 +47,20 @@ def _dropped(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
             .groupBy("doc_id", "_t").agg(F.collect_set("pos").alias("_drop")))
 
 
-def _judged(rows: DataFrame, docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    drop = _dropped(docs, min_chars, min_docs)
-    found = join_rows(rows, drop, "left").withColumn("_lines", _lines())
+def _judged(rows: DataFrame, text: Column, docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """``rows`` with ``_n_lines``, ``_n_dropped`` and ``_kept``; rows that lose no line stay where they are."""
+    drop = persist_stage(_dropped(docs, min_chars, min_docs), "dropped-lines")
+    maybe, others = split_by(rows, drop)
+    found = join_rows(maybe, drop, "left").withColumn("_lines", _lines(text))
     places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
     kept = F.concat_ws("\n", F.transform(places, lambda i: F.col("_lines")[i]))
-    return found.select(
+    changed = found.select(
         *rows.columns, F.size("_lines").cast("long").alias("_n_lines"),
         F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("_n_dropped"),
-        F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept).alias("_kept"))
+        F.when(F.col("_drop").isNull(), text).otherwise(kept).alias("_kept"))
+    return changed.unionAll(others.select(
+        *rows.columns, F.size(_lines(text)).cast("long").alias("_n_lines"),
+        F.lit(0).cast("long").alias("_n_dropped"), text.alias("_kept")))
 
 
 def line_report(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, key: str = "doc_id",
@@ -63,13 +69,13 @@ def line_report(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, key: st
 
     Lines are split at \\n. A key (:func:`line_key`) of at least ``min_chars`` code points held
     by at least ``min_docs`` different ids loses all its lines but those of the largest id. Only
-    hashes meet in the counting and in the join, which is salted; texts are shuffled once, to
-    their dropped positions. Null or empty text: one empty line, kept. Repeated rows count as
+    hashes meet in the counting and in the join, which is salted; texts that lose lines are shuffled
+    once, to their dropped positions. Null or empty text: one empty line, kept. Repeated rows count as
     one document and lose the same lines. A null id counts as one document and is never the
     last. An empty table gives an empty table.
     """
     docs = plain(docs, key, text)
-    return _judged(docs, docs, min_chars, min_docs).select(
+    return _judged(docs, F.col("text"), docs, min_chars, min_docs).select(
         "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
         F.col("_kept").alias("kept"))
 
@@ -78,8 +84,9 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, k
                       text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """The input rows with the remaining text (see :func:`line_report`); ``n_chars``, where it
     is a column, follows the new text. Unchanged rows keep their null text."""
-    rows = _judged(boxed(docs, key, text), plain(docs, key, text), min_chars, min_docs)
     old = F.col("_row").getField(text)
+    rows = _judged(boxed(docs, key, text).drop("text"), F.coalesce(old, F.lit("")), plain(docs, key, text),
+                   min_chars, min_docs)
     changed = {text: F.when(F.col("_n_dropped") == 0, old).otherwise(F.col("_kept"))}
     if n_chars in docs.columns:
         changed[n_chars] = F.when(F.col("_n_dropped") == 0, F.col("_row").getField(n_chars)).otherwise(
