@@ -211,8 +211,8 @@ def _candidates(lists: DataFrame) -> DataFrame:
             starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [held.shape[1]]])
             last = int(starts[-1])
             for s, e in zip(starts[:-1].tolist(), ends[:-1].tolist()):
-                # Lists of one member, by far the most, need nothing.
-                if e - s > 1 or hub is not None:
+                # Lists of one member, by far the most, need nothing; parts of a list are not lists.
+                if e - s > 1 or hub is not None or held[2, s]:
                     whole_list(held[:, s:e])
                 if len(out) > 50_000:
                     yield from sent()
@@ -221,7 +221,7 @@ def _candidates(lists: DataFrame) -> DataFrame:
                 long_list(held[:, :-1])
                 held = held[:, -1:]
             yield from sent()
-        if held.shape[1] > 1 or hub is not None:
+        if held.shape[1] > 1 or hub is not None or held[2].any():
             whole_list(held)
         yield from sent()
 

@@ -322,6 +322,17 @@ def test_ngram_join_of_a_large_group(spark, monkeypatch, small, run, block, hot)
     assert {tuple(r) for r in ngram_join.similar_groups(frame).collect()} == brute_components(rows)
 
 
+def test_ngram_join_of_groups_in_different_parts_of_a_hot_list(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", 5)
+    rows = {}
+    for f in range(8):  # twelve exact copies and one near copy: two groups, and all they share is hot
+        words = [f"f{f}w{j}" for j in range(80)]
+        rows |= {100 * f + c: " ".join(words) for c in range(12)} | {100 * f + 50: " ".join([*words[:-1], f"other{f}"])}
+    frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {tuple(r) for r in ngram_join.similar_groups(frame).collect()}
+    assert got == brute_components(rows) and {r[2] for r in got} == {100 * f for f in range(8)}
+
+
 def test_ngram_join_corner_cases(spark):
     cases = corner_cases(spark)
     got = [tuple(r) for r in ngram_join.similar_groups(cases).collect()]
