@@ -279,7 +279,7 @@ def _expanded(rows: DataFrame, classes: DataFrame, column: str) -> DataFrame:
     return groups.unionByName(rows.filter("kind = 1"))
 
 
-def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame, counts: np.ndarray) -> DataFrame:
+def _roots(docs: DataFrame, classes: DataFrame, groups: DataFrame, counts: np.ndarray) -> DataFrame:
     # Sets inside one group are a list of their own (kind 1), keyed by the group.
     several = classes.withColumn("_sets", F.count(F.lit(1)).over(_by("gid"))).filter("_sets > 1")
     inside = several.select(F.lit(1).alias("kind"), F.col("gid").alias("key"), F.lit(0).alias("salt"),
@@ -295,14 +295,15 @@ def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame, counts: np.nd
                           .select("kind", "key", F.col("a").alias("rep")).distinct(), "long-lists")
     # First one pair per pair of components that may be similar, which connects nearly all; then
     # every such pair that is left, so that a pair that failed hides no other.
+    roots = components(links)
     for forest in (True, False):
-        rest = _remaining(lists, components(links), classes, forest).join(possible.hint("merge"), ["a", "b"], "left_anti")
+        rest = _remaining(lists, roots, classes, forest).join(possible.hint("merge"), ["a", "b"], "left_anti")
         rest = persist_stage(rest, "possible-rest")
-        if not rest.limit(1).count():
-            break
-        links = persist_stage(links.unionAll(_verified(rest, docs, classes)), "similar-rest")
-        possible = possible.unionAll(rest)
-    return links
+        # The first may find only pairs that were tried; the second must still look behind them.
+        if rest.limit(1).count():
+            links = persist_stage(links.unionAll(_verified(rest, docs, classes)), "similar-rest")
+            possible, roots = possible.unionAll(rest), components(links)
+    return roots
 
 
 def _by(column: str):
@@ -392,7 +393,7 @@ def _placed(docs: DataFrame) -> DataFrame:
     heads = classes.filter("rep = gid").select("gid", "n", "p1", "p2").distinct()
     prefix = (rows.select(F.col("doc_id").alias("gid"), "n", "p1", "p2", "prefix").join(
         heads.hint("merge"), ["gid", "n", "p1", "p2"], "left_semi").dropDuplicates(["gid", "n", "p1", "p2"]))
-    roots = components(_links(docs, classes, prefix, counts))
+    roots = _roots(docs, classes, prefix, counts)
     placed = classes.join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(
         "n", "s1", "s2", F.coalesce("root", "rep").alias("component"))
     slim = rows.select("doc_id", "_t", "n", "s1", "s2")

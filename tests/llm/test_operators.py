@@ -333,6 +333,28 @@ def test_ngram_join_of_groups_in_different_parts_of_a_hot_list(spark, monkeypatc
     assert got == brute_components(rows) and {r[2] for r in got} == {100 * f for f in range(8)}
 
 
+def test_ngram_join_finds_a_pair_behind_pairs_that_failed(spark):
+    make = random.Random(6)
+    blocks = [[f"b{b}w{j}" for j in range(100)] for b in range(40)]
+
+    def text(chosen, i, own):  # ids in the order of sizes, so every list's hub is its smallest id
+        chosen = make.sample(chosen, len(chosen))
+        return " ".join([w for b in chosen for w in blocks[b]] + [f"t{i}o{j}" for j in range(own)])
+
+    rows, halves = {}, []
+    for i in range(0, 40, 2):  # a half of the blocks and the other half: each block in as many texts
+        halves.append(make.sample(range(40), 20))
+        rows[i] = text(halves[-1], i, i)
+        rows[i + 1] = text([b for b in range(40) if b not in halves[-1]], i + 1, i + 1)
+    del rows[18]
+    rows |= {i: text(halves[9], i, i + 40) for i in (40, 41)}
+    rows[42] = text([b for b in range(40) if b not in halves[9]], 42, 600)
+    wanted = brute_components(rows)
+    assert [(i, root) for i, _, root in wanted if i != root] == [(41, 40)]
+    frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert {tuple(r) for r in ngram_join.similar_groups(frame).collect()} == wanted
+
+
 def test_ngram_join_corner_cases(spark):
     cases = corner_cases(spark)
     got = [tuple(r) for r in ngram_join.similar_groups(cases).collect()]
