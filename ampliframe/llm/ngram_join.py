@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from ampliframe.llm.common import _arrow_fields, boxed, join_rows, map_rows, plain, split_by, unboxed, without_rows
 from ampliframe.llm.components import components
 from ampliframe.llm.hashing import NOT_SPACE, distinct, run_codes, word_codes
-from ampliframe.operators.partitioning import salted_join
+from ampliframe.operators.partitioning import global_index, salted_join
 from ampliframe.sources.stage import persist_stage
 
 #: Words in a shingle, similarity in percent.
@@ -413,14 +413,34 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return _placed(plain(docs, key, text)).select("doc_id", "n_shingles", "component_id")
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a number of its own as the id of each text, in the order of ids (null last), and
+    ``doc_id, _t, number``."""
+    numbers = persist_stage(global_index(
+        docs.select(F.col("doc_id").isNull().alias("_null"), "doc_id", "_t").distinct(), ["_null", "doc_id", "_t"], "number")
+        .select("doc_id", "_t", "number"), "numbers")
+    return join_rows(docs, numbers, "inner").select(F.col("number").alias("doc_id"), "text", "_t"), numbers
+
+
 def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The input rows that stay if one document of each component is kept, the one with the smallest
-    id; of a fully repeated row one. Texts without words stay. Only ids are joined to the texts."""
-    placed = persist_stage(_placed(plain(docs, key, text)), "components")
-    rows = boxed(docs, key, text)
-    gone = persist_stage(placed.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "_t").distinct(), "near-copies")
-    kept = without_rows(rows, gone)
-    repeated = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").limit(1).count()
-    if repeated:
-        kept = kept.dropDuplicates(["doc_id"])
+    id; of a fully repeated row one. Texts without words stay. Different texts under one id, or
+    without an id, are documents of their own, linked by their texts alone; null ids come last.
+    Only ids are joined to the texts."""
+    rows = plain(docs, key, text)
+    shared = rows.groupBy("doc_id").agg(F.min("_t").alias("x"), F.max("_t").alias("y")).filter("doc_id is null or x <> y")
+    numbers = None
+    if shared.limit(1).count():
+        rows, numbers = _numbered(rows)
+    placed = persist_stage(_placed(rows), "components")
+    gone = placed.filter("doc_id <> component_id").select("doc_id", "_t").distinct()
+    repeated = placed.groupBy("doc_id", "_t").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id", "_t")
+    if numbers is not None:
+        gone, repeated = (x.select(F.col("doc_id").alias("number")).join(numbers.hint("merge"), "number").select("doc_id", "_t")
+                          for x in (gone, repeated))
+    gone, repeated = persist_stage(gone, "near-copies"), persist_stage(repeated, "repeated")
+    kept = without_rows(boxed(docs, key, text), gone)
+    if repeated.limit(1).count():
+        some, others = split_by(kept, repeated)
+        kept = others.unionAll(some.dropDuplicates(["doc_id", "_t"]))
     return unboxed(kept, docs.columns)

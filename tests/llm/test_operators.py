@@ -365,6 +365,19 @@ def test_ngram_join_corner_cases(spark):
     assert kept.columns == cases.columns and 9 not in {r.doc_id for r in kept.collect()}
 
 
+def test_drop_similar_judges_texts_under_one_id_apart(spark):
+    words = {c: [f"{c}{j}" for j in range(60)] for c in "abcdefg"}
+    whole, near = {c: " ".join(w) for c, w in words.items()}, {c: " ".join([*w[:-1], "other"]) for c, w in words.items()}
+    rows = [(None, whole["a"]), (None, near["a"]), (None, whole["b"]), (None, near["g"]), (3, near["c"]), (7, whole["c"]), (7, whole["d"]),
+            (8, whole["e"]), (8, near["e"]), (9, whole["f"]), (9, whole["f"]), (10, whole["g"])]
+    kept = [tuple(r) for r in ngram_join.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    one_of = [{(None, whole["a"]), (None, near["a"])}, {(8, whole["e"]), (8, near["e"])}]
+    assert all(len(x & set(kept)) == 1 for x in one_of) and len(kept) == 7
+    assert {(None, whole["b"]), (3, near["c"]), (7, whole["d"]), (9, whole["f"]), (10, whole["g"])} <= set(kept)
+    plain_ids = spark.createDataFrame([(1, whole["a"]), (1, whole["a"]), (2, near["a"]), (3, whole["b"])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in ngram_join.drop_similar(plain_ids).collect()) == [1, 3]
+
+
 def test_components_of_a_path(spark):
     make = random.Random(1)
     names = make.sample(range(10_000), 300)
