@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ampliframe.llm.common import boxed, map_rows, plain, unboxed, without_rows
-from ampliframe.llm.hashing import WORD_LIKE, run_codes, word_codes
+from ampliframe.llm.hashing import WORD_LIKE, distinct, run_codes, word_codes
 from ampliframe.sources.stage import persist_stage
 
 SHINGLE = 5
@@ -47,24 +47,31 @@ def _fingerprints(hashes: np.ndarray, weights: np.ndarray, size: int) -> np.ndar
 
 
 class Index:
-    """Items by number of words, with their shingle weights, fingerprints and Hamming blocks."""
+    """Items by number of words, with their shingle weights, fingerprints and Hamming blocks.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    ``items`` may be a part of a benchmark: ``n_items`` is then the number of its items with words, and
+    ``shared`` in how many of them each shingle is that several hold."""
+
+    def __init__(self, items: list[tuple[int, str]], n_items: int | None = None, shared: dict[int, int] | None = None):
         found = [(i, words_of(t)) for i, t in items]
         found = [(i, c) for i, c in found if len(c)]
         self.kinds = sorted({min(SHINGLE, len(c)) for _, c in found})
         per_item = [(i, len(c), min(SHINGLE, len(c)), run_codes(c, min(SHINGLE, len(c)))) for i, c in found]
         held = Counter(int(h) for x in per_item for h in set(x[3].tolist()))
+        if shared is not None:
+            held = {**dict.fromkeys(held, 1), **shared}
+        n_items = len(per_item) if n_items is None else n_items
         # Weight of a shingle: rarer among the items counts more; one outside the benchmark
         # counts as one that a single item holds.
-        self.top = 1.0 + math.log(max(len(per_item), 1))
-        self.weight = {h: 1.0 + math.log(len(per_item) / n) for h, n in held.items()}
+        self.top = 1.0 + math.log(max(n_items, 1))
+        self.weight = {h: 1.0 + math.log(n_items / n) for h, n in held.items()}
+        self.weighted = np.array(sorted(self.weight), np.uint64)
         self.known = {k: np.array(sorted({h for x in per_item if x[2] == k for h in x[3].tolist()}), np.uint64)
                       for k in self.kinds}
         self.sizes: dict[tuple[int, int], dict] = {}
         for k, n in sorted({(x[2], x[1]) for x in per_item}):
             group = [x for x in per_item if (x[2], x[1]) == (k, n)]
-            prints = np.vstack([_fingerprints(x[3], self.weights(x[3], k), len(x[3])) for x in group])
+            prints = np.vstack([_fingerprints(x[3], self.weights(x[3]), len(x[3])) for x in group])
             near = np.zeros((BLOCKS, 256, len(group)), bool)  # block value -> items within one bit
             flips = np.array([0, *(1 << np.arange(8))], np.uint8)
             for b in range(BLOCKS):
@@ -78,9 +85,9 @@ class Index:
                                 "bags": [Counter(x[3].tolist()) for x in group],
                                 "known": np.array(sorted(holders), np.uint64)}
 
-    def weights(self, hashes: np.ndarray, k: int) -> np.ndarray:
+    def weights(self, hashes: np.ndarray) -> np.ndarray:
         out = np.full(len(hashes), self.top)
-        for i in np.flatnonzero(_member(hashes, self.known[k])):
+        for i in np.flatnonzero(_member(hashes, self.weighted)):
             out[i] = self.weight[int(hashes[i])]
         return out
 
@@ -100,9 +107,13 @@ class Index:
             hit = np.flatnonzero(_member(hashes, self.known[k]))
             if not len(hit):
                 continue
-            weights = self.weights(hashes, k)
+            weights = self.weights(hashes)
             for (kind, n), group in self.sizes.items():
-                if kind != k or n > len(codes):
+                if kind != k:
+                    continue
+                if n > len(codes):  # the whole document is its one window
+                    if _member(hashes[hit], group["known"]).any():
+                        self._search(hashes, weights, 0, len(hashes), len(codes), group, best)
                     continue
                 # A window without a shingle of the group's items has similarity 0 to all of them, so
                 # fingerprints are made only for stretches of windows that hold one.
@@ -159,7 +170,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     benchmark item that some item-sized window of the document matches; clean documents have none.
 
     Words are runs of ASCII letters, digits and all non-ASCII characters, A-Z in lower case. Every window with as many words as an item
-    gets a SimHash of its 5-word shingles (shorter items: one shingle of all words). The Hamming
+    (or the whole document, if that is shorter) gets a SimHash of its 5-word shingles (shorter items: one shingle of all words). The Hamming
     blocks yield all pairs within ``RADIUS`` bits, whose weighted similarity is then computed
     exactly and compared with ``THRESHOLD``. Null or empty texts and items match nothing; items
     with equal text all match; repeated document rows repeat their rows.
@@ -171,6 +182,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     items = persist_stage(benchmark.select(F.col(item).cast("long").alias("item_id"),
                                            F.col(item_text).alias("text")).dropna().distinct(), "items")
     passes = max(1, -(-items.count() // ITEMS_PER_PASS))
+    # Weights are those of the whole benchmark, also if it takes several passes.
+    weights = spark.sparkContext.broadcast(_shared_shingles(items) if passes > 1 else (None, None))
     items = items.withColumn("_pass", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)))
     sizes = items.groupBy("_pass").agg(F.sum(F.length("text")).alias("n")).agg(F.max("n")).first()[0] or 0
     if sizes > MAX_PASS_CHARS:
@@ -179,18 +192,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     for number in range(passes):
         block = [(r["item_id"], r["text"]) for r in
                  items.filter(F.col("_pass") == number).orderBy("item_id", "text").collect()]
-        part = _search(plain(docs, key, text), spark.sparkContext.broadcast(block))
+        part = _search(plain(docs, key, text), spark.sparkContext.broadcast(block), weights)
         found = part if found is None else found.unionAll(part)
     return found
 
 
-def _search(docs: DataFrame, block) -> DataFrame:
+def _shared_shingles(items: DataFrame) -> tuple[int, dict[int, int]]:
+    """How many items have words, and in how many of them each shingle is that several hold."""
+    def work(rows):
+        found = [words_of(t) for t in rows["text"]]
+        sets = [distinct(run_codes(c, min(SHINGLE, len(c)))) for c in found if len(c)]
+        return {"h": np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64), "_first": [
+            i == 0 for s in sets for i in range(len(s))]}
+
+    shingles = persist_stage(map_rows(items.select("text"), work, "h long, _first boolean"), "item-shingles")
+    several = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return shingles.filter("_first").count(), {r["h"] % (1 << 64): r["n"] for r in several.collect()}
+
+
+def _search(docs: DataFrame, block, weights) -> DataFrame:
     name = uuid.uuid4().hex
 
     def work(rows):
         if name not in _indexes:
             _indexes.clear()
-            _indexes[name] = Index(block.value)
+            _indexes[name] = Index(block.value, *weights.value)
         index, out = _indexes[name], []
         for doc, t, text in zip(rows["doc_id"], rows["_t"], rows["text"]):
             out += [(doc, t, item, *found) for item, found in sorted(index.matches(text).items())]

@@ -79,6 +79,28 @@ def test_decontamination_of_edited_items_and_corner_cases(spark):
     assert decontaminate.contaminated(extra, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_documents_shorter_than_an_item(spark):
+    words = [f"word{i}" for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    rows = [(1, " ".join(words[:38])), (2, " ".join(words[1:39])), (3, " ".join(words[:25])), (4, "word1 word2")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in decontaminate.contaminated(frame, bench).collect()}
+    assert set(found) == {1, 2} and abs(found[1].similarity - 34 / 36) < 1e-9 and found[1].n_words == 38
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(frame, bench).collect()) == [3, 4]
+
+
+def test_decontamination_does_not_depend_on_passes(spark, monkeypatch):
+    frame = " ".join(f"frame{i}" for i in range(20))
+    items = [(i, f"{frame} " + " ".join(f"item{i}x{j}" for j in range(20))) for i in range(12)] + [(50, "two words")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before {t} behind".replace("x18 ", f"y{i} ")) for i, t in items], "doc_id long, text string")
+    once = sorted(tuple(r) for r in decontaminate.contaminated(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "ITEMS_PER_PASS", 2)
+    several = sorted(tuple(r) for r in decontaminate.contaminated(docs, bench).collect())
+    assert [r[:3] + r[4:] for r in once] == [r[:3] + r[4:] for r in several] and len(once) >= 5
+    assert all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(once, several))
+
+
 def test_fingerprints_within_radius_are_all_candidates():
     make = random.Random(3)
     items = [(i, " ".join(make.choice("abcdefghij") * 3 + str(make.randrange(50)) for _ in range(40))) for i in range(30)]
