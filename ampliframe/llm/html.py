@@ -277,7 +277,9 @@ class Trees:
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        """Log odds of each row."""
+        """Log odds of each row; without trees the start score."""
+        if not self.trees:
+            return np.full(len(x), self.start)
         binned, rows = self._bins(x), np.arange(len(x))
         score = np.full(len(x), self.start)
         for split_on, split_at, value in self.trees:
@@ -448,7 +450,8 @@ def extract_pages(pages: DataFrame, trees: Trees, key: str = "page_id", source:
     """``page_id, url, text, n_chars``, one row per input row, from the whole html.
 
     Null or empty html gives an empty text, as does a page without main text; text without any
-    markup is judged as one node. Repeated rows and equal pages give equal texts. A map without
+    markup is judged as one node. Trees that no page could train (none has an article element) tell
+    nothing apart, so the result is then all visible text of a page. Repeated rows and equal pages give equal texts. A map without
     a shuffle: a page is held as a whole in one task, a bounded number of pages at a time.
     """
     shared = pages.sparkSession.sparkContext.broadcast(trees)

@@ -181,6 +181,13 @@ def test_html_extraction(spark):
         assert r.text == "\n".join(b for b in blocks if b)
 
 
+def test_html_without_any_article_element(spark):
+    pages = [(1, "u", "<body><div><p>One text.</p></div><script>var x;</script><div>More.</div></body>"), (2, "u", None)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract_pages(frame, html.fit(frame)).collect()}
+    assert got == {1: "One text.\nMore.", 2: ""}
+
+
 def test_decoding_has_no_contradiction():
     page = html.parse("<div><p>a text</p><div><p>more</p><div><p>deep</p></div></div></div>" * 3)
     make = np.random.default_rng(1)
