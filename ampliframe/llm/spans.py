@@ -12,11 +12,14 @@ from ampliframe.llm.common import _arrow_fields, boxed, join_rows, map_rows, pla
 from ampliframe.llm.hashing import NOT_SPACE, byte_class, range_codes, words_at
 from ampliframe.sources.stage import persist_stage
 
-#: A span is the shortest run of at least so many sentences with at least so many words.
+#: A span is a run of at least so many sentences with at least so many words that no shorter one has with
+#: the same begin, or with the same end: together they cover every repeated run that is long enough.
 MIN_SENTENCES, MIN_WORDS = 3, 20
-#: A sentence of more words than ``LONG`` counts as several of ``PIECE`` words, so that a passage of one
-#: or two very long sentences also holds runs of several.
-LONG, PIECE = 18, 9
+#: A sentence of more words than ``LONG`` counts as several, so that a passage of one or two very long
+#: sentences also holds runs of several. It is cut behind words whose code, with that of the word
+#: before, is the least within ``NEAR`` words: a passage is cut alike wherever it begins. Where
+#: no such word comes for ``LONG`` words, as among equal words, every ``PIECE`` words.
+LONG, PIECE, NEAR = 18, 9, 2
 
 _ends, _closes = byte_class(b".!?"), byte_class(b"\"')]")
 
@@ -39,19 +42,44 @@ def sentences(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.diff(np.concatenate([[-1], final]))
     place = np.arange(n) - np.repeat(final - size + 1, size)
     left = np.repeat(final, size) - np.arange(n)
-    stop |= (np.repeat(size, size) > LONG) & ((place + 1) % PIECE == 0) & (left >= PIECE // 2)
+    long = np.repeat(size, size) > LONG
+    if long.any():
+        inner = long & (place >= PIECE // 2) & (left >= PIECE // 2)
+        stop |= _least(codes) & inner
+        edge = np.flatnonzero(stop)
+        since = np.arange(n) - np.repeat(np.concatenate([[-1], edge[:-1]]), np.diff(np.concatenate([[-1], edge])))
+        whole = np.repeat(np.diff(np.concatenate([[-1], edge])), np.diff(np.concatenate([[-1], edge])))
+        stop |= inner & (whole > LONG) & (since % PIECE == 0) & (whole - since >= PIECE // 2)
     first = np.concatenate([[0], np.flatnonzero(stop) + 1])
     return codes, first, np.concatenate([[0], starts[first[1:-1]], [len(data)]])
 
 
+def _least(codes: np.ndarray) -> np.ndarray:
+    """Which words have a code, mixed with that of the word before, under those of all within ``NEAR`` words."""
+    mixed = codes.copy()
+    mixed[1:] ^= codes[:-1] * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    out = np.ones(len(codes), bool)
+    for d in range(1, NEAR + 1):
+        out[d:] &= mixed[d:] < mixed[:-d]
+        out[:-d] &= mixed[:-d] < mixed[d:]
+    return out
+
+
 def spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``first, last, h1, h2``: for each sentence the shortest long enough run that begins with it, and a
-    128-bit key of the run's words, A-Z in lower case."""
+    """``first, last, h1, h2``: for each sentence the shortest long enough runs that begin and that end with
+    it, each run once, and a 128-bit key of the run's words, A-Z in lower case."""
     codes, at, _ = sentences(data)
     n = len(at) - 1
     first = np.arange(n)
     last = np.maximum(first + MIN_SENTENCES, np.searchsorted(at, at[:-1] + MIN_WORDS)) - 1
     first, last = first[last < n], last[last < n]
+    # Of the runs that end with a sentence those that begin a shorter run are still to be added.
+    end = np.arange(n)
+    begin = np.minimum(end - MIN_SENTENCES + 1, np.searchsorted(at, at[1:] - MIN_WORDS, side="right") - 1)
+    begin, end = begin[begin >= 0], end[begin >= 0]
+    more = last[begin] != end
+    first, last = np.concatenate([first, begin[more]]), np.concatenate([last, end[more]])
     other = (codes ^ (codes >> np.uint64(17))) * np.uint64(0xBF58476D1CE4E5B9)
     return (first, last, range_codes(codes, at[first], at[last + 1]).view(np.int64),
             range_codes(other, at[first], at[last + 1]).view(np.int64))
@@ -160,7 +188,7 @@ def span_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """``doc_id, n_sentences, n_removed, n_removed_words, earlier_docs, kept`` (text), one row per input
     row that loses sentences; a text that repeats nothing has no row.
 
-    Every run of several consecutive sentences is hashed, keys meet over the whole table, and a
+    The shortest long enough runs from and up to every sentence are hashed, keys meet over the whole table, and a
     sentence goes if any repeated span that is not the first covers it. Repeated rows are one
     text. ``earlier_docs``: ids of texts that hold the removed spans and come before. Null or empty texts and
     texts shorter than a span lose nothing. Hashes are shuffled once, and texts once to

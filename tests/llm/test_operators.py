@@ -288,6 +288,46 @@ def test_span_dedup_equals_brute_force(docs, texts):
     assert got and got == brute_spans(texts)
 
 
+def all_repeated_runs(texts):
+    """The number of sentences that any long enough run covers, of all lengths, whose words came before."""
+    seen, gone = set(), defaultdict(set)
+    for doc in sorted(texts):
+        data = texts[doc].encode()
+        at = spans.sentences(data)[2]
+        parts = [data[a:b].lower().split() for a, b in zip(at[:-1], at[1:])]
+        for first in range(len(parts)):
+            key, n = 0, 0
+            for last in range(first, len(parts)):
+                for word in parts[last]:
+                    key, n = hash((key, word)), n + 1
+                if last - first + 1 >= spans.MIN_SENTENCES and n >= spans.MIN_WORDS:
+                    if (n, key) in seen:
+                        gone[doc].update(range(first, last + 1))
+                    seen.add((n, key))
+    return {doc: len(places) for doc, places in gone.items()}
+
+
+def test_span_dedup_removes_all_of_each_repeated_run(spark, docs, texts):
+    assert {r.doc_id: r.n_removed for r in spans.span_report(docs).collect()} == all_repeated_runs(texts)
+    words = lambda c, n: " ".join(f"{c}{j}" for j in range(n)) + ". "
+    run = words("a", 15) + words("b", 5) + words("c", 5) + words("d", 3)
+    frame = spark.createDataFrame([(1, words("x", 9) + run + words("y", 9)), (2, run + words("z", 9))], "doc_id long, text string")
+    assert [(r.doc_id, r.kept) for r in spans.span_report(frame).collect()] == [(2, words("z", 9))]
+
+
+def test_span_dedup_finds_runs_of_words_at_any_place_of_a_text_without_stops(spark):
+    make, rows, passages = random.Random(8), [], {}
+    for i in range(100):
+        words = lambda c, n: [f"{c}{i}x{j}" for j in range(n)]
+        passages[i] = words("p", make.randrange(50, 80))
+        rows += [(i + 1000 * k, " ".join([*words(f"{k}a", make.randrange(20, 60)), *passages[i], *words(f"{k}b", 40)])) for k in (0, 1)]
+    left = {r.doc_id: r.kept.split() for r in spans.span_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(left) == {i + 1000 for i in range(100)}
+    # What stays of a passage are the words of the cut pieces at its two ends; own words all stay.
+    assert sum(w in set(passages[i]) for i in passages for w in left[i + 1000]) < sum(map(len, passages.values())) / 5
+    assert all(set(rows[2 * i + 1][1].split()) - set(passages[i]) <= set(left[i + 1000]) for i in passages)
+
+
 def test_span_dedup_finds_a_planted_passage(spark):
     passage = "Here begins the passage. It has some words, and then more words. A third sentence follows it here. The end of it."
     rows = [(i, f"Own words of text {i} stand here. {passage} And {i} behind.") for i in (4, 2, 9)] + [(20, "clean text. " * 2)]
