@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ampliframe.llm import bpe, decontaminate, html, line_dedup, ngram_join, packing, quality, spans, token_files, toxicity
+from ampliframe.llm import (bpe, cross_tokens, decontaminate, html, line_dedup, ngram_join, packing, pitman_yor, quality, search, spans,
+                            token_files, toxicity)
 from ampliframe.llm.common import table
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 END_ID = 50256
+BYTE_TOKENS, PIECE_TOKENS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +65,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed")
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokens.align_tokenizers(table(spark, sf_dir, "documents"), BYTE_TOKENS, PIECE_TOKENS, PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_decontaminate, op2_bpe, op3_extract_html, op4_pack_tokens, op5_substring_dedup, op6_ngram_join,
-    op7_token_counts, op8_toxicity, op9_line_dedup, op10_quality_rules)}
+    op7_token_counts, op8_toxicity, op9_line_dedup, op10_quality_rules, op11_lm_score, op12_ranked_search, op13_cross_tokens)}
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -107,4 +121,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines::BIGINT AS n_dup_line
        base_failed, NOT base_failed AND n_words - n_removed >= {quality.MIN_WORDS}
          AND n_words - n_removed >= {quality.MIN_LEFT} * n_words AS kept
 FROM b""",
+    "op12_ranked_search": rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, {_AZ}), '{{TERM}}') AS ws
+           FROM documents WHERE text IS NOT NULL),
+d AS (SELECT r, doc_id, len(ws) AS n FROM t WHERE len(ws) > 0),
+i AS (SELECT row_number() OVER () AS q, item_id, ws FROM (SELECT DISTINCT item_id, regexp_extract_all(translate(text, {_AZ}), '{{TERM}}') AS ws
+      FROM benchmark WHERE text IS NOT NULL)),
+a AS (SELECT DISTINCT q, unnest(ws) AS term FROM i),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM t) WHERE term IN (SELECT term FROM a) GROUP BY r, term),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+      FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+g AS (SELECT q, d.r, d.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+      FROM a JOIN p USING (term) JOIN w USING (term) JOIN d ON p.r = d.r CROSS JOIN s GROUP BY q, d.r, d.doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM g WHERE score > 0)
+JOIN i USING (q) WHERE rank <= 10""".replace("{TERM}", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"),
 }

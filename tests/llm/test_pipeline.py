@@ -18,7 +18,8 @@ def comparable(rows, columns):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_same_rows_as_sql(spark, name):
     duck = duckdb.connect()
-    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     theirs = duck.execute(queries.SQL[name])
     columns = [c[0] for c in theirs.description]
     ours = queries.QUERIES[name](spark, SF)
