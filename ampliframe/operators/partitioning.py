@@ -12,11 +12,11 @@ from ampliframe.session import scratch_dir
 ROW_BITS = 33
 
 
-def _sorted_parts(df: DataFrame, order_by: list[str]) -> DataFrame:
-    """Range-sorted and checkpointed, so partitions stay as they are; adds the partition
-    (``_part``) and the place in it (``_row``)."""
+def _placed(df: DataFrame) -> DataFrame:
+    """Checkpointed, so partitions stay as they are; adds the partition (``_part``) and the place
+    in it (``_row``)."""
     scratch_dir(df.sparkSession)
-    places = df.orderBy(*order_by).checkpoint().withColumn("_at", F.monotonically_increasing_id())
+    places = df.checkpoint().withColumn("_at", F.monotonically_increasing_id())
     return places.select("*", F.shiftright("_at", ROW_BITS).alias("_part"),
                          F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("_row")).drop("_at")
 
@@ -27,26 +27,31 @@ def _before_parts(sizes: DataFrame) -> DataFrame:
         "_before", F.sum("_size").over(Window.orderBy("_part")) - F.col("_size"))
 
 
-def global_index(df: DataFrame, order_by: list[str], name: str) -> DataFrame:
-    """Number rows 0, 1, 2, … in the order of ``order_by`` (a unique key).
+def number_rows(df: DataFrame, name: str) -> DataFrame:
+    """Number the rows 0, 1, 2, … as they stand (sorted before).
 
-    A row's number is its place inside its sorted partition plus the size of the partitions
-    before. Only one row per partition is windowed, never the table.
+    A row's number is its place inside its partition plus the size of the partitions before. Only
+    one row per partition is windowed, never the table.
     """
-    places = _sorted_parts(df, order_by)
+    places = _placed(df)
     before = _before_parts(places.groupBy("_part").agg(F.count(F.lit(1)).alias("_size")))
     return (places.join(before, "_part")
             .withColumn(name, F.col("_row") + F.col("_before"))
             .select(*df.columns, name))
 
 
+def global_index(df: DataFrame, order_by: list[str], name: str) -> DataFrame:
+    """Number rows 0, 1, 2, … in the order of ``order_by`` (a unique key)."""
+    return number_rows(df.orderBy(*order_by), name)
+
+
 def weighted_quantiles(counted: DataFrame, value: str, weight: str, fractions: list[float]) -> list:
     """Exact quantiles (linear between neighbours) of ``value``, each present ``weight`` times.
 
     No task sees all values: ranks are running sums inside sorted partitions plus the sums of
     the partitions before, and only the wanted ranks come back.
     """
-    places = _sorted_parts(counted.select(value, weight), [value])
+    places = _placed(counted.select(value, weight).orderBy(value))
     before = _before_parts(places.groupBy("_part").agg(F.sum(weight).alias("_size")))
     total = before.agg(F.sum("_size")).first()[0]
     if not total:

@@ -56,12 +56,23 @@ mates AS (SELECT sample_id, cast(1 AS int) AS lane, read_no, 'F' AS direction,
 templates AS (SELECT k, md5(amp) AS feature_id, amp AS sequence FROM t),
 ref_tax AS (SELECT feature_id AS ref_id, k, sequence, concat('D_0__Bacteria;D_1__P', cast(k % 3 AS string),
         ';D_2__C', cast(k % 6 AS string), ';D_3__O', cast(k AS string)) AS taxon FROM templates),
-unique_seqs AS (SELECT md5(fwd) AS feature_id, fwd AS sequence, min(k) AS k, count(*) AS n
-        FROM reads GROUP BY fwd),
+mate_seqs AS (SELECT k, fwd AS sequence FROM reads UNION ALL SELECT k, rev AS sequence FROM reads),
+unique_seqs AS (SELECT md5(sequence) AS feature_id, sequence, min(k) AS k, count(*) AS n
+        FROM mate_seqs GROUP BY sequence),
+origins AS (SELECT event_id AS read_no, sample_id, 'F' AS direction, fw AS origin FROM r0
+        UNION ALL SELECT event_id AS read_no, sample_id, 'R' AS direction, rv AS origin FROM r0),
 ref_reads AS (SELECT taxon, fwd AS sequence FROM reads JOIN ref_tax ON reads.k = ref_tax.k),
 aln AS (SELECT feature_id, CASE WHEN k % 4 = 0
-        THEN concat(substr(sequence, 1, 10), '-----', substr(sequence, 16, 45))
-        ELSE substr(sequence, 1, 60) END AS aligned FROM unique_seqs),
+        THEN concat(substr(sequence, 1, 10), '-----', substr(sequence, 16))
+        ELSE sequence END AS aligned FROM unique_seqs),
+family AS (SELECT md5(s) AS feature_id, s AS sequence, min(matches) AS matches, min(inserted) AS inserted FROM (
+        SELECT CASE WHEN event_id % 3 = 0 THEN concat(substr(fw, 1, cast(15 + event_id % 150 AS int)), 'ACG',
+                                                     substr(fw, cast(16 + event_id % 150 AS int)))
+                    WHEN event_id % 3 = 1 THEN concat(substr(fw, 1, cast(15 + event_id % 150 AS int)),
+                                                     substr(fw, cast(19 + event_id % 150 AS int)))
+                    ELSE fw END AS s,
+               CASE WHEN event_id % 3 = 1 THEN 177 ELSE 180 END AS matches,
+               CASE WHEN event_id % 3 = 0 THEN 3 ELSE 0 END AS inserted FROM r0 WHERE k = 19) z GROUP BY s),
 indels AS (SELECT DISTINCT md5(s) AS feature_id, s AS sequence FROM (
         SELECT CASE WHEN read_no % 5 = 0 THEN concat(substr(fwd, 1, 40), 'ACG', substr(fwd, 41))
                     WHEN read_no % 5 = 1 THEN concat(substr(fwd, 1, 60), substr(fwd, 64))
@@ -96,7 +107,27 @@ pass2 AS (SELECT pass1.* FROM pass1 JOIN tax ON pass1.feature_id = tax.feature_i
         WHERE contains(lower(taxon), 'd_') AND NOT contains(lower(taxon), 'd_4__mitochondria'))
 """
 
-TABLES = {READS: ["events"], TABLE: ["lineitem", "part", "supplier", "nation", "region"]}
+# References and fragments that grow in number with the data: a reference per part, under a lineage of its
+# own, and a fragment of one of them per customer, with a wrong base and for two in three the other strand.
+REFERENCES = """
+base AS (SELECT p_partkey AS id, translate(concat(
+        md5(concat('r', cast(p_partkey AS string), '-0')), md5(concat('r', cast(p_partkey AS string), '-1')),
+        md5(concat('r', cast(p_partkey AS string), '-2')), md5(concat('r', cast(p_partkey AS string), '-3')),
+        md5(concat('r', cast(p_partkey AS string), '-4'))), '0123456789abcdef', 'ACGTACGTACGTACGT') AS sequence,
+        concat('D_0__Bacteria;D_1__', p_type, ';D_2__', p_brand, ';D_3__', replace(p_name, ' ', '_'), ';D_6__',
+               cast(p_partkey AS string)) AS taxon FROM {part}),
+refs AS (SELECT taxon, sequence FROM base),
+picked AS (SELECT c_custkey, 1 + (c_custkey * 7919) % top AS part_id FROM {customer}
+        CROSS JOIN (SELECT max(p_partkey) AS top FROM {part}) z),
+cut AS (SELECT c_custkey AS id, substr(sequence, cast(1 + c_custkey % 30 AS int), 130) AS s FROM picked
+        JOIN base ON base.id = part_id),
+marked AS (SELECT id, concat(substr(s, 1, cast(20 + id % 90 AS int)), translate(substr(s, cast(21 + id % 90 AS int), 1), 'ACGT', 'CGTA'),
+        substr(s, cast(22 + id % 90 AS int))) AS s FROM cut),
+fragments AS (SELECT cast(id AS string) AS feature_id, CASE WHEN id % 3 = 0 THEN s
+        ELSE reverse(translate(s, 'ACGT', 'TGCA')) END AS sequence FROM marked)
+"""
+
+TABLES = {READS: ["events"], REFERENCES: ["part", "customer"], TABLE: ["lineitem", "part", "supplier", "nation", "region"]}
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -104,8 +135,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 # What a run stores once and later steps read again: all read tables, and the counts.
-STORED = {READS: None, TABLE: {"ft"}}
-SOURCE = {READS: "events", TABLE: "lineitem"}
+STORED = {READS: None, REFERENCES: None, TABLE: {"ft"}}
+SOURCE = {READS: "events", REFERENCES: "customer", TABLE: "lineitem"}
 _plans: dict[tuple[str, str, str], DataFrame] = {}
 _stored: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ampliframe import functions as fn
 from ampliframe.operators import align, classify, denoise as dn, errors, lookup, near, reads as rd
 from ampliframe.operators import reshape, table as tb, taxa as tx
+from ampliframe.operators.partitioning import number_rows
 from ampliframe.plans import workflow as wf
-from ampliframe.plans.inputs import READS, TABLE, checking_sql, derive, load
+from ampliframe.plans.inputs import READS, REFERENCES, TABLE, checking_sql, derive, load
 from ampliframe.session import configure, new_path
 from ampliframe.sources import sinks, text
 from ampliframe.sources.stage import load_stage, persist_stage
@@ -174,14 +175,14 @@ def remove_contaminants(i):
 
 # ----------------------------------------------------------------------------- denoising
 
-@query(READS, """, c AS (SELECT DISTINCT r.sample_id, substr(amp, 1, 180) AS centre FROM r0 r JOIN t ON r.k = t.k),
-u AS (SELECT DISTINCT sample_id, fwd AS sequence FROM reads)
-SELECT sample_id, sequence, centre, CAST(hamming(sequence, centre) AS INTEGER) AS distance
-FROM u JOIN c USING (sample_id) WHERE hamming(sequence, centre) <= 3""")
+@query(READS, """, c AS (SELECT DISTINCT sample_id, direction, origin AS centre FROM origins),
+u AS (SELECT DISTINCT sample_id, direction, seq AS sequence FROM directed)
+SELECT sample_id, direction, sequence, centre, CAST(hamming(sequence, centre) AS INTEGER) AS distance
+FROM u JOIN c USING (sample_id, direction) WHERE hamming(sequence, centre) <= 3""")
 def near_pairs(i):
-    forward = i.reads.select("sample_id", F.lit("F").alias("direction"), F.col("fwd").alias("sequence")).distinct()
-    centres = i.r0.select("sample_id", F.lit("F").alias("direction"), F.col("fw").alias("centre")).distinct()
-    return near.near_pairs(forward, centres, 3).select("sample_id", "sequence", "centre", "distance")
+    uniques = i.directed.select("sample_id", "direction", F.col("seq").alias("sequence")).distinct()
+    centres = i.origins.select("sample_id", "direction", F.col("origin").alias("centre")).distinct()
+    return near.near_pairs(uniques, centres, 3).select("sample_id", "direction", "sequence", "centre", "distance")
 
 
 @query(READS, """, p AS (SELECT sample_id, fwd, reverse(translate(rev, 'ACGT', 'TGCA')) AS rc, count(*) AS n FROM reads GROUP BY 1, 2, 3),
@@ -251,15 +252,15 @@ def denoise_stats(i):
     return stats.select("sample_id", *dn.STEPS, *[r6(f"pct_{s}") for s in dn.STEPS[1:]])
 
 
-TRANSITIONS = """, x AS (SELECT fw[j] AS from_base, fwd[j] AS to_base, ascii(fwd_qual[j]) - 33 AS q FROM
-  (SELECT fw, fwd, fwd_qual, unnest(range(1, 181)) AS j FROM reads JOIN r0 ON reads.read_no = r0.event_id) z),
+TRANSITIONS = """, x AS (SELECT origin[j] AS from_base, seq[j] AS to_base, ascii(qual[j]) - 33 AS q FROM
+  (SELECT origin, seq, qual, unnest(range(1, 181)) AS j FROM directed JOIN origins USING (read_no, direction)) z),
 tc AS (SELECT from_base, to_base, CAST(q AS INTEGER) AS q, count(*) AS n FROM x GROUP BY 1, 2, 3)"""
 
 
 def _with_true_centre(i) -> DataFrame:
-    truth = i.r0.select(F.col("event_id").alias("read_no"), F.col("fw").alias("centre"))
-    return i.reads.join(truth, "read_no").select(
-        "centre", F.col("fwd").alias("sequence"), F.col("fwd_qual").alias("quality"))
+    truth = i.origins.select("read_no", "direction", F.col("origin").alias("centre"))
+    return i.directed.join(truth, ["read_no", "direction"]).select(
+        "centre", F.col("seq").alias("sequence"), F.col("qual").alias("quality"))
 
 
 @query(READS, TRANSITIONS + " SELECT * FROM tc")
@@ -350,15 +351,15 @@ def reads_to_counts_stats(i):
 @query(READS, """, c AS (SELECT taxon, substr(sequence, j, 7) AS kmer, count(*) AS n FROM
   (SELECT taxon, sequence, unnest(range(1, length(sequence) - 5)) AS j FROM ref_reads) z GROUP BY 1, 2),
 tot AS (SELECT taxon, sum(n) AS total FROM c GROUP BY 1)
-SELECT c.taxon, kmer, n, ROUND(ln((n + 0.001) / (total + 0.001 * 16384)), 6) AS log_p,
+SELECT c.taxon, kmer, ROUND(ln((n + 0.001) / (total + 0.001 * 16384)), 6) AS log_p,
        ROUND(ln(0.001 / (total + 0.001 * 16384)), 6) AS log_absent FROM c JOIN tot ON c.taxon = tot.taxon""")
 def train_taxonomy_nb(i):
-    counts = persist_stage(classify.count_words(i.ref_reads), "words")
-    return classify.log_ratios(counts).select("taxon", "kmer", "n", r6("log_p"), r6("log_absent"))
+    model = classify.train_taxonomy_nb(i.ref_reads.select("taxon", "sequence"))
+    return classify.model_words(model).select("taxon", "kmer", r6("log_p"), r6("log_absent"))
 
 
 NB_ON = """, c AS (SELECT taxon, substr(sequence, j, 7) AS kmer, count(*) AS n FROM
-  (SELECT taxon, sequence, unnest(range(1, length(sequence) - 5)) AS j FROM ref_tax) z GROUP BY 1, 2),
+  (SELECT taxon, sequence, unnest(range(1, length(sequence) - 5)) AS j FROM {refs}) z GROUP BY 1, 2),
 tot AS (SELECT taxon, CAST(sum(n) AS DOUBLE) AS total FROM c GROUP BY 1),
 fk AS (SELECT feature_id, substr(sequence, j, 7) AS kmer, count(*) AS m FROM
   (SELECT feature_id, sequence, unnest(range(1, length(sequence) - 5)) AS j FROM {features}) z GROUP BY 1, 2),
@@ -368,7 +369,7 @@ sc AS (SELECT u.feature_id, tot.taxon, -ln((SELECT count(*) FROM tot))
   FROM {features} u CROSS JOIN tot LEFT JOIN hits ON u.feature_id = hits.feature_id AND tot.taxon = hits.taxon),
 ex AS (SELECT *, exp(score - max(score) OVER (PARTITION BY feature_id)) AS e FROM sc),
 post AS (SELECT feature_id, taxon, score, e / sum(e) OVER (PARTITION BY feature_id) AS posterior FROM ex)"""
-NB_SQL = NB_ON.format(features="unique_seqs")
+NB_SQL = NB_ON.format(features="unique_seqs", refs="ref_tax")
 
 
 def _model(i) -> classify.TaxonomyModel:
@@ -382,36 +383,68 @@ def posteriors(i):
         "feature_id", "taxon", r6("posterior"))
 
 
-@query(READS, NB_SQL + """ SELECT feature_id, arg_max(taxon, posterior) AS taxon, ROUND(max(posterior), 6) AS confidence
-FROM post GROUP BY 1""")
+@query(READS, NB_SQL + """ SELECT feature_id, taxon, ROUND(posterior, 6) AS confidence
+FROM post QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY ROUND(posterior, 9) DESC, taxon) = 1""")
 def classify_nb(i):
     return classify.classify_nb(i.unique_seqs, _model(i)).select("feature_id", "taxon", r6("confidence"))
 
 
-@query(READS, NB_SQL + """, lv AS (SELECT feature_id, j AS level, array_to_string(list_slice(string_split(taxon, ';'), 1, j), ';') AS prefix, posterior
-  FROM (SELECT *, unnest(range(1, len(string_split(taxon, ';')) + 1)) AS j FROM post) z),
+CUT_SQL = """, lv AS (SELECT feature_id, j AS level, array_to_string(list_slice(string_split(taxon, ';'), 1, j), ';') AS prefix, posterior
+  FROM (SELECT *, unnest(range(1, len(string_split(taxon, ';')) + 1)) AS j FROM {post}) z),
 sums AS (SELECT feature_id, level, prefix, sum(posterior) AS s FROM lv GROUP BY 1, 2, 3),
 ok AS (SELECT * FROM sums WHERE s >= 0.7 QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY level DESC, s DESC, prefix DESC) = 1)
 SELECT p.feature_id, coalesce(ok.prefix, 'Unassigned') AS taxon, ROUND(coalesce(ok.s, p.m), 6) AS confidence
-FROM (SELECT feature_id, max(posterior) AS m FROM post GROUP BY 1) p LEFT JOIN ok ON p.feature_id = ok.feature_id""")
+FROM (SELECT feature_id, max(posterior) AS m FROM {post} GROUP BY 1) p LEFT JOIN ok ON p.feature_id = ok.feature_id"""
+
+
+@query(READS, NB_SQL + CUT_SQL.format(post="post"))
 def assign_taxonomy(i):
     return classify.assign_taxonomy(i.unique_seqs, _model(i)).select("feature_id", "taxon", r6("confidence"))
 
 
-@query(READS, """, probe AS (SELECT * FROM unique_seqs ORDER BY md5(feature_id), feature_id LIMIT 100),
-strands AS (SELECT concat('+', feature_id) AS feature_id, sequence FROM probe
-  UNION ALL SELECT concat('-', feature_id), reverse(translate(sequence, 'ACGT', 'TGCA')) FROM probe)"""
-       + NB_ON.format(features="strands") + """,
+STRANDS_SQL = """, strands AS (SELECT concat('+', feature_id) AS feature_id, sequence FROM {seqs}
+  UNION ALL SELECT concat('-', feature_id), reverse(translate(sequence, 'ACGT', 'TGCA')) FROM {seqs})"""
+
+
+@query(READS, STRANDS_SQL.format(seqs="unique_seqs") + NB_ON.format(features="strands", refs="ref_tax") + """,
 means AS (SELECT left(feature_id, 1) AS strand, avg(m) AS mean_confidence, count(*) AS n FROM
   (SELECT feature_id, max(posterior) AS m FROM post GROUP BY 1) z GROUP BY 1)
 SELECT strand, ROUND(mean_confidence, 6) AS mean_confidence, n,
   mean_confidence = (SELECT max(mean_confidence) FROM means) AS chosen FROM means""")
 def detect_orientation(i):
-    """The sample of 100 sequences is the operator's own."""
     return classify.detect_orientation(i.unique_seqs, _model(i)).withColumn(
         "mean_confidence", F.round("mean_confidence", 6))
 
 
+# Many lineages, fragments on either strand. The log of the summed scores decides on the strand.
+MIXED_SQL = STRANDS_SQL.format(seqs="fragments") + NB_ON.format(features="strands", refs="refs") + """,
+proof AS (SELECT feature_id, max(score) + ln(sum(e)) AS evidence FROM ex GROUP BY 1),
+side AS (SELECT a.feature_id[2:] AS feature_id, CASE WHEN a.evidence >= b.evidence THEN '+' ELSE '-' END AS strand
+  FROM proof a JOIN proof b ON a.feature_id[1] = '+' AND b.feature_id = concat('-', a.feature_id[2:])),
+mixed AS (SELECT side.feature_id, strand, taxon, posterior FROM side JOIN post ON post.feature_id = concat(strand, side.feature_id))"""
+
+
+def _large_model(i) -> classify.TaxonomyModel:
+    return classify.train_taxonomy_nb(i.refs)
+
+
+@query(REFERENCES, MIXED_SQL + """ SELECT feature_id, strand, taxon, ROUND(posterior, 6) AS confidence
+FROM mixed QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY ROUND(posterior, 9) DESC, taxon) = 1""")
+def orient_seqs(i):
+    return classify.orient_seqs(i.fragments, _large_model(i)).select("feature_id", "strand", "taxon", r6("confidence"))
+
+
+@query(REFERENCES, MIXED_SQL + CUT_SQL.format(post="mixed"))
+def assign_mixed_strands(i):
+    return classify.assign_taxonomy(i.fragments, _large_model(i), orientation="auto").select("feature_id", "taxon", r6("confidence"))
+
+
+@query(REFERENCES, NB_ON.format(features="fragments", refs="refs") + """ SELECT feature_id, taxon, ROUND(posterior, 6) AS confidence
+FROM post QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY ROUND(posterior, 9) DESC, taxon) = 1""")
+def classify_many_lineages(i):
+    return classify.classify_nb(i.fragments, _large_model(i)).select("feature_id", "taxon", r6("confidence"))
+
+
 CENTRE_SQL = "(SELECT sequence FROM unique_seqs ORDER BY n DESC, feature_id LIMIT 1)"
 
 
@@ -440,8 +473,25 @@ def star_align(i):
         F.broadcast(widths))  # one row
 
 
+@query(READS, " SELECT feature_id, sequence, CAST(matches AS INTEGER) AS matches, CAST(inserted AS INTEGER) AS inserted FROM family")
+def star_align_planted(i):
+    """Sequences of one template with three bases put in or taken out: places that agree with the
+    template's aligned row, and bases in places where it has a gap."""
+    family = i.family.select("feature_id", "sequence")
+    template = i.r0.filter("k = 19").select("fw").first()
+    centre = template["fw"] if template else ""
+    aligned = persist_stage(align.star_align(family.unionByName(
+        i.spark.createDataFrame([("template", centre)], "feature_id string, sequence string")), centre), "aligned")
+    true = aligned.filter("feature_id = 'template'").select(F.col("aligned").alias("_true"))  # one row
+    places = F.arrays_zip(F.split("aligned", "").alias("a"), F.split("_true", "").alias("t"))
+    return aligned.filter("feature_id <> 'template'").join(F.broadcast(true)).select(
+        "feature_id", F.replace("aligned", F.lit("-"), F.lit("")).alias("sequence"),
+        F.size(F.filter(places, lambda p: (p["a"] == p["t"]) & (p["a"] != "-"))).alias("matches"),
+        F.size(F.filter(places, lambda p: (p["t"] == "-") & (p["a"] != "-"))).alias("inserted"))
+
+
 @query(READS, """, cc AS (SELECT j AS pos, aligned[j] AS base, count(*) AS n FROM
-  (SELECT aligned, unnest(range(1, 61)) AS j FROM aln) z GROUP BY 1, 2),
+  (SELECT aligned, unnest(range(1, 181)) AS j FROM aln) z GROUP BY 1, 2),
 st AS (SELECT pos, sum(n) AS rows_, sum(CASE WHEN base = '-' THEN n ELSE 0 END) AS gaps,
   max(CASE WHEN base <> '-' THEN n ELSE 0 END) AS top FROM cc GROUP BY 1),
 kept AS (SELECT list(pos ORDER BY pos) AS ps FROM st WHERE gaps / rows_ <= 0.2 AND top / rows_ >= 0.4)
@@ -553,10 +603,12 @@ def removed_by_filter(i):
     return lookup.removed(i.ft, wf.remove_organelles(i.ft, i.tax, "drop").select("feature_id").distinct())
 
 
-@query(TABLE, """, rare AS (SELECT ft.* FROM ft JOIN tax USING (feature_id) WHERE contains(lower(taxon), 'mitochondria'))
+@query(TABLE, """, rare AS (SELECT ft.* FROM ft JOIN tax USING (feature_id) WHERE contains(lower(taxon), 'mitochondria') AND frequency >= 90)
 SELECT DISTINCT sample_id FROM ft WHERE sample_id NOT IN (SELECT sample_id FROM rare)""")
 def dropped_samples(i):
-    return tx.dropped_samples(i.ft, tx.filter_table_by_taxon(i.ft, i.tax, include="Mitochondria"))
+    """Few samples have so abundant a mitochondrion."""
+    abundant = i.ft.filter(F.col("frequency") >= 90)
+    return tx.dropped_samples(i.ft, tx.filter_table_by_taxon(abundant, i.tax, include="Mitochondria"))
 
 
 @query(TABLE, """ SELECT sample_id, area, depth_m, site, CAST(sum(frequency) AS BIGINT) AS frequency, count(*) AS features
@@ -623,18 +675,20 @@ def relative_abundance(i):
 
 @query(TABLE, SHARES_SQL.format(source="ft") + """, k AS (SELECT sample_id,
   coalesce(max(CASE WHEN taxon = 'D_0__Archaea;D_1__Euryarchaeota' THEN share END), 0) AS sort_value FROM sh GROUP BY 1)
-SELECT sample_id, taxon, ROUND(share, 6) AS share, ROUND(sort_value, 6) AS sort_value FROM sh JOIN k USING (sample_id)""")
+SELECT sample_id, taxon, ROUND(share, 6) AS share, ROUND(sort_value, 6) AS sort_value,
+  row_number() OVER (ORDER BY sort_value DESC, sample_id, taxon) - 1 AS place FROM sh JOIN k USING (sample_id)""")
 def sort_samples_by_taxon(i):
     shares = tx.relative_abundance(tx.collapse_taxa(i.ft, i.tax, 2))
-    return tx.sort_samples(shares, taxon="D_0__Archaea;D_1__Euryarchaeota").select(
-        "sample_id", "taxon", r6("share"), r6("sort_value"))
+    ordered = tx.sort_samples(shares, taxon="D_0__Archaea;D_1__Euryarchaeota")
+    return number_rows(ordered, "place").select("sample_id", "taxon", r6("share"), r6("sort_value"), "place")
 
 
-@query(TABLE, SHARES_SQL.format(source="ft") + """ SELECT sample_id, taxon, ROUND(share, 6) AS share, depth_m AS sort_value
-FROM sh JOIN meta USING (sample_id)""")
+@query(TABLE, SHARES_SQL.format(source="ft") + """ SELECT sample_id, taxon, ROUND(share, 6) AS share, depth_m AS sort_value,
+  row_number() OVER (ORDER BY depth_m DESC, sample_id, taxon) - 1 AS place FROM sh JOIN meta USING (sample_id)""")
 def sort_samples_by_metadata(i):
     shares = tx.relative_abundance(tx.collapse_taxa(i.ft, i.tax, 2))
-    return tx.sort_samples(shares, i.meta, "depth_m").select("sample_id", "taxon", r6("share"), "sort_value")
+    ordered = tx.sort_samples(shares, i.meta, "depth_m")
+    return number_rows(ordered, "place").select("sample_id", "taxon", r6("share"), "sort_value", "place")
 
 
 @query(TABLE, f""", c AS (SELECT {prefix_sql('3')} AS taxon, sample_id, sum(frequency) AS f FROM ft JOIN tax USING (feature_id) GROUP BY 1, 2),
@@ -666,9 +720,10 @@ def barplot_wide(i):
 
 
 @query(TABLE, """ SELECT sample_id FROM meta WHERE sample_id NOT IN (SELECT sample_id FROM ft JOIN tax USING (feature_id)
-WHERE contains(lower(taxon), 'mitochondria'))""")
+WHERE contains(lower(taxon), 'mitochondria') AND frequency >= 90)""")
 def empty_samples(i):
-    return tx.empty_samples(tx.filter_table_by_taxon(i.ft, i.tax, include="mitochondria"), i.meta)
+    abundant = i.ft.filter(F.col("frequency") >= 90)
+    return tx.empty_samples(tx.filter_table_by_taxon(abundant, i.tax, include="mitochondria"), i.meta)
 
 
 # --------------------------------------------------------------------------------- reshape
@@ -700,11 +755,11 @@ def reverse_complement(i):
     return i.reads.select("read_no", fn.reverse_complement(F.col("rev")).alias("rc"))
 
 
-@query(READS, """ SELECT read_no, array_to_string([ascii(qual[j]) - 33 for j in range(1, length(qual) + 1)], ',') AS scores
-FROM directed_var WHERE direction = 'F'""")
+@query(READS, """ SELECT read_no, direction, array_to_string([ascii(qual[j]) - 33 for j in range(1, length(qual) + 1)], ',') AS scores
+FROM directed_var""")
 def phred(i):
     scores = F.array_join(fn.phred(F.col("qual")).cast("array<string>"), ",")
-    return i.directed_var.filter("direction = 'F'").select("read_no", scores.alias("scores"))
+    return i.directed_var.select("read_no", "direction", scores.alias("scores"))
 
 
 @query(READS, " SELECT read_no, md5(fwd) AS feature_id FROM reads")
