@@ -15,7 +15,7 @@ from ampliframe.operators.errors import (
     transition_counts)
 from ampliframe.operators.partitioning import salted_join
 from ampliframe.operators.near import BLOCK, GROUP, near_pairs, with_blocks
-from ampliframe.sources.stage import persist_stage
+from ampliframe.sources.stage import Rounds, persist_stage, temporary_stages
 
 UNIQUE = [*GROUP, "sequence"]
 
@@ -62,7 +62,7 @@ def find_centres(prepared: Prepared, rates: DataFrame | RateTable, omega: float
     """
     table = rates if isinstance(rates, RateTable) else log_rate_table(rates)
     d_max, undecided = prepared.d_max, prepared.blocks
-    rounds = []
+    rounds, left = [], Rounds(prepared.uniques.sparkSession, "undecided")
     while not undecided.isEmpty():
         winners = undecided.groupBy(*BLOCK).agg(
             F.min(F.struct((-F.col("n")).alias("minus_n"), "sequence")).alias("w"))
@@ -74,7 +74,7 @@ def find_centres(prepared: Prepared, rates: DataFrame | RateTable, omega: float
         met = (salted_join(rivals, with_blocks(new, d_max, "centre"), BLOCK)
                .filter(hamming(F.col("sequence"), F.col("centre")) <= d_max))
         explained = _explained(met, table, omega).select(*UNIQUE).distinct()
-        undecided = persist_stage(rivals.join(explained, UNIQUE, "left_anti"), "undecided")
+        undecided = left.store(rivals.join(explained, UNIQUE, "left_anti"))
     if not rounds:
         return prepared.uniques.limit(0).select(
             *GROUP, F.col("sequence").alias("centre"), F.col("n").alias("centre_n"))
@@ -105,27 +105,34 @@ def denoise(uniques: DataFrame | Prepared, rates: DataFrame, omega: float = 1e-4
 
 
 def learn_error_model(uniques: DataFrame, max_iter: int | None = None, omega: float = 1e-40,
-                      d_max: int = 6, q_max: int = 45) -> DataFrame:
+                      d_max: int = 6, q_max: int = 45, smoothing: str = "average") -> DataFrame:
     """Alternates denoising and rate estimation until the assignment stays the same, or comes
     back to an earlier one. There are finitely many assignments, so one of the two happens.
     If ``max_iter`` is given and that many rounds end before, a warning says so.
 
-    Only a two-number fingerprint of the assignment and the rate table (16 rows per quality)
-    come to the driver.
+    ``from_base, to_base, q, rate, state, rounds``: the rates of the last round; ``state`` is
+    "settled" (the last two assignments are the same), "circle" (an earlier one came back) or "stopped".
+    ``smoothing`` as in ``estimate_rates``. Only a two-number fingerprint of the assignment and the rate
+    table (16 rows per quality) come to the driver; tables of a round are deleted behind it.
     """
-    prepared = prepare(uniques, d_max)
-    rates = nominal_rates(uniques.sparkSession, q_max)
-    seen = set()
-    while max_iter is None or len(seen) < max_iter:
-        assigned = persist_stage(denoise(prepared, rates, omega), "assigned")
-        mark = assigned.agg(F.count(F.lit(1)), F.sum(
-            F.xxhash64(*UNIQUE, "centre").cast("decimal(38,0)"))).first()
-        if mark in seen:  # the same assignment, or a circle of several
-            return rates
-        seen.add(mark)
-        rates = persist_stage(estimate_rates(transition_counts(assigned, weight="n"), q_max), "rates")
-    warnings.warn(f"the assignment still changed in round {max_iter}; raise max_iter", RuntimeWarning, stacklevel=2)
-    return rates
+    spark, seen, state = uniques.sparkSession, [], "stopped"
+    with temporary_stages(spark):
+        prepared = prepare(uniques, d_max)
+        rates, rounds = nominal_rates(spark, q_max), Rounds(spark, "rates")
+        while max_iter is None or len(seen) < max_iter:
+            with temporary_stages(spark):
+                assigned = persist_stage(denoise(prepared, rates, omega), "assigned")
+                mark = assigned.agg(F.count(F.lit(1)), F.sum(
+                    F.xxhash64(*UNIQUE, "centre").cast("decimal(38,0)"))).first()
+                if mark in seen:  # the same assignment, or a circle of several
+                    state = "settled" if mark == seen[-1] else "circle"
+                    break
+                seen.append(mark)
+                rates = rounds.store(estimate_rates(transition_counts(assigned, weight="n"), q_max, smoothing=smoothing))
+        if state == "stopped":
+            warnings.warn(f"the assignment still changed in round {max_iter}; raise max_iter", RuntimeWarning, stacklevel=2)
+        result = rates.withColumns({"state": F.lit(state), "rounds": F.lit(len(seen))})
+        return persist_stage(result, "learned-rates", keep=True)
 
 
 def count_pairs(pairs: DataFrame) -> DataFrame:
@@ -183,7 +190,8 @@ def flag_bimeras(asv: DataFrame, min_fold: float = 1.0) -> DataFrame:
     ``asv(sample_id, sequence, n)``. Every sequence is filed under all its starts and all its
     ends; a (sample, start) or (sample, end) keeps its two most abundant members only, which
     is enough to tell whether two different parents exist. So the work is linear in the
-    sequences, without pairing them.
+    sequences, without pairing them. The empty start and end, which all sequences of a sample share,
+    are never filed: the sample's two most abundant sequences answer for them.
     """
     if min_fold < 1:
         raise ValueError("a parent is more abundant than its child: min_fold must be at least 1")
@@ -195,12 +203,13 @@ def flag_bimeras(asv: DataFrame, min_fold: float = 1.0) -> DataFrame:
         F.sequence(F.lit(0), F.length(s)), lambda b: F.struct(
             b.alias("cut"), (F.length(s) - b).alias("rest_len"), mark(F.left(s, b)).alias("start"),
             mark(F.substring(s, b + 1, F.length(s))).alias("rest"))))
-    split = asv.select("sample_id", mark(F.col("sequence")).alias("id"), "n", F.inline(cuts))
+    marked = asv.select("sample_id", "sequence", mark(F.col("sequence")).alias("id"), "n")
+    split = marked.select("sample_id", "id", "n", F.inline(cuts))
 
-    def top_two(size: str, text: str, name: str) -> DataFrame:
-        group = ["sample_id", size, text]
+    def top_two(rows: DataFrame, group: list[str], name: str) -> DataFrame:
+        """Tasks keep two members of a group each before anything is shuffled."""
         order = Window.partitionBy(*group).orderBy(F.col("n").desc(), "id")
-        ranked = (split.select(*group, "id", "n").withColumn("r", F.row_number().over(order))
+        ranked = (rows.select(*group, "id", "n").withColumn("r", F.row_number().over(order))
                   .filter(F.col("r") <= 2))
         # A sequence alone under its text cannot be anyone's parent there.
         return (ranked.groupBy(*group)
@@ -208,10 +217,20 @@ def flag_bimeras(asv: DataFrame, min_fold: float = 1.0) -> DataFrame:
                      F.max(F.when(F.col("r") == 2, F.struct("id", "n"))).alias(f"{name}2"))
                 .filter(F.col(f"{name}2").isNotNull()))
 
+    starts, ends = ["sample_id", "cut", "start"], ["sample_id", "rest_len", "rest"]
+    of_start = top_two(split.filter("cut > 0"), starts, "s").hint("merge")
+    of_end = top_two(split.filter("rest_len > 0"), ends, "e").hint("merge")
+
+    def of_sample(name: str) -> DataFrame:
+        return top_two(marked, ["sample_id"], name)
+
     # Sort-merge joins, which are split where skewed: the cut rows are many times more than
     # Spark's size estimate says.
-    at_cut = (split.join(top_two("cut", "start", "s").hint("merge"), ["sample_id", "cut", "start"])
-              .join(top_two("rest_len", "rest", "e").hint("merge"), ["sample_id", "rest_len", "rest"]))
+    columns = ["sample_id", "id", "n", "s1", "s2", "e1", "e2"]
+    inner = split.filter("cut > 0 and rest_len > 0").join(of_start, starts).join(of_end, ends).select(*columns)
+    whole_end = salted_join(split.filter("cut = 0").join(of_end, ends).drop("cut", "start"), of_sample("s"), ["sample_id"]).select(*columns)
+    whole_start = salted_join(split.filter("rest_len = 0").join(of_start, starts).drop("rest_len", "rest"), of_sample("e"), ["sample_id"]).select(*columns)
+    at_cut = inner.unionAll(whole_end).unionAll(whole_start)
     need = F.lit(float(min_fold)) * F.col("n")
 
     def fits(parent: str):
@@ -223,7 +242,7 @@ def flag_bimeras(asv: DataFrame, min_fold: float = 1.0) -> DataFrame:
             two_parents = two_parents | (fits(s) & fits(e) & (F.col(f"{s}.id") != F.col(f"{e}.id")))
     flagged = (at_cut.filter(two_parents).select("sample_id", "id").distinct()
                .withColumn("bimera", F.lit(True)))
-    return (asv.withColumn("id", mark(F.col("sequence"))).join(flagged, ["sample_id", "id"], "left")
+    return (marked.join(flagged, ["sample_id", "id"], "left")
             .select("sample_id", "sequence", "n", F.coalesce("bimera", F.lit(False)).alias("bimera")))
 
 

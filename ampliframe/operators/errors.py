@@ -39,18 +39,40 @@ def transition_counts(assigned: DataFrame, centre: str = "centre", sequence: str
             .select("from_base", "to_base", (F.ascii("q") - PHRED_OFFSET).alias("q"), "n"))
 
 
-def estimate_rates(counts: DataFrame, q_max: int = 45, reach: int = 2) -> DataFrame:
-    """Rates from transition counts, add-one smoothed over ``reach`` neighbouring qualities.
+# Rates of a wrong base that a fitted line may give, at the lowest and the highest.
+LOWEST_RATE, HIGHEST_RATE = 1e-7, 0.25
 
-    The grid has 16 x (q_max + 1) rows whatever the data size.
+
+def estimate_rates(counts: DataFrame, q_max: int = 45, reach: int = 2, smoothing: str = "average") -> DataFrame:
+    """Rates from transition counts, smoothed over ``reach`` neighbouring qualities.
+
+    "average": add-one counts summed over the neighbours. "linear": per pair of bases a straight line
+    through log10((n + 1) / (all + 4)) of the neighbours, weighted by the reads of the true base at each
+    quality (plus one), in closed form from window sums; the rate at which a base stays is what the wrong
+    ones leave. The grid has 16 x (q_max + 1) rows whatever the data size.
     """
+    if smoothing not in ("average", "linear"):
+        raise ValueError(f"unknown smoothing {smoothing!r}")
     spark = counts.sparkSession
     grid = nominal_rates(spark, q_max).select("from_base", "to_base", "q")
     near = Window.partitionBy("from_base", "to_base").orderBy("q").rangeBetween(-reach, reach)
     row = Window.partitionBy("from_base", "q")
     filled = grid.join(counts, ["from_base", "to_base", "q"], "left")
-    smoothed = filled.withColumn("s", F.sum(F.coalesce("n", F.lit(0))).over(near) + 1)
-    return smoothed.select("from_base", "to_base", "q", (F.col("s") / F.sum("s").over(row)).alias("rate"))
+    if smoothing == "average":
+        smoothed = filled.withColumn("s", F.sum(F.coalesce("n", F.lit(0))).over(near) + 1)
+        return smoothed.select("from_base", "to_base", "q", (F.col("s") / F.sum("s").over(row)).alias("rate"))
+    n = filled.withColumn("n", F.coalesce("n", F.lit(0)).cast("double")).withColumn("all", F.sum("n").over(row))
+    y, w, x = F.log10((F.col("n") + 1) / (F.col("all") + 4)), F.col("all") + 1, F.col("q").cast("double")
+    sums = n.select("*", *[F.sum(e).over(near).alias(name) for name, e in (
+        ("sw", w), ("swx", w * x), ("swxx", w * x * x), ("swy", w * y), ("swxy", w * x * y))])
+    spread = F.col("sw") * F.col("swxx") - F.col("swx") * F.col("swx")
+    slope = F.when(spread > 0, (F.col("sw") * F.col("swxy") - F.col("swx") * F.col("swy")) / spread).otherwise(F.lit(0.0))
+    fitted = (F.col("swy") + slope * (F.col("sw") * x - F.col("swx"))) / F.col("sw")
+    wrong = F.least(F.greatest(F.pow(F.lit(10.0), fitted), F.lit(LOWEST_RATE)), F.lit(HIGHEST_RATE))
+    other = F.col("from_base") != F.col("to_base")
+    rates = sums.select("from_base", "to_base", "q", F.when(other, wrong).otherwise(F.lit(0.0)).alias("wrong"))
+    return rates.select("from_base", "to_base", "q", F.when(other, F.col("wrong")).otherwise(
+        1 - F.sum("wrong").over(row)).alias("rate"))
 
 
 @dataclass

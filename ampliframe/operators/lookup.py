@@ -7,12 +7,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
+def one_row_per(df: DataFrame, key: str, what: str) -> DataFrame:
+    """The table with equal rows of a key joined into one. Reading a key with different rows
+    stops the job: a lookup in it would multiply rows."""
+    others = [c for c in df.columns if c != key]
+    box = F.struct(*[df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(others)]) if others else F.lit(None)
+    boxed = df.select(df[f"`{key}`"].alias("_k"), box.alias("_row"))
+    grouped = boxed.groupBy("_k").agg(F.min("_row").alias("_row"), F.max("_row").alias("_other"))
+    stop = F.raise_error(F.concat(F.lit(f"{what}: different rows for "), F.coalesce(F.col("_k").cast("string"), F.lit("NULL"))))
+    same = grouped.filter(F.when(F.col("_row").eqNullSafe(F.col("_other")), F.lit(True)).otherwise(stop.cast("boolean")))
+    return same.select(*[F.col("_k").alias(c) if c == key else F.col(f"_row.c{others.index(c)}").alias(c) for c in df.columns])
+
+
 def missing_samples(per_sample: DataFrame, metadata: DataFrame) -> DataFrame:
     return per_sample.select("sample_id").distinct().join(metadata, "sample_id", "left_anti")
 
 
 def attach_metadata(per_sample: DataFrame, metadata: DataFrame, check: bool = True) -> DataFrame:
-    """Left join on the sample; a table sample that has no metadata is an error.
+    """Left join on the sample; a table sample that has no metadata is an error, and so is a sample
+    with different rows of metadata.
 
     No broadcast hint: Spark compares the size of the metadata with its threshold.
     """
@@ -20,7 +33,7 @@ def attach_metadata(per_sample: DataFrame, metadata: DataFrame, check: bool = Tr
         lost = [r.sample_id for r in missing_samples(per_sample, metadata).limit(5).collect()]
         if lost:
             raise ValueError(f"samples without metadata, among them {lost}")
-    return per_sample.join(metadata, "sample_id", "left")
+    return per_sample.join(one_row_per(metadata, "sample_id", "metadata"), "sample_id", "left")
 
 
 def match_lookup(left: DataFrame, right: DataFrame, left_key: str, right_key: str,

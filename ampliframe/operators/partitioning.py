@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ampliframe.session import scratch_dir
 
@@ -45,26 +43,48 @@ def global_index(df: DataFrame, order_by: list[str], name: str) -> DataFrame:
     return number_rows(df.orderBy(*order_by), name)
 
 
-def weighted_quantiles(counted: DataFrame, value: str, weight: str, fractions: list[float]) -> list:
-    """Exact quantiles (linear between neighbours) of ``value``, each present ``weight`` times.
+# Buckets that values are counted in: so many per factor of e, both signs.
+BUCKETS_PER_E = 256
+
 
-    No task sees all values: ranks are running sums inside sorted partitions plus the sums of
-    the partitions before, and only the wanted ranks come back.
+def weighted_quantiles(counted: DataFrame, value: str, weight: str, fractions: dict[str, float],
+                       by: list[str] | None = None) -> DataFrame:
+    """Exact quantiles (linear between neighbours) of ``value``, each present ``weight`` times, per group
+    ``by``: one row per group (without ``by`` one row), a column per named fraction. Groups without values have none.
+
+    A plan without jobs of its own. Values are counted in buckets that keep their order (some thousand
+    rows); running sums over buckets tell which ones hold the wanted ranks, and only values of these are
+    ordered.
     """
-    places = _placed(counted.select(value, weight).orderBy(value))
-    before = _before_parts(places.groupBy("_part").agg(F.sum(weight).alias("_size")))
-    total = before.agg(F.sum("_size")).first()[0]
-    if not total:
-        return [None] * len(fractions)
-    inside = Window.partitionBy("_part").orderBy(value)
-    ranked = places.withColumn("_to", F.sum(weight).over(inside)).join(before, "_part").withColumn(
-        "_to", F.col("_to") + F.col("_before")).withColumn("_from", F.col("_to") - F.col(weight))
-    spots = [(total - 1) * f for f in fractions]
-    wanted = sorted({math.floor(s) for s in spots} | {math.ceil(s) for s in spots})
-    found = ranked.select(value, F.explode(F.filter(
-        F.array(*[F.lit(r) for r in wanted]), lambda r: (r >= F.col("_from")) & (r < F.col("_to")))).alias("r"))
-    at = {row["r"]: float(row[value]) for row in found.collect()}  # one row per wanted rank
-    return [at[math.floor(s)] + (at[math.ceil(s)] - at[math.floor(s)]) * (s - math.floor(s)) for s in spots]
+    by = by or []
+    size = F.floor(F.ln(1 + F.abs(F.col("_v"))) * BUCKETS_PER_E)
+    rows = counted.filter(F.col(value).isNotNull()).select(
+        *by, F.col(value).cast("double").alias("_v"), F.col(weight).alias("_w")).withColumn("_bucket", F.signum("_v").cast("long") * size)
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    buckets = rows.groupBy(*by, "_bucket").agg(F.sum("_w").alias("_size")).select(
+        *by, "_bucket", "_size", (F.sum("_size").over(group.orderBy("_bucket")) - F.col("_size")).alias("_before"),
+        F.sum("_size").over(group).alias("_total"))
+    names = list(fractions)
+    wanted = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(up).alias("_up"), F.lit(f).alias("_f"))
+                       for i, f in enumerate(fractions.values()) for up in (False, True)])
+    spot = (F.col("_total") - 1) * F.col("_f")
+    # Two rows per fraction and group.
+    ranks = buckets.select("*", F.inline(wanted)).withColumn(
+        "_rank", F.when(F.col("_up"), F.ceil(spot)).otherwise(F.floor(spot))).filter(
+        (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_size")))
+    keys = [*by, "_bucket"]
+    inside = Window.partitionBy(*keys).orderBy("_v")
+    ordered = rows.join(ranks.select(*keys).distinct(), keys, "left_semi").groupBy(*keys, "_v").agg(F.sum("_w").alias("_w")).withColumn(
+        "_to", F.sum("_w").over(inside))
+    at = ranks.join(ordered, keys).filter(
+        (F.col("_rank") < F.col("_before") + F.col("_to")) & (F.col("_rank") >= F.col("_before") + F.col("_to") - F.col("_w")))
+
+    def quantile(i: int, f: float) -> Column:
+        low, high = (F.max(F.when((F.col("_i") == i) & (F.col("_up") == up), F.col("_v"))) for up in (False, True))
+        place = (F.max("_total") - 1) * F.lit(f)
+        return low + (high - low) * (place - F.floor(place))
+
+    return at.groupBy(*by).agg(*[quantile(i, fractions[n]).alias(n) for i, n in enumerate(names)])
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 16,
@@ -80,16 +100,3 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int =
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(spread.hint("merge"), [*keys, "_salt"], how).drop("_salt")
-
-
-# Above this many rows a small side is not broadcast.
-BROADCAST_ROWS = 4_000_000
-
-
-def join_small(big: DataFrame, small: DataFrame, keys: list[str],
-               broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Inner join with a side that should be small: broadcast if its counted rows are within
-    the limit, else salted. ``small`` should be a stored table, since it is counted first."""
-    if small.count() <= broadcast_rows:
-        return big.join(F.broadcast(small), keys)
-    return salted_join(big, small, keys)

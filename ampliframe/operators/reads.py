@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ampliframe.functions import expected_errors, kmers, quality_prefix_length
 from ampliframe.functions.sequence import PHRED_OFFSET
-from ampliframe.operators.partitioning import join_small, weighted_quantiles
+from ampliframe.functions.words import MAX_WORD, WORD_LETTERS, code_of, word_codes
+from ampliframe.operators.partitioning import salted_join, weighted_quantiles
 from ampliframe.sources.stage import persist_stage
 
 # The seven fractions of the summary tables.
@@ -15,6 +20,8 @@ SUMMARY_NAMES = ["p02", "p09", "p25", "p50", "p75", "p91", "p98"]
 FRAGMENT = ["sample_id", "lane", "read_no"]
 # Positions whose qualities are summed in one row while dereplicating.
 CHUNK = 16
+# Contaminant words that go to every executor (64 MB), and fragments that are tested at a time.
+MAX_WORDS, ROWS_AT_A_TIME = 1 << 23, 2048
 
 
 def pair_mates(reads: DataFrame) -> DataFrame:
@@ -108,17 +115,13 @@ def demux_counts(reads: DataFrame) -> DataFrame:
 
 def demux_count_summary(reads: DataFrame) -> DataFrame:
     """Spread of the reads per sample, one row per direction."""
-    counts = persist_stage(demux_counts(reads), "demux-counts")
-
-    def summary(direction: str) -> DataFrame:
-        some = counts.filter(F.col("direction") == direction)
-        median = weighted_quantiles(some.groupBy("reads").agg(F.count(F.lit(1)).alias("n")), "reads", "n", [0.5])
-        return some.groupBy("direction").agg(
-            F.min("reads").alias("min_reads"), F.lit(median[0]).alias("median_reads"),
-            F.avg("reads").alias("mean_reads"), F.max("reads").alias("max_reads"),
-            F.sum("reads").alias("total_reads"))
-
-    return summary("F").unionByName(summary("R"))
+    counts = demux_counts(reads)
+    sizes = counts.groupBy("direction", "reads").agg(F.count(F.lit(1)).alias("n"))
+    median = weighted_quantiles(sizes, "reads", "n", {"median_reads": 0.5}, ["direction"])
+    return counts.groupBy("direction").agg(
+        F.min("reads").alias("min_reads"), F.avg("reads").alias("mean_reads"), F.max("reads").alias("max_reads"),
+        F.sum("reads").alias("total_reads")).join(median, "direction").select(
+        "direction", "min_reads", "median_reads", "mean_reads", "max_reads", "total_reads")
 
 
 def _seven_numbers(counted: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -205,17 +208,48 @@ def rounded_quality(uniques: DataFrame) -> DataFrame:
 
 
 def remove_contaminants(pairs: DataFrame, contaminants: DataFrame, key: list[str],
-                        k: int = 16, min_hits: int = 2, columns: tuple[str, ...] = ("fwd", "rev")) -> DataFrame:
-    """Drop fragments that share at least ``min_hits`` words with a contaminant sequence.
+                        k: int = 16, min_hits: int = 2, columns: tuple[str, ...] = ("fwd", "rev"),
+                        max_words: int = MAX_WORDS) -> DataFrame:
+    """Drop fragments that share at least ``min_hits`` different words of ACGT with a contaminant sequence.
 
-    Only fragments with a shared word reach the shuffles, so clean reads are never moved.
+    Words are packed, two bits a base. Up to ``max_words`` of them (8 bytes each) go to every executor
+    as one sorted array, and fragments are tested where they are read, without a shuffle. More words
+    are joined, salted; then only fragments with a shared word are moved.
     """
-    words = persist_stage(
-        contaminants.select(F.explode(kmers(F.col("sequence"), k)).alias("_w")).distinct(), "bad-words")
-    own = pairs.select(*key, F.explode(F.concat(*[kmers(F.col(c), k) for c in columns])).alias("_w"))
-    hit = (join_small(own, words, ["_w"]).distinct()
+    if not 0 < k <= MAX_WORD:
+        raise ValueError(f"words have 1 to {MAX_WORD} letters")
+    bad = persist_stage(
+        contaminants.select(F.explode(kmers(F.col("sequence"), k)).alias("_w"))
+        .filter(F.col("_w").rlike(f"^[{WORD_LETTERS}]*$")).select(code_of(F.col("_w")).alias("_w")).distinct(), "bad-words")
+    if bad.count() <= max_words:
+        return _without_words(pairs, np.sort(bad.toArrow()["_w"].to_numpy()), k, min_hits, columns)
+    own = pairs.select(*key, F.explode(F.concat(*[kmers(F.col(c), k) for c in columns])).alias("_w")).filter(
+        F.col("_w").rlike(f"^[{WORD_LETTERS}]*$")).withColumn("_w", code_of(F.col("_w")))
+    hit = (salted_join(own, bad, ["_w"]).distinct()
            .groupBy(*key).agg(F.count(F.lit(1)).alias("hits"))
            .filter(F.col("hits") >= min_hits).select(*key))
     # Stored, so that Spark knows how few they are before it plans the anti join.
     hit = persist_stage(hit, "contaminated")
     return pairs.join(hit, key, "left_anti")
+
+
+def _without_words(pairs: DataFrame, bad: np.ndarray, k: int, min_hits: int, columns: tuple[str, ...]) -> DataFrame:
+    """One map over the fragments, a bounded number of rows at a time."""
+    shared, names = pairs.sparkSession.sparkContext.broadcast(bad), pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_A_TIME):
+                part, codes, owners = batch.slice(at, ROWS_AT_A_TIME), [], []
+                for column in columns:
+                    own, owner, _ = word_codes(part.column(names.index(column)).to_pylist(), k)
+                    place = np.searchsorted(known, own)
+                    hit = known[np.minimum(place, len(known) - 1)] == own if len(known) else np.zeros(len(own), bool)
+                    codes.append(own[hit])
+                    owners.append(owner[hit])
+                # A word that a fragment has twice counts once.
+                found = np.unique(np.stack([np.concatenate(owners), np.concatenate(codes)]), axis=1)[0]
+                yield part.filter(pa.array(np.bincount(found, minlength=part.num_rows) < min_hits))
+
+    return pairs.mapInArrow(run, pairs.schema)

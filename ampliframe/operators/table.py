@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ampliframe.operators.partitioning import weighted_quantiles
 from ampliframe.operators.reads import SUMMARY_FRACTIONS, SUMMARY_NAMES
-from ampliframe.sources.stage import persist_stage
 
 
 def frequency_per_sample(ft: DataFrame) -> DataFrame:
@@ -32,12 +31,14 @@ def table_overview(ft: DataFrame) -> DataFrame:
 
 def frequency_quantiles(frequencies: DataFrame) -> DataFrame:
     """Five-number summary and mean of a ``frequency`` column."""
-    counted = persist_stage(frequencies.groupBy("frequency").agg(F.count(F.lit(1)).alias("n")), "frequencies")
-    first, median, third = weighted_quantiles(counted, "frequency", "n", [0.25, 0.5, 0.75])
-    return counted.agg(
-        F.min("frequency").alias("minimum"), F.lit(first).alias("first_quartile"), F.lit(median).alias("median"),
-        F.lit(third).alias("third_quartile"), F.max("frequency").alias("maximum"),
+    counted = frequencies.groupBy("frequency").agg(F.count(F.lit(1)).alias("n"))
+    quartiles = weighted_quantiles(counted, "frequency", "n", {"first_quartile": 0.25, "median": 0.5, "third_quartile": 0.75})
+    others = counted.agg(
+        F.min("frequency").alias("minimum"), F.max("frequency").alias("maximum"),
         (F.sum(F.col("frequency") * F.col("n")) / F.sum("n")).alias("mean"))
+    # Both sides are one row.
+    return others.withColumn("_one", F.lit(1)).join(quartiles.withColumn("_one", F.lit(1)), "_one").select(
+        "minimum", "first_quartile", "median", "third_quartile", "maximum", "mean")
 
 
 def retention_at_depth(ft: DataFrame, depths: list[int], by: str | None = None,

@@ -6,6 +6,7 @@ same rows in plain set operations.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -277,37 +278,80 @@ def estimate_rates(i):
     return errors.estimate_rates(errors.transition_counts(_with_true_centre(i))).withColumn("rate", F.round("rate", 6))
 
 
+@query(READS, TRANSITIONS + """, b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS b),
+grid AS (SELECT f.b AS from_base, s.b AS to_base, CAST(q AS INTEGER) AS q FROM b f, b s, range(0, 46) r(q)),
+n AS (SELECT g.*, CAST(coalesce(tc.n, 0) AS DOUBLE) AS n, CAST(coalesce(sum(tc.n) OVER (PARTITION BY g.from_base, g.q), 0) AS DOUBLE) AS total
+  FROM grid g LEFT JOIN tc ON g.from_base = tc.from_base AND g.to_base = tc.to_base AND g.q = tc.q),
+fit AS (SELECT a.from_base, a.to_base, a.q, sum(b.total + 1) AS sw, sum((b.total + 1) * b.q) AS sx, sum((b.total + 1) * b.q * b.q) AS sxx,
+  sum((b.total + 1) * log10((b.n + 1) / (b.total + 4))) AS sy, sum((b.total + 1) * b.q * log10((b.n + 1) / (b.total + 4))) AS sxy
+  FROM n a JOIN n b ON a.from_base = b.from_base AND a.to_base = b.to_base AND b.q BETWEEN a.q - 2 AND a.q + 2 GROUP BY 1, 2, 3),
+line AS (SELECT *, CASE WHEN from_base = to_base THEN 0 ELSE least(greatest(pow(10,
+  (sy + (sw * sxy - sx * sy) / (sw * sxx - sx * sx) * (sw * q - sx)) / sw), 1e-7), 0.25) END AS wrong FROM fit)
+SELECT from_base, to_base, q, ROUND(CASE WHEN from_base = to_base THEN 1 - sum(wrong) OVER (PARTITION BY from_base, q) ELSE wrong END, 6) AS rate FROM line""")
+def estimate_rates_linear(i):
+    counts = errors.transition_counts(_with_true_centre(i))
+    return errors.estimate_rates(counts, smoothing="linear").withColumn("rate", F.round("rate", 6))
+
+
 def _uniques(i) -> DataFrame:
     return persist_stage(rd.rounded_quality(rd.dereplicate(rd.by_direction(i.reads))), "uniques")
 
 
 # Candidates one by one in order of abundance: a centre unless an earlier centre explains it.
 # The Poisson tail is summed with lgamma here.
-DENOISE_SQL = """, qs AS (SELECT sample_id, direction, seq, j, sum(ascii(qual[j]) - 33) AS s, count(*) AS n FROM
-  (SELECT *, unnest(range(1, length(qual) + 1)) AS j FROM directed) z GROUP BY ALL),
+# Unique reads with their mean qualities as text, of the reads in ``{directed}``.
+UNIQUES_SQL = """, qs AS (SELECT sample_id, direction, seq, j, sum(ascii(qual[j]) - 33) AS s, count(*) AS n FROM
+  (SELECT *, unnest(range(1, length(qual) + 1)) AS j FROM {directed}) z GROUP BY ALL),
 u AS (SELECT sample_id, direction, seq AS sequence, max(n) AS n,
-  string_agg(chr(CAST(floor(s / n + 0.5) AS INTEGER) + 33), '' ORDER BY j) AS quality FROM qs GROUP BY 1, 2, 3),
-big AS (SELECT *, row_number() OVER (PARTITION BY sample_id, direction ORDER BY n DESC, sequence) AS r FROM u WHERE n >= 2),
-size AS (SELECT sample_id, direction, CAST(count(*) AS DOUBLE) AS in_group FROM u GROUP BY 1, 2),
-near AS (SELECT u.sample_id, u.direction, u.sequence, u.n, c.sequence AS centre, in_group, CAST(u.n AS DOUBLE) AS a,
-    ln(c.n) + list_sum([ln(CASE WHEN c.sequence[j] = u.sequence[j] THEN 1 - least(pow(10, -(ascii(u.quality[j]) - 33) / 10.0), 0.75)
-      ELSE least(pow(10, -(ascii(u.quality[j]) - 33) / 10.0), 0.75) / 3 END) for j in range(1, length(u.sequence) + 1)]) AS lm
-  FROM u JOIN big c ON u.sample_id = c.sample_id AND u.direction = c.direction AND length(u.sequence) = length(c.sequence)
+  string_agg(chr(CAST(floor(s / n + 0.5) AS INTEGER) + 33), '' ORDER BY j) AS quality FROM qs GROUP BY 1, 2, 3)"""
+
+NOMINAL_RATE = """ln(CASE WHEN c.sequence[j] = u.sequence[j] THEN 1 - least(pow(10, -(ascii(u.quality[j]) - 33) / 10.0), 0.75)
+      ELSE least(pow(10, -(ascii(u.quality[j]) - 33) / 10.0), 0.75) / 3 END)"""
+# From a list of all rates in order of true base, read base and quality.
+LISTED_RATE = """rt.r[((instr('ACGT', c.sequence[j]) - 1) * 4 + instr('ACGT', u.sequence[j]) - 1) * 46
+      + least(ascii(u.quality[j]) - 33, 45) + 1]"""
+
+# Candidates one by one in order of abundance: a centre unless an earlier centre explains it.
+# The Poisson tail is summed with lgamma here. ``{x}`` tells several runs in one text apart.
+RUN_SQL = """, big{x} AS (SELECT *, row_number() OVER (PARTITION BY sample_id, direction ORDER BY n DESC, sequence) AS r FROM u WHERE n >= 2),
+size{x} AS (SELECT sample_id, direction, CAST(count(*) AS DOUBLE) AS in_group FROM u GROUP BY 1, 2),
+near{x} AS (SELECT u.sample_id, u.direction, u.sequence, u.n, c.sequence AS centre, in_group, CAST(u.n AS DOUBLE) AS a,
+    ln(c.n) + list_sum([{log_rate} for j in range(1, length(u.sequence) + 1)]) AS lm
+  FROM u JOIN big{x} c ON u.sample_id = c.sample_id AND u.direction = c.direction AND length(u.sequence) = length(c.sequence)
     AND (c.n > u.n OR (c.n = u.n AND c.sequence < u.sequence))
-  JOIN size ON size.sample_id = u.sample_id AND size.direction = u.direction WHERE hamming(u.sequence, c.sequence) <= 6),
-tail AS (SELECT *, CASE WHEN n <= 1 OR a <= exp(lm) THEN 0 ELSE least(
+  JOIN size{x} ON size{x}.sample_id = u.sample_id AND size{x}.direction = u.direction {rates} WHERE hamming(u.sequence, c.sequence) <= 6),
+tail{x} AS (SELECT *, CASE WHEN n <= 1 OR a <= exp(lm) THEN 0 ELSE least(
     -exp(lm) + a * lm - lgamma(a + 1) + ln(list_sum([exp(x * lm - lgamma(a + x + 1) + lgamma(a + 1)) for x in range(0, 51)]))
-    - CASE WHEN lm < ln(1e-8) THEN lm ELSE ln(1 - exp(-exp(lm))) END, 0) END AS chance FROM near),
-ok AS (SELECT * FROM tail WHERE chance + ln(in_group) >= ln(1e-40)),
-cand AS (SELECT b.sample_id, b.direction, b.sequence, b.r, coalesce(ex, []) AS ex FROM big b LEFT JOIN
-  (SELECT sample_id, direction, sequence, list(centre) AS ex FROM ok GROUP BY 1, 2, 3) e
+    - CASE WHEN lm < ln(1e-8) THEN lm ELSE ln(1 - exp(-exp(lm))) END, 0) END AS chance FROM near{x}),
+ok{x} AS (SELECT * FROM tail{x} WHERE chance + ln(in_group) >= ln(1e-40)),
+cand{x} AS (SELECT b.sample_id, b.direction, b.sequence, b.r, coalesce(ex, []) AS ex FROM big{x} b LEFT JOIN
+  (SELECT sample_id, direction, sequence, list(centre) AS ex FROM ok{x} GROUP BY 1, 2, 3) e
   ON e.sample_id = b.sample_id AND e.direction = b.direction AND e.sequence = b.sequence),
-walk AS (SELECT sample_id, direction, CAST(0 AS BIGINT) AS r, CAST([] AS VARCHAR[]) AS found FROM size
+walk{x} AS (SELECT sample_id, direction, CAST(0 AS BIGINT) AS r, CAST([] AS VARCHAR[]) AS found FROM size{x}
   UNION ALL SELECT c.sample_id, c.direction, c.r,
     CASE WHEN list_has_any(found, c.ex) THEN found ELSE list_append(found, c.sequence) END
-  FROM walk JOIN cand c ON c.sample_id = walk.sample_id AND c.direction = walk.direction AND c.r = walk.r + 1),
-centres AS (SELECT sample_id, direction, unnest(found) AS centre FROM (SELECT * FROM walk
-  QUALIFY row_number() OVER (PARTITION BY sample_id, direction ORDER BY r DESC) = 1) w)"""
+  FROM walk{x} JOIN cand{x} c ON c.sample_id = walk{x}.sample_id AND c.direction = walk{x}.direction AND c.r = walk{x}.r + 1),
+centres{x} AS (SELECT sample_id, direction, unnest(found) AS centre FROM (SELECT * FROM walk{x}
+  QUALIFY row_number() OVER (PARTITION BY sample_id, direction ORDER BY r DESC) = 1) w),
+best{x} AS (SELECT ok.sample_id, ok.direction, ok.sequence, ok.centre FROM ok{x} ok
+  SEMI JOIN centres{x} c ON c.sample_id = ok.sample_id AND c.direction = ok.direction AND c.centre = ok.centre
+  ANTI JOIN centres{x} d ON d.sample_id = ok.sample_id AND d.direction = ok.direction AND d.centre = ok.sequence
+  QUALIFY row_number() OVER (PARTITION BY ok.sample_id, ok.direction, ok.sequence ORDER BY ok.lm DESC, ok.centre) = 1),
+found{x} AS (SELECT * FROM best{x} UNION ALL SELECT sample_id, direction, centre, centre FROM centres{x}),
+assigned{x} AS (SELECT f.sample_id, f.direction, f.sequence, u.n, u.quality, f.centre FROM found{x} f
+  JOIN u ON u.sample_id = f.sample_id AND u.direction = f.direction AND u.sequence = f.sequence)"""
+
+# Smoothed rates of an assignment, as a list.
+LEARN_SQL = """, tc{x} AS (SELECT centre[j] AS from_base, sequence[j] AS to_base, ascii(quality[j]) - 33 AS q, sum(n) AS n FROM
+  (SELECT *, unnest(range(1, length(sequence) + 1)) AS j FROM assigned{x}) z GROUP BY 1, 2, 3),
+b{x} AS (SELECT unnest(['A', 'C', 'G', 'T']) AS b),
+sm{x} AS (SELECT f.b AS from_base, s.b AS to_base, CAST(r.q AS INTEGER) AS q, 1 + coalesce(sum(tc.n), 0) AS s
+  FROM b{x} f CROSS JOIN b{x} s CROSS JOIN range(0, 46) r(q) LEFT JOIN tc{x} tc
+  ON f.b = tc.from_base AND s.b = tc.to_base AND tc.q BETWEEN r.q - 2 AND r.q + 2 GROUP BY 1, 2, 3),
+rates{x} AS (SELECT from_base, to_base, q, CAST(s AS DOUBLE) / CAST(sum(s) OVER (PARTITION BY from_base, q) AS DOUBLE) AS rate FROM sm{x}),
+list{x} AS (SELECT list(ln(rate) ORDER BY from_base, to_base, q) AS r FROM rates{x})"""
+
+DENOISE_SQL = UNIQUES_SQL.format(directed="directed") + RUN_SQL.format(x="", log_rate=NOMINAL_RATE, rates="")
 
 
 @query(READS, DENOISE_SQL + """ SELECT c.sample_id, c.direction, centre, n AS centre_n FROM centres c
@@ -316,13 +360,7 @@ def find_centres(i):
     return dn.find_centres(dn.prepare(_uniques(i)), errors.nominal_rates(i.spark))
 
 
-@query(READS, DENOISE_SQL + """, best AS (SELECT ok.sample_id, ok.direction, ok.sequence, ok.centre FROM ok
-  SEMI JOIN centres c ON c.sample_id = ok.sample_id AND c.direction = ok.direction AND c.centre = ok.centre
-  ANTI JOIN centres d ON d.sample_id = ok.sample_id AND d.direction = ok.direction AND d.centre = ok.sequence
-  QUALIFY row_number() OVER (PARTITION BY ok.sample_id, ok.direction, ok.sequence ORDER BY ok.lm DESC, ok.centre) = 1),
-found AS (SELECT * FROM best UNION ALL SELECT sample_id, direction, centre, centre FROM centres)
-SELECT f.sample_id, f.direction, f.sequence, u.n, u.quality, f.centre FROM found f
-JOIN u ON u.sample_id = f.sample_id AND u.direction = f.direction AND u.sequence = f.sequence""")
+@query(READS, DENOISE_SQL + " SELECT * FROM assigned")
 def denoise(i):
     return dn.denoise(_uniques(i), errors.nominal_rates(i.spark))
 
@@ -332,8 +370,22 @@ def learn_error_model(i):
     return dn.learn_error_model(_uniques(i))
 
 
-def _workflow(i) -> wf.Counts:
-    return wf.reads_to_counts(i.reads.drop("k"), trim_f=10, trim_r=5, trunc_f=170, trunc_r=175, max_ee=5.0)
+@query(READS, UNIQUES_SQL.format(directed="directed") + RUN_SQL.format(x="", log_rate=NOMINAL_RATE, rates="") + LEARN_SQL.format(x="")
+       + RUN_SQL.format(x="2", log_rate=LISTED_RATE, rates="CROSS JOIN list rt") + LEARN_SQL.format(x="2") + """
+SELECT from_base, to_base, q, ROUND(rate, 6) AS rate FROM rates2""")
+def learn_error_model_two_rounds(i):
+    """Denoised with the nominal rates, learned, denoised with these, learned again. An assignment that
+    stays the same learns the same rates."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)  # it may not be settled yet
+        return dn.learn_error_model(_uniques(i), max_iter=2).select("from_base", "to_base", "q", r6("rate"))
+
+
+TRIMMING = {"trim_f": 10, "trim_r": 5, "trunc_f": 170, "trunc_r": 175, "max_ee": 5.0}
+
+
+def _workflow(i, rates: DataFrame | None = None) -> wf.Counts:
+    return wf.reads_to_counts(i.reads.drop("k"), rates=rates, **TRIMMING)
 
 
 @query(READS)
@@ -346,6 +398,42 @@ def reads_to_counts_stats(i):
     return _workflow(i).stats
 
 
+# The whole way from reads to counts under the nominal rates.
+FLOW_SQL = """, cut0 AS (SELECT sample_id, read_no,
+  substr(fwd, 1, length(regexp_extract(fwd_qual, '^[^!-#]*', 0))) AS fwd, substr(fwd_qual, 1, length(regexp_extract(fwd_qual, '^[^!-#]*', 0))) AS fq,
+  substr(rev, 1, length(regexp_extract(rev_qual, '^[^!-#]*', 0))) AS rev, substr(rev_qual, 1, length(regexp_extract(rev_qual, '^[^!-#]*', 0))) AS rq FROM reads),
+trimmed AS (SELECT sample_id, read_no, substr(fwd, 11, 160) AS fwd, substr(fq, 11, 160) AS fq, substr(rev, 6, 170) AS rev, substr(rq, 6, 170) AS rq
+  FROM cut0 WHERE length(fwd) >= 170 AND length(rev) >= 175),
+kept AS (SELECT * FROM trimmed WHERE NOT contains(fwd, 'N') AND NOT contains(rev, 'N')
+  AND list_sum([pow(10, -(ascii(fq[j]) - 33) / 10.0) for j in range(1, length(fq) + 1)]) <= 5
+  AND list_sum([pow(10, -(ascii(rq[j]) - 33) / 10.0) for j in range(1, length(rq) + 1)]) <= 5),
+kept_both AS (SELECT sample_id, 'F' AS direction, fwd AS seq, fq AS qual FROM kept UNION ALL SELECT sample_id, 'R', rev, rq FROM kept)""" \
+    + UNIQUES_SQL.format(directed="kept_both") + RUN_SQL.format(x="", log_rate=NOMINAL_RATE, rates="") + """,
+cp AS (SELECT k.sample_id, f.centre AS fwd, reverse(translate(r.centre, 'ACGT', 'TGCA')) AS rc, count(*) AS n FROM kept k
+  JOIN assigned f ON f.direction = 'F' AND f.sample_id = k.sample_id AND f.sequence = k.fwd
+  JOIN assigned r ON r.direction = 'R' AND r.sample_id = k.sample_id AND r.sequence = k.rev GROUP BY 1, 2, 3),
+ov AS (SELECT *, list_max([x for x in range(12, 161) if right(fwd, x) = left(rc, x)]) AS overlap FROM cp),
+asv_m AS (SELECT sample_id, concat(fwd, substr(rc, CAST(overlap AS INTEGER) + 1)) AS sequence, CAST(sum(n) AS BIGINT) AS n
+  FROM ov WHERE overlap IS NOT NULL GROUP BY 1, 2)""" + BIMERA_SQL.replace("FROM asv)", "FROM asv_m)") + """,
+clean AS (SELECT * FROM asv_m ANTI JOIN cons USING (sequence))"""
+
+
+@query(READS, FLOW_SQL + " SELECT md5(sequence) AS feature_id, sample_id, CAST(sum(n) AS BIGINT) AS frequency FROM clean GROUP BY 1, 2")
+def counts_with_given_rates(i):
+    return _workflow(i, errors.nominal_rates(i.spark)).table
+
+
+@query(READS, FLOW_SQL + """, st AS (SELECT sample_id, count(*) AS input FROM reads GROUP BY 1),
+s1 AS (SELECT sample_id, count(*) AS n FROM kept GROUP BY 1), s2 AS (SELECT sample_id, CAST(sum(n) AS BIGINT) AS n FROM cp GROUP BY 1),
+s3 AS (SELECT sample_id, CAST(sum(n) AS BIGINT) AS n FROM asv_m GROUP BY 1), s4 AS (SELECT sample_id, CAST(sum(n) AS BIGINT) AS n FROM clean GROUP BY 1)
+SELECT st.sample_id, input, coalesce(s1.n, 0) AS filtered, coalesce(s2.n, 0) AS denoised, coalesce(s3.n, 0) AS merged, coalesce(s4.n, 0) AS non_chimeric,
+  ROUND(100.0 * coalesce(s1.n, 0) / input, 6) AS pct_filtered, ROUND(100.0 * coalesce(s2.n, 0) / input, 6) AS pct_denoised,
+  ROUND(100.0 * coalesce(s3.n, 0) / input, 6) AS pct_merged, ROUND(100.0 * coalesce(s4.n, 0) / input, 6) AS pct_non_chimeric
+FROM st LEFT JOIN s1 USING (sample_id) LEFT JOIN s2 USING (sample_id) LEFT JOIN s3 USING (sample_id) LEFT JOIN s4 USING (sample_id)""")
+def stats_with_given_rates(i):
+    return _workflow(i, errors.nominal_rates(i.spark)).stats.select("sample_id", *dn.STEPS, *[r6(f"pct_{s}") for s in dn.STEPS[1:]])
+
+
 # ------------------------------------------------------------------------------- taxonomy
 
 @query(READS, """, c AS (SELECT taxon, substr(sequence, j, 7) AS kmer, count(*) AS n FROM
@@ -464,6 +552,16 @@ def kmer_distance(i):
     return align.kmer_distance(i.unique_seqs, _centre(i)).select("feature_id", r6("distance"))
 
 
+@query(READS, """, w AS (SELECT feature_id, substr(sequence, j, 6) AS kmer, count(*) AS n FROM
+  (SELECT *, unnest(range(1, length(sequence) - 4)) AS j FROM indels) z GROUP BY 1, 2),
+z AS (SELECT feature_id, CAST(sum(n) AS BIGINT) AS size FROM w GROUP BY 1),
+p AS (SELECT x.feature_id AS f, y.feature_id AS g, sum(least(x.n, y.n)) AS shared FROM w x JOIN w y USING (kmer) GROUP BY 1, 2)
+SELECT f AS a, g AS b, ROUND(CAST(shared AS DOUBLE) / s.size, 6) AS similarity FROM p JOIN z s ON s.feature_id = f JOIN z t ON t.feature_id = g
+WHERE (t.size > s.size OR (t.size = s.size AND g > f)) AND shared >= 0.8 * s.size""")
+def kmer_neighbours(i):
+    return align.kmer_neighbours(i.indels, 0.8).select("a", "b", r6("similarity"))
+
+
 @query(READS, " SELECT feature_id, sequence, 1 AS widths FROM indels")
 def star_align(i):
     """Gaps removed, every aligned row must be its input; all rows have one width."""

@@ -39,10 +39,10 @@ def filter_reads(pairs: DataFrame, trim_f: int = 23, trim_r: int = 20, trunc_f:
 
 def reads_to_counts(pairs: DataFrame, contaminants: DataFrame | None = None, key: list[str] | None = None,
                     learn_from: int | None = None, omega: float = 1e-40, d_max: int = 6,
-                    min_overlap: int = 12, max_iter: int | None = None, **trimming) -> Counts:
+                    min_overlap: int = 12, max_iter: int | None = None, rates: DataFrame | None = None, **trimming) -> Counts:
     """Paired reads to a chimera-free count table. An unsound pair stops the job.
 
-    All fragments train the error rates, or ``learn_from`` of them (chosen by hash) if a number
+    ``rates`` are error rates to be used as they are. Without them all fragments train the rates, or ``learn_from`` of them (chosen by hash) if a number
     is given. ``key`` names a fragment; the lane is part of it where there is one, since reads are
     numbered per file.
     """
@@ -53,11 +53,12 @@ def reads_to_counts(pairs: DataFrame, contaminants: DataFrame | None = None, key
         kept = remove_contaminants(kept, contaminants, key)
     kept = persist_stage(kept.select(*key, "fwd", "fwd_qual", "rev", "rev_qual"), "filtered")
     uniques = persist_stage(rounded_quality(dereplicate(by_direction(kept))), "uniques")
-    training = uniques
-    if learn_from is not None and kept.count() > learn_from:
-        training = persist_stage(rounded_quality(dereplicate(by_direction(
-            sample_reads(kept, learn_from, 0, key)))), "training")
-    rates = dn.learn_error_model(training, max_iter, omega, d_max)
+    if rates is None:
+        training = uniques
+        if learn_from is not None and kept.count() > learn_from:
+            training = persist_stage(rounded_quality(dereplicate(by_direction(
+                sample_reads(kept, learn_from, 0, key)))), "training")
+        rates = dn.learn_error_model(training, max_iter, omega, d_max)
     assigned = persist_stage(dn.denoise(uniques, rates, omega, d_max), "assigned")
     centre_pairs = persist_stage(dn.pairs_of_centres(dn.count_pairs(kept), assigned), "centre-pairs")
     merged = persist_stage(dn.merge_pairs(centre_pairs, min_overlap), "merged")

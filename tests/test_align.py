@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from ampliframe.operators import align
 
@@ -64,3 +65,25 @@ def test_centre_choice(spark):
     seqs = table(spark, {"a": "AC", "b": "ACG"})
     counts = spark.createDataFrame([("a", "s", 5), ("b", "s", 3)], "feature_id string, sample_id string, frequency long")
     assert align.choose_centre(seqs, counts) == "AC" and align.choose_centre(seqs) == "ACG"
+
+
+def test_neighbours_equal_brute_force(spark):
+    rng = random.Random(2)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(rng.choice([30, 40]))) for _ in range(15)]
+    for s in list(seqs):
+        for _ in range(3):
+            p = rng.randrange(len(s))
+            seqs.append(rng.choice([s[:p] + rng.choice("ACGT") + s[p + 1:], s[:p] + s[p + 2:], s + s[:p], s[p // 2:]]))
+    seqs = sorted({s for s in seqs if len(s) > 5}) + ["ACACACACACACACACAC", "ACACACACAC", "ACG", "NNNNNNNNNN", "ACGTNACGTACGTAC"]
+    words = {f"s{i:03d}": Counter(w for w in (s[j:j + 6] for j in range(len(s) - 5)) if "N" not in w) for i, s in enumerate(seqs)}
+    frame = spark.createDataFrame([(f"s{i:03d}", s) for i, s in enumerate(seqs)], "feature_id string, sequence string")
+    for limit in (0.3, 0.75, 1.0):
+        expected = {}
+        for a, x in words.items():
+            for b, y in words.items():
+                if x and (y.total(), b) > (x.total(), a):
+                    share = (x & y).total() / x.total()
+                    if share >= limit:
+                        expected[a, b] = round(share, 9)
+        got = align.kmer_neighbours(frame, limit).collect()
+        assert {(r.a, r.b): round(r.similarity, 9) for r in got} == expected and len(got) == len(expected) > 0

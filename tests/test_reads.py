@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from ampliframe.operators import reads as rd
@@ -49,3 +51,27 @@ def test_seven_numbers_of_a_subsample(spark):
                                     F.col("id").alias("read_no"), F.lit("AC").alias("seq"), F.lit("+I").alias("qual"))
     got = rd.quality_by_position(reads, n=50, seed=1).orderBy("position").collect()
     assert [(r.position, r.n, r.p50) for r in got] == [(1, 50, 10.0), (2, 50, 40.0)]
+
+
+def test_contaminants_by_map_equal_the_join(spark, rows):
+    rng = random.Random(5)
+    make = lambda n, letters="ACGT": "".join(rng.choice(letters) for _ in range(n))
+    genomes = [make(300), make(200) + "N" + make(50), make(10)]
+    some = []
+    for i in range(300):
+        at = rng.randrange(180)
+        fwd = genomes[i % 2][at:at + rng.choice([15, 16, 17, 40])] + make(rng.randrange(30), "ACGTN") if i % 3 else make(60)
+        some.append((fwd, "I", make(40) if i % 5 else fwd[::-1], "I"))
+    some += [("", "", "", ""), ("ACG", "I", "N" * 40, "I"), (None, None, make(50), "I")]
+    df, dirt = pairs(spark, *some), spark.createDataFrame([(g,) for g in genomes], "sequence string")
+    words = {g[i:i + 16] for g in genomes for i in range(len(g) - 15) if "N" not in g[i:i + 16]}
+    expected = [i for i, (f, _, r, _) in enumerate(some)
+                if len({x[j:j + 16] for x in (f or "", r or "") for j in range(len(x) - 15)} & words) < 2]
+    for limit in (10 ** 6, 0):
+        out = rd.remove_contaminants(df, dirt, ["sample_id", "read_no"], max_words=limit)
+        assert sorted(r.read_no for r in out.collect()) == expected and out.columns == df.columns
+    assert 50 < len(expected) < 300
+    none = rd.remove_contaminants(df, dirt.limit(0), ["sample_id", "read_no"])
+    assert none.count() == len(some)
+    plan = rd.remove_contaminants(df, dirt, ["sample_id", "read_no"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan

@@ -1,11 +1,14 @@
 import gzip
 import json
 import os
+import random
+import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from ampliframe.operators import reads as rd
+from ampliframe.operators import lookup, reads as rd
 from ampliframe.plans.workflow import export_with_taxonomy
 from ampliframe.session import new_path
 from ampliframe.sources import sinks, text
@@ -205,3 +208,104 @@ def test_taxonomy_export_and_stage(spark, tax, rows):
     assert rows(load_stage(spark, path)) == rows(tax)
     with pytest.raises(Exception):
         persist_stage(tax, "tax", path)
+
+
+def block_gzip(path, data, block=1000):
+    """Members that state their size, as block-gzip tools write them, with the empty one at the end."""
+    with open(path, "wb") as out:
+        for at in [*range(0, len(data), block), None]:
+            part = b"" if at is None else data[at:at + block]
+            packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+            body = packer.compress(part) + packer.flush()
+            size = 18 + len(body) + 8
+            out.write(b"\x1f\x8b\x08\x04" + bytes(6) + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, size - 1)
+                      + body + struct.pack("<II", zlib.crc32(part), len(part)))
+
+
+def reads_text(n, seed=0):
+    """Records with qualities that look like headers or separators, and empty ones."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        size = rng.choice([0, 1, 5, 40, 151])
+        seq, qual = "".join(rng.choice("ACGTN") for _ in range(size)), "".join(rng.choice("@+I#") for _ in range(size))
+        out.append((f"r{i}", seq, qual))
+    return out, "".join(f"@{r} 1:N:0:1\n{s}\n+{r if rng.random() < .3 else ''}\n{q}\n" for r, s, q in out).encode()
+
+
+@pytest.mark.parametrize("block,split", [(1000, 900), (333, 2000), (5000, 150), (61, 100)])
+def test_block_gzip_in_parts_equals_one_task(spark, tmp_path, rows, monkeypatch, block, split):
+    records, data = reads_text(400)
+    block_gzip(tmp_path / "a_x_L001_R1_001.fastq.gz", data, block)
+    fastq(tmp_path, "b_x_L001_R1_001.fastq.gz", records)  # plain gzip: one task
+    reader = fq.FastqReader({"path": str(tmp_path), "split_bytes": str(split)})
+    parts = reader.partitions()
+    assert sum(p.end is not None for p in parts) > 3 and sum(p.end is None for p in parts) == 1
+    monkeypatch.setattr(fq, "BLOCK_BYTES", 700)
+    found = [r for p in parts if p.end is not None for batch in reader.read(p) for r in batch.to_pylist()]
+    assert [(r["read_id"], r["seq"], r["qual"]) for r in found] == records
+
+
+def test_block_gzip_source(spark, tmp_path, rows):
+    records, data = reads_text(3000)
+    block_gzip(tmp_path / "a_x_L001_R1_001.fastq.gz", data, 4000)
+    block_gzip(tmp_path / "a_x_L001_R2_001.fastq.gz", data, 5000)
+    fastq(tmp_path, "b_x_L002_R1_001.fastq.gz", records[:50])
+    one, cut = read_fastq_casava(spark, str(tmp_path)), read_fastq_casava(spark, str(tmp_path), split_bytes=9000)
+    assert cut.rdd.getNumPartitions() > one.rdd.getNumPartitions() == 3
+    assert rows(cut) == rows(one) and cut.columns == one.columns
+    assert rows(read_fastq_pairs(spark, str(tmp_path), split_bytes=9000)) == rows(read_fastq_pairs(spark, str(tmp_path)))
+    with pytest.raises(Exception, match="ends inside"):
+        block_gzip(tmp_path / "c_x_L001_R1_001.fastq.gz", data[:-300], 4000)
+        read_fastq_casava(spark, str(tmp_path), split_bytes=9000).collect()
+
+
+def test_filters_choose_files(spark, tmp_path):
+    for sample in "ab":
+        for mate in (1, 2):
+            fastq(tmp_path, f"{sample}_x_L00{mate}_R{mate}_001.fastq.gz", [(f"{sample}{mate}", "ACGT", "IIII")])
+    chosen = read_fastq_casava(spark, str(tmp_path), "R", samples=["a"], lanes=[1, 2])
+    assert [r.read_id for r in chosen.collect()] == ["a2"] and chosen.rdd.getNumPartitions() == 1
+    assert read_fastq_casava(spark, str(tmp_path), lanes=[2]).count() == 2
+    reads = read_fastq_casava(spark, str(tmp_path))
+    assert {d: reads.filter(F.col("direction") == d).unionAll(reads.filter("direction = 'R'")).count() for d in "FR"} == {"F": 4, "R": 4}
+    some = read_fastq_casava(spark, str(tmp_path), push_filters=True).filter("sample_id = 'a' and direction in ('R') and read_no >= 0")
+    assert [r.read_id for r in some.collect()] == ["a2"] and some.rdd.getNumPartitions() == 1
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "EqualTo(sample_id,a)" in plan
+
+
+def test_ragged_text_stops_the_job(spark, tmp_path):
+    path = tmp_path / "wide.tsv"
+    for line in ("f2\t1.0", "f3\t1.0\t2.0\t3.0"):
+        path.write_text(f"# Constructed from biom file\n#OTU ID\ta\tb\nf1\t1.0\t2.0\n{line}\n")
+        with pytest.raises(Exception, match="cells"):
+            text.read_biom_tsv(spark, str(path)).collect()
+        with pytest.raises(Exception, match="cells"):
+            text.read_biom_long(spark, str(path)).collect()
+
+
+def test_a_line_like_the_header_stays(spark, tmp_path, rows):
+    path = tmp_path / "map.tsv"
+    path.write_text("id\tsite\ns1\tx\nid\tsite\ns2\ty\n")
+    assert rows(text.read_sample_metadata(spark, str(path))) == [("id", "site"), ("s1", "x"), ("s2", "y")]
+    path.write_text('Feature ID\tTaxon\nf1\t"D_0__A; D_1__""B"""\n\nf1\t"D_0__A; D_1__""B"""\n')
+    assert rows(text.read_taxonomy(spark, str(path))) == [("f1", 'D_0__A; D_1__"B"')]
+
+
+def test_repeated_ids_never_multiply_rows(spark, tmp_path, rows):
+    path = tmp_path / "tax.tsv"
+    path.write_text("Feature ID\tTaxon\nf1\tD_0__A\nf1\tD_0__B\n")
+    with pytest.raises(Exception, match="different rows for f1"):
+        text.read_taxonomy(spark, str(path)).collect()
+    counts = spark.createDataFrame([("f1", "a", 5)], "feature_id string, sample_id string, frequency long")
+    twice = spark.createDataFrame([("f1", "D_0__A"), ("f1", "D_0__A")], "feature_id string, taxon string")
+    sinks.write_biom_tsv(counts, str(tmp_path / "out"), twice)
+    assert joined(tmp_path / "out") == "# Constructed from biom file\n#OTU ID\ta\ttaxonomy\nf1\t5.0\tD_0__A\n"
+    with pytest.raises(Exception, match="different rows for f1"):
+        sinks.write_biom_tsv(counts, str(tmp_path / "bad"), twice.unionAll(spark.createDataFrame([("f1", "D_0__Z")], twice.schema)))
+    per_sample = spark.createDataFrame([("a", 1)], "sample_id string, n long")
+    meta = spark.createDataFrame([("a", "x"), ("a", "y")], "sample_id string, site string")
+    assert rows(lookup.attach_metadata(per_sample, meta.limit(1).unionAll(meta.limit(1)))) == [("a", 1, "x")]
+    with pytest.raises(Exception, match="different rows for a"):
+        lookup.attach_metadata(per_sample, meta).collect()

@@ -1,9 +1,10 @@
+import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ampliframe.operators import lookup, reads as rd, reshape, table as tb, taxa as tx
-from ampliframe.operators.partitioning import global_index, join_small, salted_join, weighted_quantiles
+from ampliframe.operators.partitioning import global_index, number_rows, salted_join, weighted_quantiles
 
 
 @pytest.fixture(scope="module")
@@ -122,17 +123,32 @@ def test_salted_join_equals_join(spark, rows):
     big = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k"), "id")
     small = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     assert rows(salted_join(big, small, ["k"], 5)) == rows(big.join(small, "k"))
-    for limit in (0, 39, 40):
-        assert rows(join_small(big, small, ["k"], limit)) == rows(big.join(small, "k"))
 
 
 def test_quantiles_equal_numpy(spark):
-    values = [int(v) for v in np.random.default_rng(0).integers(0, 60, 777)]
+    values = [int(v) for v in np.random.default_rng(0).integers(-20, 60, 777)] + [10 ** 12, 10 ** 12 + 1]
     counted = spark.createDataFrame([(v,) for v in values], "v long").groupBy("v").count().repartition(5)
-    for fractions in ([0.5], [0.0, 0.25, 0.33, 0.75, 1.0]):
-        got = weighted_quantiles(counted, "v", "count", fractions)
-        assert np.allclose(got, np.quantile(values, fractions))
-    assert weighted_quantiles(counted.limit(0), "v", "count", [0.5]) == [None]
+    fractions = {"a": 0.0, "b": 0.25, "c": 0.33, "d": 0.5, "e": 0.75, "f": 1.0}
+    got = weighted_quantiles(counted, "v", "count", fractions).collect()
+    assert len(got) == 1 and np.allclose(tuple(got[0]), np.quantile(values, list(fractions.values())))
+    assert [tuple(r) for r in weighted_quantiles(counted.limit(0), "v", "count", {"m": 0.5}).collect()] == [(None,)]
+    grouped = counted.withColumn("g", F.col("v") % 2)
+    for row in weighted_quantiles(grouped, "v", "count", fractions, ["g"]).collect():
+        own = [v for v in values if math.fmod(v, 2) == row.g]
+        assert np.allclose(tuple(row)[1:], np.quantile(own, list(fractions.values())))
+
+
+def test_quantiles_start_no_job(spark, ft):
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    tb.frequency_quantiles(tb.frequency_per_feature(ft))
+    reads = spark.createDataFrame([("s", "F"), ("s", "R")], "sample_id string, direction string")
+    rd.demux_count_summary(reads)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+
+
+def test_rows_are_numbered_as_they_stand(spark):
+    df = spark.range(100).select((F.col("id") * 37 % 100).alias("k")).repartition(4).orderBy(F.col("k").desc())
+    assert {r.k: r.place for r in number_rows(df, "place").collect()} == {99 - i: i for i in range(100)}
 
 
 def test_empty_table(spark, ft):
