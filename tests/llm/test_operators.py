@@ -259,7 +259,7 @@ def test_separator_scan_over_small_blocks(spark, docs, tokens, tmp_path):
 
 def brute_spans(texts):
     """Repeated spans by a dictionary, in the order of ids and places."""
-    seen, gone = {}, defaultdict(set)
+    seen, ended, gone = {}, set(), defaultdict(set)
     for doc in sorted(texts):
         data = texts[doc].encode()
         _, words, at = spans.sentences(data)
@@ -275,6 +275,18 @@ def brute_spans(texts):
             if key in seen:
                 gone[doc].update(range(first, last + 1))
             seen.setdefault(key, doc)
+        # The shortest long enough run up to each sentence, as well.
+        for last in range(len(parts)):
+            first, n = last, len(parts[last])
+            while first and (last - first + 1 < spans.MIN_SENTENCES or n < spans.MIN_WORDS):
+                first -= 1
+                n += len(parts[first])
+            if last - first + 1 < spans.MIN_SENTENCES or n < spans.MIN_WORDS:
+                continue
+            key = tuple(w.encode().lower() for p in parts[first:last + 1] for w in p)
+            if key in ended:
+                gone[doc].update(range(first, last + 1))
+            ended.add(key)
     out = {}
     for doc, places in gone.items():
         data = texts[doc].encode()
@@ -530,3 +542,41 @@ def test_frequent_lines_deplete_a_text(spark):
     copies = [(100 + i, words("c", 50), "h") for i in range(30)]
     got = quality.quality_report(spark.createDataFrame(rows + copies, "doc_id long, text string, source string")).collect()
     assert {r.doc_id for r in got if not r.kept} == set(range(5))
+
+
+def brute_frequent(rows):
+    """(host, line) of the lines over the limits; rows are (id, text, host)."""
+    texts, holders = defaultdict(set), defaultdict(set)
+    for _, text, host in rows:
+        texts[host].add(text)
+        for line in text.split("\n"):
+            key = line.strip(" \t\n\x0b\x0c\r").lower()
+            if key:
+                holders[host, key].add(text)
+    return {k for k, held in holders.items() if len(held) > quality.MIN_DOCS and len(held) > quality.SHARE * len(texts[k[0]])}
+
+
+def without_frequent(text, host, frequent):
+    return "\n".join(x for x in text.split("\n") if (host, x.strip(" \t\n\x0b\x0c\r").lower()) not in frequent)
+
+
+def test_quality_removes_frequent_lines(spark):
+    frame = "A line that the whole host shows"
+    words = lambda i, n: " ".join(f"own{i}x{j}" for j in range(n))
+    rows = [(i, f"{frame}\n{words(i, 30)}\n {frame.upper()} ", "h") for i in range(40)]
+    # One text and id under two hosts; its frame is frequent in one of them only.
+    both = f"{words('b', 7)}\n{frame}\n{words('c', 7)}"
+    rows += [(500, both, "h"), (500, both, "other"), (501, words("d", 40), None)]
+    docs = spark.createDataFrame([(*r, len(r[1]), "z") for r in rows], "doc_id long, text string, source string, n_chars int, kept string")
+    left = quality.keep_good(docs)
+    assert left.columns == docs.columns
+    frequent = brute_frequent([(i, t, h or "") for i, t, h in rows])
+    assert frequent == {("h", frame.lower())}
+    got = sorted(((r.doc_id, r.text, r.source, r.n_chars) for r in left.collect()), key=repr)
+    wanted = [(i, without_frequent(t, h or "", frequent), h) for i, t, h in rows if (i, h) != (500, "h")]
+    assert got == sorted(((i, t, h, len(t)) for i, t, h in wanted), key=repr)
+    assert {(r.doc_id, r.n_removed, r.kept) for r in quality.quality_report(docs).filter("doc_id >= 500").collect()} == {
+        (500, 7, False), (500, 0, True), (501, 0, True)}
+    # By id, sixty copies of one text are sixty documents.
+    copies = spark.createDataFrame([(i, words("e", 40), "h") for i in range(60)], "doc_id long, text string, source string")
+    assert quality.keep_good(copies).count() == 60 and quality.keep_good(copies, count_copies=True).count() == 0

@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 from ampliframe.llm import queries
 
-from .test_operators import SF, brute_components, docs, texts, tokens  # noqa: F401
+from .test_operators import SF, brute_components, brute_frequent, docs, texts, tokens, without_frequent  # noqa: F401
 
 
 def comparable(rows, columns):
@@ -32,7 +32,8 @@ def test_pipeline_equals_brute_force(spark, docs, tokens):  # noqa: F811
     duck = duckdb.connect()
     duck.execute(f"CREATE TABLE documents AS SELECT * FROM '{SF}/documents.parquet'")
     kept = {r[0] for r in duck.execute(f"SELECT doc_id FROM ({queries.SQL['op10_quality_rules']}) WHERE kept").fetchall()}
-    left = {r.doc_id: r.text for r in docs.collect() if r.doc_id in kept}
+    frequent = brute_frequent([(r.doc_id, r.text or "", r.source or "") for r in docs.collect()])
+    left = {r.doc_id: without_frequent(r.text, r.source or "", frequent) for r in docs.collect() if r.doc_id in kept}
     holders = {}
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").encode().lower().decode()
     for doc, text in left.items():
