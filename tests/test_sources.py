@@ -256,7 +256,7 @@ def test_block_gzip_source(spark, tmp_path, rows):
     assert rows(cut) == rows(one) and cut.columns == one.columns
     assert rows(read_fastq_pairs(spark, str(tmp_path), split_bytes=9000)) == rows(read_fastq_pairs(spark, str(tmp_path)))
     with pytest.raises(Exception, match="ends inside"):
-        block_gzip(tmp_path / "c_x_L001_R1_001.fastq.gz", data[:-300], 4000)
+        block_gzip(tmp_path / "c_x_L001_R1_001.fastq.gz", data + b"@cut\nACGT\n", 4000)
         read_fastq_casava(spark, str(tmp_path), split_bytes=9000).collect()
 
 
@@ -271,8 +271,8 @@ def test_filters_choose_files(spark, tmp_path):
     assert {d: reads.filter(F.col("direction") == d).unionAll(reads.filter("direction = 'R'")).count() for d in "FR"} == {"F": 4, "R": 4}
     some = read_fastq_casava(spark, str(tmp_path), push_filters=True).filter("sample_id = 'a' and direction in ('R') and read_no >= 0")
     assert [r.read_id for r in some.collect()] == ["a2"] and some.rdd.getNumPartitions() == 1
-    plan = some._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [" in plan and "EqualTo(sample_id,a)" in plan
+    left = [line for line in some._jdf.queryExecution().executedPlan().toString().split("\n") if "Filter (" in line]
+    assert len(left) == 1 and ">= 0" in left[0] and "= a" not in left[0] and "= R" not in left[0]
 
 
 def test_ragged_text_stops_the_job(spark, tmp_path):
