@@ -1,15 +1,18 @@
 """HTML extraction: boosted trees score DOM nodes, a tree decoding picks the article's text.
 
 The parser is tolerant: open paragraphs and list items close by themselves, stray end tags are
-ignored, cut pages end everything. Each node gets features of its subtree (text and link density),
-its attribute words, depth and siblings. A node is then *in*, *out* or *mixed*; below an *out*
+ignored, cut pages end everything; its work grows with the page alone, however deep elements nest. Each
+node gets features of its subtree (text and link density), its attribute tokens (hashed), depth, siblings,
+and its place beside the node with the most prose. A node is then *in*, *out* or *mixed*; below an *out*
 node all is out, below an *in* node nothing is mixed, so no choice contradicts one above it.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,7 +22,7 @@ from ampliframe.llm.common import map_rows
 
 #: Bound of the training sample: so many pages at most, chosen by a hash of their id.
 MAX_TRAINING_PAGES = 300
-TREES, DEPTH, BINS, RATE, L2 = 60, 4, 32, 0.2, 1.0
+TREES, DEPTH, BINS, RATE, L2 = 80, 5, 32, 0.2, 1.0
 
 # Element names by role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,19 +46,13 @@ PARAGRAPH_TAGS = set("p pre blockquote h1 h2 h3 h4 h5 h6 figcaption dd dt".split
 FRAME_TAGS = {"nav", "header", "footer", "aside", "menu", "dialog", "search"}
 FORM_TAGS = {"form", "fieldset"}
 CONTROLS = {"input", "select", "textarea", "button", "label"}
-# Words in class, id, role and the like.
-CONTENT_WORDS = set("article articlebody post postbody entry entrycontent content story storybody main maincontent body "
-                    "text richtext prose markdown hentry single page blogpost newsarticle".split())
-FRAME_WORDS = set("nav navbar navigation menu menubar topbar header masthead banner footer footnav sidebar side aside "
-                  "widget widgets rail ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors "
-                  "promo promotion promoted cookie cookies consent gdpr notice notices notification alert popup modal "
-                  "overlay dialog comment comments comentarios reply replies respond discussion disqus feedback form "
-                  "forms search searchbox newsletter subscribe subscription signup login register share sharing social "
-                  "follow related recommended recommendations recommend more trending popular breadcrumb breadcrumbs "
-                  "pagination pager toolbar toc tags tagcloud legal copyright disclaimer skip hidden button buttons "
-                  "complementary contentinfo log status author bio byline meta paywall toast taboola outbrain".split())
-
-_MARK = "data-own-part"  # set in training pages only
+#: Odds that an element inside the article must lose by to be left out, and that a piece of the article
+#: must win by where its surroundings are mixed.
+SWITCH, ENTER = 3.0, 2.0
+#: Buckets of hashed attribute tokens, of a node and of all above it.
+TOKENS = 32
+
+_MARK, _FRAME = "data-own-part", "data-own-frame"  # set in training pages only: the article, an added frame
 
 _tag = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/](?![a-zA-Z])[^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)"""
                   r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
@@ -70,57 +67,84 @@ class Page:
     """Nodes in page order (a parent before its children) and the text segments under them."""
     tag: list[str] = field(default_factory=list)
     parent: list[int] = field(default_factory=list)
-    good: list[int] = field(default_factory=list)
-    bad: list[int] = field(default_factory=list)
+    tokens: list[int] = field(default_factory=list)  # a bit per bucket
     hidden: list[int] = field(default_factory=list)
-    marked: list[int] = field(default_factory=list)  # for training only
+    marked: list[int] = field(default_factory=list)  # for training only: 1 the article, 2 a frame
     tags_below: list[int] = field(default_factory=list)
     controls: list[int] = field(default_factory=list)
     segments: list[tuple[int, int, bool, str]] = field(default_factory=list)  # node, block, in a link, text
 
 
-def _attributes(source: str) -> tuple[int, int, int, int]:
-    """Content words, frame words, whether the element is hidden, and whether training marked it."""
-    good = bad = hidden = marked = 0
+_PLAIN = (0, 0, 0)
+
+
+def _attributes(source: str) -> tuple[int, int, int]:
+    """Buckets of the tokens in class, id, role and the like, whether the element is hidden, and what
+    training marked it as."""
+    tokens = hidden = marked = 0
     for name, a, b, c in _attribute.findall(source):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role", "itemprop", "aria-label", "data-role", "data-component"):
-            value = _hump.sub(" ", value).lower()
-            words = _split_word.findall(value)
-            words += [x + y for x, y in zip(words, words[1:])]
-            good += sum(w in CONTENT_WORDS for w in words)
-            bad += sum(w in FRAME_WORDS for w in words)
+            for word in _split_word.findall(_hump.sub(" ", value).lower()):
+                tokens |= 1 << zlib.crc32(word.encode()) % TOKENS
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(
                 r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = 1
-        elif name == _MARK:
-            marked = 1
-    return good, bad, hidden, marked
+        elif name in (_MARK, _FRAME):
+            marked = 1 if name == _MARK else 2
+    return tokens, hidden, marked
+
+
+class _Open:
+    """The open elements, with the places of each tag and of blocks, so that no tag walks through them all."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, bool]] = [("#root", 0, False)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, node: int, silent: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, node, silent))
+
+    def cut(self, at: int) -> bool:
+        """Close all from ``at`` on; whether a block was among them."""
+        blocked = bool(self.blocks) and self.blocks[-1] >= at
+        while len(self.stack) > at:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
+        return blocked
+
+    def last(self, tags: set[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def outermost(self, wanted: set[str], limit: set[str]) -> int | None:
+        """The first open element of ``wanted`` behind the last one of ``limit``."""
+        found = [self.places[t] for t in wanted if self.places.get(t)]
+        if not found:
+            return None
+        least = self.last(limit)
+        return min((p[bisect.bisect(p, least)] for p in found if p[-1] > least), default=None)
 
 
 def parse(source: str) -> Page:
-    page, stack, block = Page(), [("#root", 0, False)], 0
+    page, opened, block = Page(), _Open(), 0
+    stack = opened.stack
 
-    def node(tag: str, parent: int, attributes: tuple[int, int, int, int]) -> int:
-        for column, value in zip((page.tag, page.parent, page.good, page.bad, page.hidden, page.marked, page.tags_below, page.controls),
+    def node(tag: str, parent: int, attributes: tuple[int, int, int]) -> int:
+        for column, value in zip((page.tag, page.parent, page.tokens, page.hidden, page.marked, page.tags_below, page.controls),
                                  (tag, parent, *attributes, 0, 0)):
             column.append(value)
         return len(page.tag) - 1
 
-    def close(at: int) -> None:
+    def close(at: int | None) -> None:
         nonlocal block
-        if any(t in BLOCK for t, _, _ in stack[at:]):
-            block += 1
-        del stack[at:]
-
-    def close_open(wanted: set[str], limit: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in wanted:
-                close(i)
-                # One element may close several nested ones (a row and its cell).
-                return close_open(wanted, limit)
-            if stack[i][0] in limit:
-                return None
+        if at is not None:
+            block += opened.cut(at)
 
     def text(raw: str) -> None:
         tag, at, silent = stack[-1]
@@ -128,7 +152,7 @@ def parse(source: str) -> Page:
             raw = entities.unescape(raw) if "&" in raw else raw
             page.segments.append((at, block, any(t == "a" for t, _, _ in stack[-4:]), raw))
 
-    node("#root", -1, (0, 0, 0, 0))
+    node("#root", -1, _PLAIN)
     at = 0
     while at < len(source):
         found = _tag.search(source, at)
@@ -144,21 +168,19 @@ def parse(source: str) -> Page:
             continue
         tag, ending = name.lower(), found[1] or found[4]
         if ending:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if tag not in BLOCK and stack[i][0] in BLOCK:
-                    break
+            own = opened.places.get(tag)
+            # An inline end tag does not reach through a block.
+            if own and (tag in BLOCK or not opened.blocks or own[-1] > opened.blocks[-1]):
+                close(own[-1])
             continue
         if tag in CLOSES_P:
-            close_open({"p"}, P_LIMIT)
+            close(opened.outermost({"p"}, P_LIMIT))
         if tag in IMPLIED:
-            close_open(*IMPLIED[tag])
+            close(opened.outermost(*IMPLIED[tag]))
         _, parent, silent = stack[-1]
         page.tags_below[parent] += 1
         page.controls[parent] += tag in CONTROLS
-        attributes = _attributes(found[3] or found[6]) if found[3] or found[6] else (0, 0, 0, 0)
+        attributes = _attributes(found[3] or found[6]) if found[3] or found[6] else _PLAIN
         if tag in BLOCK:
             block += 1
         if tag in VOID:
@@ -171,7 +193,7 @@ def parse(source: str) -> Page:
             at = end.end() if end else len(source)
             continue
         if not (found[3] or found[6] or "").rstrip().endswith("/") or tag in BLOCK:
-            stack.append((tag, own, silent or tag in SILENT))
+            opened.push(tag, own, silent or tag in SILENT)
     return page
 
 
@@ -189,48 +211,75 @@ def measure(page: Page) -> tuple[np.ndarray, np.ndarray]:
         if linked:
             link[at] += size
         seen += size
-    parent = page.parent
+    parent, t = page.parent, page.tag
     depth, same, index, siblings = [0] * n, [1] * n, [0] * n, [1] * n
-    above_good, above_bad, above_frame, above_main = [0] * n, [0] * n, [0] * n, [0] * n
+    above, above_frame, above_main, above_hidden = [0] * n, [0] * n, [0] * n, [0] * n
     per_parent: dict[int, list[int]] = {}
     for i in range(1, n):
         p = parent[i]
         depth[i] = depth[p] + 1
-        above_good[i] = above_good[p] + page.good[p]
-        above_bad[i] = above_bad[p] + page.bad[p]
-        above_frame[i] = above_frame[p] + (page.tag[p] in FRAME_TAGS or page.tag[p] in FORM_TAGS)
-        above_main[i] = above_main[p] + (page.tag[p] in CONTENT_TAGS)
+        above[i] = above[p] | page.tokens[p]
+        above_frame[i] = above_frame[p] + (t[p] in FRAME_TAGS or t[p] in FORM_TAGS)
+        above_main[i] = above_main[p] + (t[p] in CONTENT_TAGS)
+        above_hidden[i] = above_hidden[p] + page.hidden[p]
         per_parent.setdefault(p, []).append(i)
     for children in per_parent.values():
         tags: dict[str, int] = {}
         for c in children:
-            tags[page.tag[c]] = tags.get(page.tag[c], 0) + 1
+            tags[t[c]] = tags.get(t[c], 0) + 1
         for k, c in enumerate(children):
-            index[c], siblings[c], same[c] = k, len(children), tags[page.tag[c]]
+            index[c], siblings[c], same[c] = k, len(children), tags[t[c]]
     total, linked, marks = own.copy(), link.copy(), stops.copy()
     tags, controls, widest = np.array(page.tags_below, float), np.array(page.controls, float), own.copy()
+    # Text of paragraphs directly under a node: the densest node is the heaviest by this.
+    prose, direct = np.zeros(n), np.zeros(n)
+    paragraphs = np.array([float(x in PARAGRAPH_TAGS) for x in t])
+    framed = [f or x in FRAME_TAGS or x in FORM_TAGS or h for f, x, h in zip(above_frame, t, page.hidden)]
     for i in range(n - 1, 0, -1):
         p = parent[i]
+        if t[i] in PARAGRAPH_TAGS and not framed[i]:
+            direct[p] += max(0.0, total[i] - 2 * linked[i])
         total[p] += total[i]
         linked[p] += linked[i]
         marks[p] += marks[i]
         tags[p] += tags[i]
         controls[p] += controls[i]
+        paragraphs[p] += paragraphs[i]
         widest[p] = max(widest[p], widest[i])
         if start[i] >= 0 and (start[p] < 0 or start[i] < start[p]):
             start[p] = start[i]
-    size = np.maximum(total, 1)
-    t = page.tag
+    heaviest = int(direct.argmax())
+    inside, holds, behind, last = np.zeros(n), np.zeros(n), np.zeros(n), heaviest
+    inside[heaviest] = 1
+    for i in range(heaviest + 1, n):
+        if inside[parent[i]]:
+            inside[i], last = 1, i
+    at = parent[heaviest]
+    while at >= 0:
+        holds[at], at = 1, parent[at]
+    behind[last + 1:] = 1
+    size, size_above = np.maximum(total, 1), np.maximum(total[np.maximum(parent, 0)], 1)
+    largest = np.zeros(n)
+    for p, children in per_parent.items():
+        sizes = np.sort(total[children])
+        top, second = sizes[-1], sizes[-2] if len(children) > 1 else 0.0
+        for c in children:
+            largest[c] = total[c] / max(second if total[c] == top else top, 1)
+    has_main = any(x in CONTENT_TAGS for x in t)
+    outside = [float(has_main and not m and x not in CONTENT_TAGS) for m, x in zip(above_main, t)]
+    bits = np.arange(TOKENS)
     columns = [
         np.array(depth), np.log1p(total), linked / size, np.log1p(tags), total / (tags + 1), np.array(index) / np.array(siblings),
         np.log1p(siblings), np.array(same) / np.array(siblings), np.log1p(own), marks / size, np.maximum(start, 0) / max(seen, 1),
-        total / max(seen, 1), np.log1p(widest), controls,
+        total / max(seen, 1), np.log1p(widest), controls, np.log1p(paragraphs), total / (paragraphs + 1), total / size_above,
+        np.log1p(largest), np.log1p(direct), inside, holds, behind, total / max(total[heaviest], 1),
         np.array([x in CONTENT_TAGS for x in t]), np.array([x in PARAGRAPH_TAGS for x in t]), np.array([x in FRAME_TAGS for x in t]),
         np.array([x in FORM_TAGS for x in t]), np.array([x in ("ul", "ol", "li", "dl", "menu") for x in t]),
         np.array([x in ("div", "section", "span") for x in t]), np.array([x in ("table", "tr", "td", "th", "tbody") for x in t]),
-        np.array(page.good), np.array(page.bad), np.array(page.hidden), np.array(above_good), np.array(above_bad),
-        np.array(above_frame), np.array(above_main), np.array([x in ("#root", "html", "body") for x in t])]
-    return np.column_stack(columns).astype(np.float32), own
+        np.array(page.hidden), np.array(above_hidden), np.array(above_frame), np.array(above_main), np.full(n, float(has_main)), np.array(outside),
+        np.array([x in ("#root", "html", "body") for x in t])]
+    buckets = [(np.array(words, np.int64)[:, None] >> bits) & 1 for words in (page.tokens, above)]
+    return np.concatenate([np.column_stack(columns), *buckets], axis=1).astype(np.float32), own
 
 
 class Trees:
@@ -247,6 +296,7 @@ class Trees:
     def fit(self, x: np.ndarray, y: np.ndarray) -> "Trees":
         self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS)[1:-1])) for j in range(x.shape[1])]
         binned, features = self._bins(x), x.shape[1]
+        flat = binned + np.arange(features) * BINS
         rate = np.clip(y.mean(), 0.01, 0.99)
         self.start = float(np.log(rate / (1 - rate)))
         score = np.full(len(y), self.start)
@@ -257,15 +307,12 @@ class Trees:
             split_on, split_at = np.zeros(2 ** DEPTH - 1, np.int64), np.full(2 ** DEPTH - 1, BINS, np.int64)
             for level in range(DEPTH):
                 width = 2 ** level
-                gain = np.full((width, features, BINS), -np.inf)
-                for j in range(features):
-                    place = leaf * BINS + binned[:, j]
-                    g = np.bincount(place, slope, width * BINS).reshape(width, BINS)
-                    h = np.bincount(place, bend, width * BINS).reshape(width, BINS)
-                    gl, hl = np.cumsum(g, 1), np.cumsum(h, 1)
-                    ga, ha = gl[:, -1:], hl[:, -1:]
-                    found = gl ** 2 / (hl + L2) + (ga - gl) ** 2 / (ha - hl + L2) - ga ** 2 / (ha + L2)
-                    gain[:, j] = np.where((hl > 1) & (ha - hl > 1), found, -np.inf)
+                place = ((leaf * features)[:, None] * BINS + flat).ravel()
+                g, h = (np.bincount(place, np.repeat(v, features), width * features * BINS).reshape(width, features, BINS) for v in (slope, bend))
+                gl, hl = np.cumsum(g, 2), np.cumsum(h, 2)
+                ga, ha = gl[:, :, -1:], hl[:, :, -1:]
+                found = gl ** 2 / (hl + L2) + (ga - gl) ** 2 / (ha - hl + L2) - ga ** 2 / (ha + L2)
+                gain = np.where((hl > 1) & (ha - hl > 1), found, -np.inf)
                 best = gain.reshape(width, -1).argmax(axis=1)
                 worth = gain.reshape(width, -1).max(axis=1) > 1e-6
                 at = width - 1 + np.arange(width)
@@ -299,18 +346,19 @@ def decode(page: Page, odds: np.ndarray, own: np.ndarray) -> list[bool]:
     inside, outside, mixed = whole[:], [-w for w in whole], [-t for t in by_text]
     for i in range(n - 1, 0, -1):  # children come behind their parents
         p = page.parent[i]
-        inside[p] += max(inside[i], outside[i])
+        inside[p] += max(inside[i], outside[i] - SWITCH)
         outside[p] += outside[i]
-        mixed[p] += max(mixed[i], inside[i], outside[i])
+        mixed[p] += max(mixed[i], inside[i] - ENTER, outside[i])
     state = [""] * n
     for i in range(n):
         above = state[page.parent[i]] if i else "mixed"
         if above == "outside":
             state[i] = "outside"
         elif above == "inside":
-            state[i] = "inside" if inside[i] >= outside[i] else "outside"
+            state[i] = "inside" if inside[i] >= outside[i] - SWITCH else "outside"
         else:
-            state[i] = max(("inside", inside[i]), ("outside", outside[i]), ("mixed", mixed[i]), key=lambda x: x[1])[0]
+            enter = ENTER if i else 0.0
+            state[i] = max(("inside", inside[i] - enter), ("outside", outside[i]), ("mixed", mixed[i]), key=lambda x: x[1])[0]
     return [s == "inside" for s in state]
 
 
@@ -330,77 +378,100 @@ def blocks(page: Page, wanted: list[bool]) -> str:
 
 # --------------------------------------------------------------------------- training
 
-_SWAPS = (  # how the same page could have been marked up otherwise
-    ((r"article", "article"),), ((r"article", "main"),), ((r"article", 'div class="post-content"'),),
-    ((r"article", 'div id="content"'),), ((r"article", "div"), (r"nav", 'div class="menu"')),
-    ((r"article", 'section class="entry"'), (r"footer", 'div id="footer"'), (r"nav", 'div class="topbar"')))
-_EXTRAS = ('<header class="site-header"><p>%s</p></header>', '<aside class="sidebar"><h3>%s</h3><p>%s</p></aside>',
-           '<div class="sidebar"><p>%s</p><ul><li><a href="/">%s</a></li></ul></div>', '<aside><p>%s</p><p>%s</p></aside>',
-           '<div class="cookie-notice"><p>%s</p><button>OK</button></div>', '<div role="alert" class="notice">%s</div>',
-           '<form action="/s"><label>%s</label><input name="q"><p>%s</p></form>', '<div class="advert"><p>%s</p></div>',
-           '<section class="comments"><h2>%s</h2><div class="comment"><p>%s</p><p>%s</p></div></section>',
-           '<div id="comments"><ol><li class="comment"><p>%s</p></li><li><p>%s</p></li></ol></div>',
-           '<div class="related"><a href="/">%s</a><a href="/">%s</a></div>', '<div class="newsletter"><p>%s</p></div>',
-           '<div class="promo"><p>%s</p><p>%s</p></div>', '<nav class="breadcrumb"><a href="/">%s</a></nav>')
+_CONTENT = ("article", "main", "div", "section", "div")  # elements that can hold the article
+_CONTENT_NAMES = ("post-content", "entry", "content", "story body", "main text", "article-body")
+# Frame parts: how often each may stand in a page is left to chance, its names are drawn.
+_EXTRAS = ('<header@><p>%s</p></header>', '<aside@><h3>%s</h3><p>%s</p></aside>', '<div@><p>%s</p><ul><li><a href="/">%s</a></li></ul></div>',
+           '<aside@><p>%s</p><p>%s</p></aside>', '<div@><p>%s</p><button>OK</button></div>', '<div role="alert"@>%s</div>',
+           '<form action="/s"@><label>%s</label><input name="q"><p>%s</p></form>', '<div@><p>%s</p></div>', '<div@>%s</div>', '<p@>%s</p>',
+           '<section@><h2>%s</h2><div@><p>%s</p><p>%s</p></div></section>', '<div@><ol><li@><p>%s</p></li><li><p>%s</p></li></ol></div>',
+           '<div@><div@><p>%s</p></div><div@><p>%s</p></div><div@><p>%s</p></div></div>', '<div@><a href="/">%s</a><a href="/">%s</a></div>',
+           '<nav@><a href="/">%s</a></nav>', '<footer@><p>%s</p><p>%s</p></footer>', '<div@><h4>%s</h4><p>%s</p></div>', '<section@><p>%s</p></section>')
+_EXTRA_NAMES = ("site-header", "sidebar", "cookie-notice", "advert", "comments", "comment", "related", "newsletter", "promo", "breadcrumb", "footer",
+                "share", "notice", "menu", "topbar", "copyright")
+# What may also stand in an article, and frame parts inside one that their elements give away.
 _INSIDE = ('<ul><li>%s</li><li>%s</li></ul>', '<table><tr><td>%s</td><td>%s</td></tr><tr><td>%s</td></tr></table>',
            '<blockquote><p>%s</p></blockquote>', '<h2>%s</h2><p>%s</p>', '<ol><li><p>%s</p></li><li>%s</li></ol>',
-           '<figure><img src="a"><figcaption>%s</figcaption></figure>', '<pre>%s</pre>', '<div><p>%s</p><p>%s</p></div>',
-           '<p>See <a href="/">%s</a> and %s</p>', '<dl><dt>%s</dt><dd>%s</dd></dl>')
-
-
-def _variants(source: str, number: int) -> list[str]:
-    """The page as it is and marked up otherwise, with added frame parts; the article's element
-    carries a mark that no feature sees."""
-    words = re.sub(r"<[^>]*>", " ", source).replace("<", " ").split() or ["text"]
-
-    def filled(pattern: str, salt: int) -> str:
-        holes = []
-        for h in range(pattern.count("%s")):
-            begin = (number * 131 + salt * 37 + h * 71) % len(words)
-            holes.append(" ".join(words[begin:begin + 2 + (number * 7 + salt * 13 + h * 11) % 60]))
-        return pattern % tuple(holes)
-
-    out = []
-    for k, swaps in enumerate(_SWAPS[number % 2::2]):
-        page = source
-        if number % 5 == k:  # a very short article
-            page = re.sub(r"(<article\b[^>]*>).*?(</article>)", lambda m: m[1] + "<h1>%s</h1><p>%s</p>" % (
-                words[0], " ".join(words[1:2 + number % 9])) + m[2], page, flags=re.S | re.I)
-        page = re.sub(r"</article>", lambda m: filled(_INSIDE[(number + k) % len(_INSIDE)], k) + "</article>", page, flags=re.I)
-        for name, other in swaps:
-            mark = f' {_MARK}="1"' if name == "article" else ""
-            page = re.sub(rf"<{name}\b", f"<{other}{mark}", page, flags=re.I)
-            page = re.sub(rf"</{name}>", f"</{other.split()[0]}>", page, flags=re.I)
-        for j in range(4):
-            pattern = _EXTRAS[(number * 5 + k * 3 + j) % len(_EXTRAS)]
-            extra = filled(pattern, 3 * k + j)
-            # Before and behind the article, at the top, and as the last thing inside it.
-            if j == 0:
-                page = re.sub(rf"(<[a-z]+[^>]*{_MARK})", lambda m: extra + m[1], page, count=1)
-            elif j == 1:
-                page = page.replace("</body>", extra + "</body>", 1)
-            elif j == 2:
-                page = re.sub(r"(<body[^>]*>)", lambda m: m[1] + extra, page, count=1)
-            elif "class" in pattern:
-                end = f"</{dict(swaps)['article'].split()[0]}>"
-                before, found, behind = page.rpartition(end)
-                page = before + extra + found + behind if found else page
-        out.append(page)
-    out.append(" ".join(words[:10 + number]))  # no markup: all of it
-    return out
+           '<figure><img src="a"><figcaption>%s</figcaption></figure>', '<pre>%s</pre>', '<div@><p>%s</p><p>%s</p></div>', '<div@>%s</div>',
+           '<p>See <a href="/">%s</a> and %s</p>', '<dl><dt>%s</dt><dd>%s</dd></dl>', '<section@><h3>%s</h3><p>%s</p><p>%s</p></section>')
+_INSIDE_FRAMES = ('<footer@><p>%s</p></footer>', '<aside@><p>%s</p></aside>', '<nav@><a href="/">%s</a></nav>', '<form@><p>%s</p><input></form>')
+
+
+class _Variants:
+    """A training page marked up in other ways: elements and their names are drawn, so that density, links and
+    place must tell the article from what is added around it. Half of the names are usual ones."""
+
+    def __init__(self, source: str, number: int):
+        self.source, self.draw = source, np.random.default_rng(number)
+        self.words = re.sub(r"<[^>]*>", " ", source).replace("<", " ").split() or ["text"]
+
+    def name(self, usual: tuple[str, ...]) -> str:
+        if self.draw.random() < 0.3:
+            return ""
+        if self.draw.random() < 0.4:
+            value = usual[self.draw.integers(len(usual))]
+        else:
+            syllables = ("ka", "lo", "mer", "zon", "vi", "tra", "bel", "qu", "ost", "nim", "du", "fex")
+            value = "-".join("".join(syllables[i] for i in self.draw.integers(0, len(syllables), self.draw.integers(1, 4)))
+                             for _ in range(self.draw.integers(1, 3)))
+        return f' {("class", "id")[self.draw.integers(2)]}="{value}"'
+
+    def some_words(self, least: int, most: int) -> str:
+        begin = int(self.draw.integers(len(self.words)))
+        return " ".join(self.words[begin:begin + int(self.draw.integers(least, most))]) or self.words[0]
+
+    def filled(self, pattern: str, frame: bool) -> str:
+        mark = f' {_FRAME}="1"' if frame else ""
+        out = re.sub("@", lambda m: self.name(_EXTRA_NAMES if frame else _CONTENT_NAMES) + mark, pattern)
+        most = int(self.draw.choice([8, 20, 60]))
+        return re.sub("%s", lambda m: self.some_words(2, most).replace("\\", " "), out)
+
+    def page(self) -> str:
+        draw, page = self.draw, self.source
+        if draw.random() < 0.15:  # a very short article
+            short = f"<h1>{self.words[0]}</h1><p>{self.some_words(1, 10)}</p>"
+            page = re.sub(r"(<article\b[^>]*>).*?(</article>)", lambda m: m[1] + short + m[2], page, flags=re.S | re.I)
+        more = "".join(self.filled(_INSIDE[draw.integers(len(_INSIDE))], False) for _ in range(draw.integers(0, 3)))
+        if draw.random() < 0.3:
+            more += self.filled(_INSIDE_FRAMES[draw.integers(len(_INSIDE_FRAMES))], True)
+        page = re.sub(r"</article>", lambda m: more + "</article>", page, flags=re.I)
+        tag = _CONTENT[draw.integers(len(_CONTENT))]
+        before, behind, top, end = ("".join(self.filled(_EXTRAS[draw.integers(len(_EXTRAS))], True) for _ in range(draw.integers(0, 3))) for _ in range(4))
+        opening = f"<{tag}{self.name(_CONTENT_NAMES)} {_MARK}=\"1\">"
+        wrap = draw.random() < 0.4  # the article and some of its neighbours in one more element
+        page = re.sub(r"<article\b[^>]*>", lambda m: (f"<div{self.name(_CONTENT_NAMES)}>" if wrap else "") + before + opening, page, flags=re.I)
+        page = re.sub(r"</article>", lambda m: f"</{tag}>" + behind + ("</div>" if wrap else ""), page, flags=re.I)
+        for old in ("nav", "footer"):
+            if draw.random() < 0.4:
+                page = re.sub(rf"<{old}\b", f'<div{self.name(_EXTRA_NAMES)} {_FRAME}="1"', page, flags=re.I)
+                page = re.sub(rf"</{old}>", "</div>", page, flags=re.I)
+        page = re.sub(r"(<body[^>]*>)", lambda m: m[1] + top, page, count=1)
+        return page.replace("</body>", end + "</body>", 1)
+
+
+#: Variants of each training page, and of all pages together, at least.
+VARIANTS, ALL_VARIANTS = 4, 800
+
+
+def _variants(source: str, number: int, n: int) -> list[str]:
+    """The page as it is and marked up otherwise; the article's element and added frames carry marks
+    that no feature sees."""
+    make = _Variants(source, number)
+    own = re.sub(r"<article\b", f'<article {_MARK}="1"', source, flags=re.I)
+    return [own, *(make.page() for _ in range(n)), " ".join(make.words[:10 + number])]  # the last without markup: all of it
 
 
 def _truth(page: Page) -> np.ndarray:
     """1: all text of the node is the article's, 0: none, -1: both or no text. The article is the
-    marked element less its frame parts."""
+    marked element less the frames in it that were added or that their elements name."""
     n = len(page.tag)
     kept, own = [n == 1] * n, [0] * n
     for at, _, _, text in page.segments:
         own[at] += len(text.strip())
     for i in range(1, n):
         p = page.parent[i]
-        frame = page.tag[i] in FRAME_TAGS or page.tag[i] in FORM_TAGS or page.bad[i] > 0 and not page.good[i] or page.hidden[i]
-        kept[i] = (kept[p] or page.marked[i]) and not frame
+        frame = page.tag[i] in FRAME_TAGS or page.tag[i] in FORM_TAGS or page.marked[i] == 2 or page.hidden[i]
+        kept[i] = (kept[p] or page.marked[i] == 1) and not frame
     wanted, total = [o * k for o, k in zip(own, kept)], own[:]
     for i in range(n - 1, 0, -1):
         wanted[page.parent[i]] += wanted[i]
@@ -410,18 +481,17 @@ def _truth(page: Page) -> np.ndarray:
 
 def train(sources: list[str]) -> Trees:
     """Fit on pages whose article element is known, each also marked up in other ways."""
-    xs, ys = [np.zeros((0, 29), np.float32)], [np.zeros(0)]
+    xs, ys = [], [np.zeros(0)]
+    sources = [s for s in sources if re.search(r"<article\b", s, re.I)]
     for number, source in enumerate(sources):
-        if not re.search(r"<article\b", source, re.I):
-            continue
-        for variant in _variants(source, number):
+        for variant in _variants(source, number, max(VARIANTS, ALL_VARIANTS // len(sources))):
             page = parse(variant)
             truth = _truth(page)
             x, _ = measure(page)
             xs.append(x[truth >= 0])
             ys.append(truth[truth >= 0])
-    x, y = np.concatenate(xs), np.concatenate(ys).astype(float)
-    return Trees().fit(x, y) if len(y) else Trees()
+    y = np.concatenate(ys).astype(float)
+    return Trees().fit(np.concatenate(xs), y) if len(y) else Trees()
 
 
 def extract(sources: list[str], trees: Trees) -> list[str]:
@@ -439,10 +509,15 @@ def extract(sources: list[str], trees: Trees) -> list[str]:
 
 
 def fit(pages: DataFrame, key: str = "page_id", source: str = "html", max_pages: int = MAX_TRAINING_PAGES) -> Trees:
-    """Trees fitted on at most ``max_pages`` pages with a marked-up article, which alone go to the driver."""
-    sample = (pages.select(F.col(key).alias("k"), F.col(source).alias("html"))
-              .filter(F.col("html").rlike("(?i)<article\\b")).orderBy(F.xxhash64("k"), "k", F.xxhash64("html")).limit(max_pages))
-    return train([r["html"] for r in sample.collect()])
+    """Trees fitted on at most ``max_pages`` pages with a marked-up article, which alone go to the driver.
+    They are chosen by two numbers a page (hashes of id and html); only then are their texts fetched."""
+    numbered = (pages.select(F.xxhash64(F.col(key)).alias("_k"), F.col(source).alias("html"))
+                .filter(F.col("html").rlike("(?i)<article\\b")).withColumn("_h", F.xxhash64("html")))
+    chosen = numbered.select("_k", "_h").orderBy("_k", "_h").limit(max_pages).collect()
+    if not chosen:
+        return Trees()
+    wanted = numbered.filter(F.col("_h").isin([r["_h"] for r in chosen])).dropDuplicates(["_h"])
+    return train([r["html"] for r in sorted(wanted.select("_h", "html").collect())])
 
 
 def extract_pages(pages: DataFrame, trees: Trees, key: str = "page_id", source: str = "html",

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -181,6 +182,59 @@ def test_html_extraction(spark):
         assert r.text == "\n".join(b for b in blocks if b)
 
 
+def article_of(source):
+    article = re.search(r"<article>(.*?)(?:</article>|<footer>|$)", source, re.S)[1]
+    blocks = (" ".join(html.entities.unescape(re.sub("<[^>]+>", "", b.replace("<br>", " "))).split())
+              for b in re.split(r"</?(?:p|h1)\b[^>]*>", re.sub(r"<!--.*?-->", "", article)))
+    return "\n".join(b for b in blocks if b)
+
+
+def test_html_of_names_never_trained(spark):
+    """Frames and articles under names that no training page has, on pages kept out of training."""
+    sources = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").collect()]
+    trees = html.train(sources[::2])
+    some = "Some closing words of the site stand here and nothing more. All rights reserved."
+    talk = f'<div class="kommentare"><h3>Kommentare</h3><div class="k"><p>{some}</p></div><div class="k"><p>{some[::-1]}</p></div></div>'
+    plain = lambda h: h.replace("<article>", '<div class="xq-3">').replace("</article>", "</div>")
+    styles = {
+        "closing div": lambda h: h.replace("</body>", '<div class="zone-z">All rights reserved. Contact us.</div></body>'),
+        "comments": lambda h: h.replace("</article>", f"</article>{talk}"),
+        "sidebar": lambda h: h.replace("<article>", f'<div class="seitenleiste"><p>{some}</p><p>{some[:30]}</p></div><article>'),
+        "all divs": lambda h: plain(h).replace("<nav>", '<div class="oben">').replace("</nav>", "</div>").replace(
+            "<footer>", '<div class="unten">').replace("</footer>", "</div>").replace('class="ad"', 'class="werb"'),
+        "divs and comments": lambda h: plain(h).replace("<footer>", f"{talk}<footer>"),
+        "nested": lambda h: h.replace("<article>", f'<div id="w1"><div id="w2"><div class="zz">{some}</div><div class="inhalt">').replace(
+            "</article>", "</div></div></div>")}
+    held = sources[1::2]
+    for name, style in styles.items():
+        exact = sum(got == article_of(h) for got, h in zip(html.extract([style(h) for h in held], trees), held))
+        assert exact >= 0.95 * len(held), (name, exact, len(held))
+
+
+def test_html_work_grows_with_the_page_alone():
+    for piece in ("<div>", "<span class=a>", "<p><div>", "<ul><li>", "<table><tr><td>"):
+        took = []
+        for n in (4_000, 16_000):
+            source = piece * n + "text" + "</b></i>" * n
+            start = time.process_time()
+            assert html.extract([source], html.Trees()) == ["text"]
+            took.append(time.process_time() - start)
+        assert took[1] < 8 * took[0] + 0.5 and took[1] < 10
+
+
+def test_html_of_empty_and_long_pages(spark):
+    given = spark.read.parquet(f"{SF}/pages.parquet")
+    assert html.extract_pages(given.limit(0), html.fit(given.limit(0))).count() == 0
+    trees = html.fit(given, max_pages=40)
+    long = "<html><body><nav><a href='/'>home</a></nav><article>" + "".join(
+        f"<p>Paragraph {i} of a very long page, with words enough.</p>" for i in range(20_000)) + "</article><footer>end</footer></body></html>"
+    frame = spark.createDataFrame([(1, "u", long, "x", 2), (1, "u", long, "x", 2), (None, None, "", None, None)],
+                                  "page_id long, url string, html string, text string, n_chars int")
+    got = sorted(html.extract_pages(frame, trees).collect(), key=repr)
+    assert [(r.page_id, r.text.count("\n"), r.text.startswith("Paragraph 0 "), r.n_chars) for r in got[:2]] == [(1, 19_999, True, len(got[0].text))] * 2
+    assert got[2].text == ""
+
+
 def test_html_without_any_article_element(spark):
     pages = [(1, "u", "<body><div><p>One text.</p></div><script>var x;</script><div>More.</div></body>"), (2, "u", None)]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string")
