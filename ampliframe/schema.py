@@ -20,19 +20,3 @@ PAIRED_READS = _struct(
     read_id=T.StringType(), fwd=T.StringType(), fwd_qual=T.StringType(),
     rev=T.StringType(), rev_qual=T.StringType(),
 )
-
-# Counts in long form; absent cells have no row. Key: (feature_id, sample_id).
-FEATURE_TABLE = _struct(
-    feature_id=T.StringType(), sample_id=T.StringType(), frequency=T.LongType())
-
-SEQUENCES = _struct(feature_id=T.StringType(), sequence=T.StringType())
-
-TAXONOMY = _struct(
-    feature_id=T.StringType(), taxon=T.StringType(), confidence=T.DoubleType())
-
-ALIGNMENT = _struct(feature_id=T.StringType(), aligned=T.StringType())
-
-# Error rates: P(read base = to_base | true base = from_base, quality q).
-ERROR_RATES = _struct(
-    from_base=T.StringType(), to_base=T.StringType(), q=T.IntegerType(),
-    rate=T.DoubleType())
