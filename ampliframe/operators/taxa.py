@@ -155,6 +155,14 @@ def barplot_table(ft: DataFrame, taxonomy: DataFrame, metadata: DataFrame, level
     return attach_metadata(shares, metadata, check)
 
 
+def barplot_all_levels(ft: DataFrame, taxonomy: DataFrame, metadata: DataFrame, max_level: int = 7,
+                       check: bool = True, missing: str = "error") -> DataFrame:
+    """The table behind a plot that offers every rank: ``level, sample_id, taxon, frequency, share`` with the
+    metadata columns. Counts are collapsed to all ranks in one pass; shares add up to one per rank and sample."""
+    counts = collapse_all_levels(ft, taxonomy, max_level, missing=missing)
+    return attach_metadata(relative_abundance(counts, ["level", "sample_id"]), metadata, check)
+
+
 def empty_samples(ft: DataFrame, metadata: DataFrame) -> DataFrame:
     """Metadata samples without any count."""
     return metadata.select("sample_id").join(

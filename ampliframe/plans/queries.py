@@ -803,6 +803,14 @@ def barplot_table(i):
     return tx.barplot_table(i.ft, i.tax, i.meta, 2).withColumn("share", F.round("share", 6))
 
 
+@query(TABLE, f""", c AS (SELECT CAST(lv AS INTEGER) AS level, {prefix_sql('lv')} AS taxon, sample_id, CAST(sum(frequency) AS BIGINT) AS frequency
+FROM ft JOIN tax USING (feature_id), range(1, 6) r(lv) GROUP BY 1, 2, 3)
+SELECT level, sample_id, taxon, frequency, ROUND(CAST(frequency AS DOUBLE) / CAST(sum(frequency) OVER (PARTITION BY level, sample_id) AS DOUBLE), 6) AS share,
+  site, area, depth_m FROM c LEFT JOIN meta USING (sample_id)""")
+def barplot_all_levels(i):
+    return tx.barplot_all_levels(i.ft, i.tax, i.meta, 5).withColumn("share", F.round("share", 6))
+
+
 KINGDOMS = ["D_0__Archaea", "D_0__Bacteria", "Unassigned"]
 
 

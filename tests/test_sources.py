@@ -277,10 +277,12 @@ def test_filters_choose_files(spark, tmp_path):
 
 def test_ragged_text_stops_the_job(spark, tmp_path):
     path = tmp_path / "wide.tsv"
-    for line in ("f2\t1.0", "f3\t1.0\t2.0\t3.0"):
+    for line in ("f2\t1.0", "f3\t1.0\t2.0\t3.0", "# Constructed from biom file"):
         path.write_text(f"# Constructed from biom file\n#OTU ID\ta\tb\nf1\t1.0\t2.0\n{line}\n")
         with pytest.raises(Exception, match="cells"):
             text.read_biom_tsv(spark, str(path)).collect()
+        with pytest.raises(Exception, match="cells"):
+            text.read_biom_tsv(spark, str(path)).filter("a > 0").collect()
         with pytest.raises(Exception, match="cells"):
             text.read_biom_long(spark, str(path)).collect()
 
