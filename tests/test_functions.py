@@ -59,3 +59,13 @@ def test_filter_terms_are_literal_text(spark):
     assert kept(include="D_", exclude="D_4__Mitochondria") == ["3", "4"]
     assert kept(exclude="D_0__Bacteria", mode="exact") == ["1", "2", "3"]
     assert kept() == ["1", "2", "3", "4"]
+
+
+def test_hamming_of_long_and_odd_sequences(spark):
+    from ampliframe.functions import hamming
+    a = "ACGT" * 25
+    pairs = [(a, a, 0), (a, "T" + a[1:-1] + "A", 2), (a, a.translate(str.maketrans("ACGT", "CGTA")), 100), ("", "", 0), ("AC", "AG", 1),
+             (a[:21], a[:20] + "C", 1), (None, "A", None)]
+    rows = spark.createDataFrame([(i, x, y) for i, (x, y, _) in enumerate(pairs)], "i int, a string, b string")
+    found = {r.i: r.d for r in rows.select("i", hamming(F.col("a"), F.col("b")).alias("d")).collect()}
+    assert found == {i: d for i, (_, _, d) in enumerate(pairs)}
