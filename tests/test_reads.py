@@ -75,3 +75,16 @@ def test_contaminants_by_map_equal_the_join(spark, rows):
     assert none.count() == len(some)
     plan = rd.remove_contaminants(df, dirt, ["sample_id", "read_no"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_batches_are_summed_before_the_shuffle(spark):
+    """Many copies of few sequences: a task hands on one row per sequence and chunk, not one per read."""
+    from ampliframe.operators import reads as rd
+    rows = spark.range(4000).selectExpr("'s' AS sample_id", "'F' AS direction", "repeat(substr('ACGT', cast(id % 4 AS int) + 1, 1), 20) AS seq",
+                                        "repeat(char(cast(id % 3 + 40 AS int)), 20) AS qual").coalesce(1)
+    partly = rows.mapInArrow(rd._summed_qualities, "sample_id string, direction string, seq string, n long, sums array<long>")
+    assert partly.count() == 4
+    got = rd.dereplicate(rows.repartition(3)).collect()
+    assert {r.sequence[0] for r in got} == set("ACGT") and all(r.n == 1000 and len(r.mean_quality) == 20 for r in got)
+    want = {c: sum(i % 3 + 7 for i in range(4000) if i % 4 == "ACGT".index(c)) / 1000 for c in "ACGT"}
+    assert all(abs(q - want[r.sequence[0]]) < 1e-9 for r in got for q in r.mean_quality)
