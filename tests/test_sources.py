@@ -311,3 +311,11 @@ def test_repeated_ids_never_multiply_rows(spark, tmp_path, rows):
     assert rows(lookup.attach_metadata(per_sample, meta.limit(1).unionAll(meta.limit(1)))) == [("a", 1, "x")]
     with pytest.raises(Exception, match="different rows for a"):
         lookup.attach_metadata(per_sample, meta).collect()
+
+
+def test_zeros_of_a_wide_table_take_no_room(spark, tmp_path):
+    """300 samples and features with a count each: some 90,000 cells of text, hardly any of it on disk."""
+    ft = spark.range(300).selectExpr("concat('f', id) AS feature_id", "concat('s', id) AS sample_id", "id + 1 AS frequency")
+    sinks.write_biom_tsv(ft, str(tmp_path / "wide"), compression="gzip")
+    assert sum(p.stat().st_size for p in (tmp_path / "wide").glob("part-*")) < 300 * 300
+    assert {(r.feature_id, r.frequency) for r in text.read_biom_long(spark, str(tmp_path / "wide")).collect()} == {(f"f{i}", i + 1.0) for i in range(300)}
