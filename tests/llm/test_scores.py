@@ -281,3 +281,9 @@ def test_long_texts_take_the_own_codec(monkeypatch):
     short = tokens.encode(texts)
     monkeypatch.setattr(cross_tokens, "LONG_TEXT", 5)
     assert tokens.encode(texts) == short
+
+
+def test_sweeps_are_thrown_away_before_any_counts():
+    import inspect
+    from ampliframe.llm import pitman_yor
+    assert inspect.signature(pitman_yor.score_texts).parameters["burn_in"].default >= 1
