@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ampliframe.functions import lineage_prefix, matches_any, parse_terms, split_taxonomy
 from ampliframe.operators.lookup import attach_metadata, semi_keep
+from ampliframe.operators.partitioning import parts_of
 from ampliframe.operators.reshape import to_wide
 
+# Counts of one part while they are collapsed. Parts grow in number with the table, so a task's groups do not.
+COUNTS_PER_PART = 1 << 17
+
 
 def filter_taxonomy(taxonomy: DataFrame, include: str | None = None, exclude: str | None = None,
                     mode: str = "contains") -> DataFrame:
@@ -69,6 +73,14 @@ def _with_lineage(ft: DataFrame, lineages: DataFrame, missing: str) -> DataFrame
     return known.withColumn("taxon", F.when(F.col("_known"), F.col("taxon")).otherwise(complaint)).drop("_known")
 
 
+def _summed(ft: DataFrame, lineages: DataFrame, missing: str, parts: int) -> DataFrame:
+    """Counts per sample and ``taxon`` of the feature, in ``parts`` parts. A group has no more rows than the
+    table has features."""
+    dealt = ft.select("feature_id", "sample_id", "frequency").repartition(parts, "feature_id")
+    return (_with_lineage(dealt, lineages, missing).repartition(parts, "taxon", "sample_id")
+            .groupBy("taxon", "sample_id").agg(F.sum("frequency").alias("frequency")))
+
+
 def collapse_taxa(ft: DataFrame, taxonomy: DataFrame, level: int, pad: str = "__",
                   missing: str = "error") -> DataFrame:
     """Counts per sample of the first ``level`` ranks.
@@ -76,30 +88,40 @@ def collapse_taxa(ft: DataFrame, taxonomy: DataFrame, level: int, pad: str = "__
     Prefixes are cut on the taxonomy, once per feature, not once per count row.
     """
     prefixes = taxonomy.select("feature_id", lineage_prefix(F.col("taxon"), level, pad).alias("taxon"))
-    return (_with_lineage(ft, prefixes, missing).groupBy("taxon", "sample_id")
-            .agg(F.sum("frequency").alias("frequency")))
+    return _summed(ft, prefixes, missing, parts_of(ft, COUNTS_PER_PART))
 
 
 def max_level(taxonomy: DataFrame) -> int:
     return taxonomy.agg(F.max(F.size(split_taxonomy(F.col("taxon"))))).first()[0] or 0
 
 
+def _by_sample(ft: DataFrame, taxonomy: DataFrame, levels: int, pad: str, missing: str) -> DataFrame:
+    """Counts per lineage of ``levels`` ranks and sample, all of a sample in one part: at most a row per lineage."""
+    if ";" in pad:
+        raise ValueError("the pad is a rank, so it holds no ';'")
+    parts = parts_of(ft, COUNTS_PER_PART)
+    whole = taxonomy.select("feature_id", lineage_prefix(F.col("taxon"), levels, pad).alias("taxon"))
+    return _summed(ft, whole, missing, parts).repartition(parts, "sample_id")
+
+
+def _every_level(by_sample: DataFrame, levels: int) -> DataFrame:
+    """Sums at all ranks, without a shuffle: the samples stay where they are."""
+    ranks = F.array(*[F.struct(F.lit(i).alias("level"), F.substring_index("taxon", ";", i).alias("prefix"))
+                      for i in range(1, levels + 1)])
+    return (by_sample.select("sample_id", "frequency", F.inline(ranks))
+            .groupBy("level", F.col("prefix").alias("taxon"), "sample_id")
+            .agg(F.sum("frequency").alias("frequency")))
+
+
 def collapse_all_levels(ft: DataFrame, taxonomy: DataFrame, levels: int | None = None,
                         pad: str = "__", missing: str = "error") -> DataFrame:
     """Counts per sample at every rank.
 
     Counts are first summed per full lineage and sample; only these sums are repeated for
-    the ranks, not every feature row. Prefixes are cut once per distinct lineage.
+    the ranks, not every feature row, and never shuffled again.
     """
-    levels = levels or max_level(taxonomy)
-    full = (_with_lineage(ft, taxonomy.select("feature_id", "taxon"), missing)
-            .groupBy("taxon", "sample_id").agg(F.sum("frequency").alias("frequency")))
-    every = F.transform(F.sequence(F.lit(1), F.lit(levels)), lambda i: F.struct(
-        i.alias("level"), lineage_prefix(F.col("taxon"), i, pad).alias("prefix")))
-    prefixes = taxonomy.select("taxon").distinct().select("taxon", every.alias("prefixes"))
-    return (full.join(prefixes, "taxon").select("sample_id", "frequency", F.inline("prefixes"))
-            .groupBy("level", F.col("prefix").alias("taxon"), "sample_id")
-            .agg(F.sum("frequency").alias("frequency")))
+    levels = levels or max_level(taxonomy) or 1
+    return _every_level(_by_sample(ft, taxonomy, levels, pad, missing), levels)
 
 
 def relative_abundance(counts: DataFrame, by: list[str] | str = "sample_id",
