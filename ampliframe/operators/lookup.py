@@ -23,6 +23,12 @@ def missing_samples(per_sample: DataFrame, metadata: DataFrame) -> DataFrame:
     return per_sample.select("sample_id").distinct().join(metadata, "sample_id", "left_anti")
 
 
+def require_metadata(per_sample: DataFrame, metadata: DataFrame) -> None:
+    lost = [r.sample_id for r in missing_samples(per_sample, metadata).limit(5).collect()]
+    if lost:
+        raise ValueError(f"samples without metadata, among them {lost}")
+
+
 def attach_metadata(per_sample: DataFrame, metadata: DataFrame, check: bool = True) -> DataFrame:
     """Left join on the sample; a table sample that has no metadata is an error, and so is a sample
     with different rows of metadata.
@@ -30,9 +36,7 @@ def attach_metadata(per_sample: DataFrame, metadata: DataFrame, check: bool = Tr
     No broadcast hint: Spark compares the size of the metadata with its threshold.
     """
     if check:
-        lost = [r.sample_id for r in missing_samples(per_sample, metadata).limit(5).collect()]
-        if lost:
-            raise ValueError(f"samples without metadata, among them {lost}")
+        require_metadata(per_sample, metadata)
     return per_sample.join(one_row_per(metadata, "sample_id", "metadata"), "sample_id", "left")
 
 

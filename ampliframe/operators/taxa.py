@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ampliframe.functions import lineage_prefix, matches_any, parse_terms, split_taxonomy
-from ampliframe.operators.lookup import attach_metadata, semi_keep
+from ampliframe.operators.lookup import attach_metadata, one_row_per, require_metadata, semi_keep
 from ampliframe.operators.partitioning import parts_of
 from ampliframe.operators.reshape import to_wide
 
@@ -104,13 +104,13 @@ def _by_sample(ft: DataFrame, taxonomy: DataFrame, levels: int, pad: str, missin
     return _summed(ft, whole, missing, parts).repartition(parts, "sample_id")
 
 
-def _every_level(by_sample: DataFrame, levels: int) -> DataFrame:
-    """Sums at all ranks, without a shuffle: the samples stay where they are."""
+def _every_level(by_sample: DataFrame, levels: int, *of_sample: str) -> DataFrame:
+    """Sums at all ranks, without a shuffle: the samples stay where they are, with what they have in ``of_sample``."""
     ranks = F.array(*[F.struct(F.lit(i).alias("level"), F.substring_index("taxon", ";", i).alias("prefix"))
                       for i in range(1, levels + 1)])
-    return (by_sample.select("sample_id", "frequency", F.inline(ranks))
+    return (by_sample.select("sample_id", "frequency", *of_sample, F.inline(ranks))
             .groupBy("level", F.col("prefix").alias("taxon"), "sample_id")
-            .agg(F.sum("frequency").alias("frequency")))
+            .agg(F.sum("frequency").alias("frequency"), *[F.max(c).alias(c) for c in of_sample]))
 
 
 def collapse_all_levels(ft: DataFrame, taxonomy: DataFrame, levels: int | None = None,
@@ -180,9 +180,21 @@ def barplot_table(ft: DataFrame, taxonomy: DataFrame, metadata: DataFrame, level
 def barplot_all_levels(ft: DataFrame, taxonomy: DataFrame, metadata: DataFrame, max_level: int = 7,
                        check: bool = True, missing: str = "error") -> DataFrame:
     """The table behind a plot that offers every rank: ``level, sample_id, taxon, frequency, share`` with the
-    metadata columns. Counts are collapsed to all ranks in one pass; shares add up to one per rank and sample."""
-    counts = collapse_all_levels(ft, taxonomy, max_level, missing=missing)
-    return attach_metadata(relative_abundance(counts, ["level", "sample_id"]), metadata, check)
+    metadata columns. Counts are collapsed to all ranks in one pass; shares add up to one per rank and sample.
+
+    Every count is in one taxon of each rank, so a sample has one total for all ranks. It is added up, and joined
+    with the metadata, where the sample's counts lie already.
+    """
+    if check:
+        require_metadata(ft if missing == "error" else semi_keep(ft, taxonomy), metadata)
+    by_sample = _by_sample(ft, taxonomy, max_level, "__", missing).filter(F.col("sample_id").isNotNull())
+    with_total = by_sample.withColumn("_total", F.sum("frequency").over(Window.partitionBy("sample_id")))
+    # The hashed side has a row per sample.
+    shares = _every_level(with_total, max_level, "_total").join(
+        one_row_per(metadata, "sample_id", "metadata").hint("shuffle_hash"), "sample_id", "left")
+    share = F.when(F.col("_total") != 0, F.col("frequency") / F.col("_total"))
+    return shares.select("level", "sample_id", "taxon", "frequency", share.alias("share"),
+                         *[shares[f"`{c}`"] for c in metadata.columns if c != "sample_id"])
 
 
 def empty_samples(ft: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -39,15 +39,16 @@ def plot_inputs(spark):
             spark.createDataFrame([(f"s{i}", i) for i in range(7)], "sample_id string, depth int"), counts, dict(lineages))
 
 
-@pytest.mark.parametrize("job", ["collapse_taxa", "collapse_all_levels"])
+@pytest.mark.parametrize("job", ["collapse_taxa", "collapse_all_levels", "barplot_all_levels"])
 def test_parts_of_collapsed_counts_grow_with_the_table(plot_inputs, monkeypatch, job):
     monkeypatch.setattr(tx, "COUNTS_PER_PART", 50)
     ft, tax, meta, _, _ = plot_inputs
-    run = {"collapse_taxa": lambda: tx.collapse_taxa(ft, tax, 2), "collapse_all_levels": lambda: tx.collapse_all_levels(ft, tax)}[job]
+    run = {"collapse_taxa": lambda: tx.collapse_taxa(ft, tax, 2), "collapse_all_levels": lambda: tx.collapse_all_levels(ft, tax),
+           "barplot_all_levels": lambda: tx.barplot_all_levels(ft, tax, meta, 3, check=False)}[job]
     assert run().rdd.getNumPartitions() == 21
 
 
-def test_collapsed_counts_equal_a_plain_count(plot_inputs):
+def test_plot_table_equals_a_plain_count(plot_inputs):
     ft, tax, meta, counts, lineages = plot_inputs
     want, totals = {}, {}
     for feature, sample, n in counts:
@@ -58,3 +59,9 @@ def test_collapsed_counts_equal_a_plain_count(plot_inputs):
             want[key] = want.get(key, 0) + n
     collapsed = {(r.level, r.sample_id, r.taxon): r.frequency for r in tx.collapse_all_levels(ft, tax, 4).collect()}
     assert collapsed == want
+    plot = tx.barplot_all_levels(ft, tax, meta, 4, check=False)
+    assert plot.columns == ["level", "sample_id", "taxon", "frequency", "share", "depth"]
+    assert {(r.level, r.sample_id, r.taxon): (r.frequency, r.share, r.depth) for r in plot.collect()} == {
+        k: (n, n / totals[k[1]], int(k[1][1:])) for k, n in want.items() if k[1] is not None}
+    with pytest.raises(ValueError, match="samples without metadata"):
+        tx.barplot_all_levels(ft, tax, meta, 4)
