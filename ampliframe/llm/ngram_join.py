@@ -9,6 +9,8 @@ pairs are expanded to different sets, filtered by parity signatures and verified
 Only connectivity is returned, so a list of texts that share a prefix shingle is not expanded
 into all its pairs: in a long list texts are first compared with a hub near them, and once those
 links are known, only texts of different components still need comparing.
+
+A step's tables and shuffle files are deleted as soon as the next step has what it needs of them.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ampliframe.llm.common import _arrow_fields, boxed, join_rows, map_rows, plain, split_by, unboxed, without_rows
+from ampliframe.llm.common import _arrow_fields, boxed, join_rows, map_rows, plain, release, split_by, unboxed, without_rows
 from ampliframe.llm.components import components
 from ampliframe.llm.hashing import NOT_SPACE, distinct, run_codes, word_codes
 from ampliframe.operators.partitioning import global_index, salted_join
-from ampliframe.sources.stage import persist_stage
+from ampliframe.sources.stage import persist_stage, temporary_stages
 
 #: Words in a shingle, similarity in percent.
 SHINGLE, PERCENT = 4, 85
@@ -255,21 +257,23 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose texts are similar enough. Few texts that stand in no pair are moved."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    wanted = persist_stage(classes.select("rep", "rep_t").join(wanted.hint("merge"), "rep", "left_semi").select(
-        F.col("rep").alias("doc_id"), F.col("rep_t").alias("_t")), "compared")
-    texts = persist_stage(join_rows(split_by(docs.select("doc_id", "_t", "text"), wanted)[0], wanted, "left_semi")
-                          .dropDuplicates(["doc_id", "_t"]).select("doc_id", "text"), "compared-texts")
-    left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    """The pairs ``a, b`` whose texts are similar enough, stored. Few texts that stand in no pair are moved."""
+    with temporary_stages(docs.sparkSession):
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        wanted = persist_stage(classes.select("rep", "rep_t").join(wanted.hint("merge"), "rep", "left_semi").select(
+            F.col("rep").alias("doc_id"), F.col("rep_t").alias("_t")), "compared")
+        texts = persist_stage(join_rows(split_by(docs.select("doc_id", "_t", "text"), wanted)[0], wanted, "left_semi")
+                              .dropDuplicates(["doc_id", "_t"]).select("doc_id", "text"), "compared-texts")
+        release(docs.sparkSession)
+        left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+        both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [similar(_cached_set(x.as_py()), _cached_set(y.as_py())) for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good, pa.bool_())) for i in (0, 1)], ["a", "b"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                good = [similar(_cached_set(x.as_py()), _cached_set(y.as_py())) for x, y in zip(batch.column(2), batch.column(3))]
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+        return persist_stage(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "similar", keep=True)
 
 
 def _expanded(rows: DataFrame, classes: DataFrame, column: str) -> DataFrame:
@@ -284,19 +288,26 @@ def _roots(docs: DataFrame, classes: DataFrame, groups: DataFrame, counts: np.nd
     several = classes.withColumn("_sets", F.count(F.lit(1)).over(_by("gid"))).filter("_sets > 1")
     inside = several.select(F.lit(1).alias("kind"), F.col("gid").alias("key"), F.lit(0).alias("salt"),
                             F.col("rep").alias("member"), "n")
-    found = persist_stage(_candidates(_tokens(groups, counts).unionAll(inside)), "candidates")
-    pairs = found.filter("what = 0").select("kind", "a", "b").distinct()
-    pairs = persist_stage(_expanded(_expanded(pairs, classes, "a"), classes, "b").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "pairs")
-    possible = persist_stage(_possible(pairs, classes), "possible")
-    links = persist_stage(_verified(possible, docs, classes), "similar")
-    # Long lists are unions of parts, so members are taken by key alone from here on.
-    lists = persist_stage(_expanded(found.filter("what = 1").select("kind", "key", "a").distinct(), classes, "a")
-                          .select("kind", "key", F.col("a").alias("rep")).distinct(), "long-lists")
+    spark = docs.sparkSession
+    with temporary_stages(spark):
+        found = persist_stage(_candidates(_tokens(groups, counts).unionAll(inside)), "candidates")
+        release(spark)
+        # Long lists are unions of parts, so members are taken by key alone from here on.
+        lists = persist_stage(_expanded(found.filter("what = 1").select("kind", "key", "a").distinct(), classes, "a")
+                              .select("kind", "key", F.col("a").alias("rep")).distinct(), "long-lists", keep=True)
+        pairs = found.filter("what = 0").select("kind", "a", "b").distinct()
+        pairs = persist_stage(_expanded(_expanded(pairs, classes, "a"), classes, "b").select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "pairs")
+        release(spark)
+        possible = persist_stage(_possible(pairs, classes), "possible", keep=True)
+    release(spark)
+    links = _verified(possible, docs, classes)
+    release(spark)
     # First one pair per pair of components that may be similar, which connects nearly all; then
     # every such pair that is left, so that a pair that failed hides no other.
     roots = components(links)
     for forest in (True, False):
+        release(spark)
         rest = _remaining(lists, roots, classes, forest).join(possible.hint("merge"), ["a", "b"], "left_anti")
         rest = persist_stage(rest, "possible-rest")
         # The first may find only pairs that were tried; the second must still look behind them.
@@ -377,8 +388,15 @@ def _remaining(lists: DataFrame, roots: DataFrame, classes: DataFrame, forest: b
 # ---------------------------------------------------------------------------------- results
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """``doc_id, _t, n_shingles, component_id``, one row per input row."""
-    counts = bucket_counts(docs)
+    """``doc_id, _t, n_shingles, component_id``, one row per input row, stored."""
+    spark = docs.sparkSession
+    with temporary_stages(spark):
+        release(spark)
+        return persist_stage(_components_of(docs), "components", keep=True)
+
+
+def _components_of(docs: DataFrame) -> DataFrame:
+    spark, counts = docs.sparkSession, bucket_counts(docs)
     rows = persist_stage(_prefixes(docs, counts), "prefixes")
     # One id per different set, one per group of equal prefix and size; null ids name nothing.
     named = rows.filter("n > 0 and doc_id is not null")
@@ -387,9 +405,12 @@ def _placed(docs: DataFrame) -> DataFrame:
     slim = named.select("doc_id", "_t", "n", "p1", "p2", "s1", "s2", "parity")
     first = (salted_join(slim, sets, ["n", "p1", "p2", "s1", "s2"], SALTS)
              .filter("doc_id = rep").groupBy("n", "p1", "p2", "s1", "s2", "rep", "parity").agg(F.min("_t").alias("rep_t")))
-    first = persist_stage(first, "sets")
-    group = first.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"))
-    classes = persist_stage(first.join(group, ["n", "p1", "p2"]), "groups")
+    with temporary_stages(spark):
+        first = persist_stage(first, "sets")
+        release(spark)
+        group = first.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"))
+        classes = persist_stage(first.join(group, ["n", "p1", "p2"]), "groups", keep=True)
+    release(spark)
     heads = classes.filter("rep = gid").select("gid", "n", "p1", "p2").distinct()
     prefix = (rows.select(F.col("doc_id").alias("gid"), "n", "p1", "p2", "prefix").join(
         heads.hint("merge"), ["gid", "n", "p1", "p2"], "left_semi").dropDuplicates(["gid", "n", "p1", "p2"]))
@@ -397,6 +418,7 @@ def _placed(docs: DataFrame) -> DataFrame:
     placed = classes.join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(
         "n", "s1", "s2", F.coalesce("root", "rep").alias("component"))
     slim = rows.select("doc_id", "_t", "n", "s1", "s2")
+    release(spark)
     return salted_join(slim, placed, ["n", "s1", "s2"], SALTS, "left").select(
         "doc_id", "_t", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -428,17 +450,19 @@ def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     without an id, are documents of their own, linked by their texts alone; null ids come last.
     Only ids are joined to the texts."""
     rows = plain(docs, key, text)
-    shared = rows.groupBy("doc_id").agg(F.min("_t").alias("x"), F.max("_t").alias("y")).filter("doc_id is null or x <> y")
-    numbers = None
-    if shared.limit(1).count():
-        rows, numbers = _numbered(rows)
-    placed = persist_stage(_placed(rows), "components")
-    gone = placed.filter("doc_id <> component_id").select("doc_id", "_t").distinct()
-    repeated = placed.groupBy("doc_id", "_t").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id", "_t")
-    if numbers is not None:
-        gone, repeated = (x.select(F.col("doc_id").alias("number")).join(numbers.hint("merge"), "number").select("doc_id", "_t")
-                          for x in (gone, repeated))
-    gone, repeated = persist_stage(gone, "near-copies"), persist_stage(repeated, "repeated")
+    with temporary_stages(docs.sparkSession):
+        shared = rows.groupBy("doc_id").agg(F.min("_t").alias("x"), F.max("_t").alias("y")).filter("doc_id is null or x <> y")
+        numbers = None
+        if shared.limit(1).count():
+            rows, numbers = _numbered(rows)
+        placed = _placed(rows)
+        gone = placed.filter("doc_id <> component_id").select("doc_id", "_t").distinct()
+        repeated = placed.groupBy("doc_id", "_t").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id", "_t")
+        if numbers is not None:
+            gone, repeated = (x.select(F.col("doc_id").alias("number")).join(numbers.hint("merge"), "number").select("doc_id", "_t")
+                              for x in (gone, repeated))
+        gone, repeated = persist_stage(gone, "near-copies", keep=True), persist_stage(repeated, "repeated", keep=True)
+    release(docs.sparkSession)
     kept = without_rows(boxed(docs, key, text), gone)
     if repeated.limit(1).count():
         some, others = split_by(kept, repeated)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ampliframe.llm import bpe, decontaminate, html, line_dedup, ngram_join, packing, quality, queries, spans, token_files, toxicity
 from ampliframe.llm.components import components
+from ampliframe.session import scratch_dir
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 V, P, END = queries.VOCABULARY, queries.PATTERN, queries.END_ID
@@ -502,6 +503,20 @@ def test_ngram_join_corner_cases(spark):
     assert kept.columns == cases.columns and 9 not in {r.doc_id for r in kept.collect()}
 
 
+def test_ngram_join_leaves_only_its_results_stored(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(words[:50 + i % 5])) for i in range(20)], "doc_id long, text string")
+
+    def stored():
+        return {n for n in os.listdir(scratch_dir(spark)) if os.path.isdir(os.path.join(scratch_dir(spark), n))}
+
+    for job, left in ((ngram_join.similar_groups, ["components"]), (ngram_join.drop_similar, ["near-copies", "repeated"])):
+        before = stored()
+        found = job(docs)
+        assert sorted(n.rsplit("-", 1)[0] for n in stored() - before) == left
+        assert found.count() > 0
+
+
 def test_drop_similar_judges_texts_under_one_id_apart(spark):
     words = {c: [f"{c}{j}" for j in range(60)] for c in "abcdefg"}
     whole, near = {c: " ".join(w) for c, w in words.items()}, {c: " ".join([*w[:-1], "other"]) for c, w in words.items()}
