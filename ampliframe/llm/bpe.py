@@ -37,8 +37,8 @@ NEVER = 1 << 62
 class Vocabulary:
     """Tokens by rank, with the merge rule of rank-ordered byte pairs."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], max_prefixes: int = MAX_PREFIXES):
+        self.ranks, self.max_prefixes = ranks, max_prefixes
         self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -200,7 +200,7 @@ def _fill(v: Vocabulary, data: bytes, end: int, last: dict[int, int]) -> int:
             before = v.prefixes.get(prefix)
             if before is None:
                 before = _fill(v, data, begin, last)
-                if len(v.prefixes) >= MAX_PREFIXES:
+                if len(v.prefixes) >= v.max_prefixes:
                     v.prefixes.clear()
                 v.prefixes[prefix] = before
             last[begin] = before
@@ -220,9 +220,9 @@ class _Pieces(dict):
     """Piece of text -> its ids as little-endian 32-bit integers. A full memory becomes the older
     generation, from which pieces that occur again move back; so frequent ones stay."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, most: int):
         super().__init__()
-        self.vocabulary, self.older = vocabulary, {}
+        self.vocabulary, self.most, self.older = vocabulary, most, {}
 
     def __missing__(self, piece: str) -> bytes:
         packed = self.older.get(piece)
@@ -237,7 +237,7 @@ class _Pieces(dict):
                 ids = PrefixTable(self.vocabulary, data).ids()
             packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= MAX_CACHED_CHARS:
-            if len(self) >= MAX_CACHED:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[piece] = packed
@@ -260,13 +260,14 @@ def _narrow_pattern(pattern: str, limit: int) -> str:
 
 
 class Codec:
-    """Encodes texts piece by piece (every match of ``pattern`` by itself) and decodes ids."""
+    """Encodes texts piece by piece (every match of ``pattern`` by itself) and decodes ids. Of pieces up to twice
+    ``cached`` are remembered; fewer take less memory and more time."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.vocabulary = Vocabulary(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = MAX_CACHED):
+        self.vocabulary = Vocabulary(ranks, min(MAX_PREFIXES, cached))
         self.find = regex.compile(pattern).findall
         self.find_ascii, self.find_latin = (re.compile(_narrow_pattern(pattern, n)).findall for n in (128, 256))
-        self.pieces = _Pieces(self.vocabulary)
+        self.pieces = _Pieces(self.vocabulary, cached)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -301,31 +302,31 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line.strip())}
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple[str, str, int], Codec] = {}
 
 
-def codec(content: bytes, pattern: str) -> Codec:
-    """One codec per Python worker and vocabulary."""
-    name = (hashlib.sha256(content).hexdigest(), pattern)
+def codec(content: bytes, pattern: str, cached: int = MAX_CACHED) -> Codec:
+    """One codec per Python worker, vocabulary and memory of pieces."""
+    name = (hashlib.sha256(content).hexdigest(), pattern, cached)
     if name not in _codecs:
-        _codecs[name] = Codec(parse_ranks(content), pattern)
+        _codecs[name] = Codec(parse_ranks(content), pattern, cached)
     return _codecs[name]
 
 
 class SharedCodec:
     """A codec for use inside tasks: the vocabulary is broadcast, tables are built once per worker."""
 
-    def __init__(self, spark, path: str, pattern: str):
-        self.content, self.pattern = spark.sparkContext.broadcast(read_vocabulary(path)), pattern
+    def __init__(self, spark, path: str, pattern: str, cached: int = MAX_CACHED):
+        self.content, self.pattern, self.cached = spark.sparkContext.broadcast(read_vocabulary(path)), pattern, cached
         self._codec = None
 
     def get(self) -> Codec:
         if self._codec is None:
-            self._codec = codec(self.content.value, self.pattern)
+            self._codec = codec(self.content.value, self.pattern, self.cached)
         return self._codec
 
     def __getstate__(self):
-        return {"content": self.content, "pattern": self.pattern, "_codec": None}
+        return {"content": self.content, "pattern": self.pattern, "cached": self.cached, "_codec": None}
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id",
@@ -355,9 +356,9 @@ def decode_ids(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     return map_rows(encoded.select("doc_id", "ids"), work, "doc_id long, ids binary, decoded binary")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, cached: int = MAX_CACHED) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encoded, decoded and digested in one pass."""
-    shared = SharedCodec(docs.sparkSession, vocabulary, pattern)
+    shared = SharedCodec(docs.sparkSession, vocabulary, pattern, cached)
 
     def work(rows):
         c = shared.get()

@@ -11,6 +11,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -146,6 +147,25 @@ def test_bpe_of_odd_texts_appends_and_edits(tokens):
         assert edited.last == bpe.PrefixTable(codec.vocabulary, data[:i] + b"xy" + data[i + 3:]).last
 
 
+def test_codec_remembers_no_more_than_it_is_told(tokens, texts):
+    own, _ = tokens
+    codec = bpe.codec(bpe.read_vocabulary(V), P, 300)
+    for text in list(texts.values())[:60]:
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == own.encode_ordinary(text)
+        assert max(map(len, (codec.pieces, codec.pieces.older, codec.vocabulary.prefixes))) <= 300
+    assert len(codec.pieces.older) == 300
+
+
+def test_batches_for_python_are_closed_by_their_size(spark):
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_pydict({"rows": [b.num_rows], "size": [b.nbytes]}) for b in batches)
+
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.col("id").cast("string"), 2000).alias("text"))
+    found = texts.mapInArrow(sizes, "rows long, size long").collect()
+    assert sum(r.rows for r in found) == 3000
+    assert max(r.size for r in found) < 5 << 20
+
+
 def test_bpe_corner_cases(spark):
     rows = {(r.doc_id, r.n_tokens) for r in bpe.round_trip(corner_cases(spark), V, P).collect()}
     assert {(0, 0), (1, 0)} <= rows and bpe.round_trip(empty(spark), V, P).count() == 0
