@@ -182,14 +182,13 @@ def short_ids(v: Vocabulary, data: bytes) -> list[int]:
 
 
 def _fill(v: Vocabulary, data: bytes, end: int, last: dict[int, int]) -> int:
-    ranks, pairs = v.ranks, v.pairs
+    token_of, pairs = v.ranks.get, v.pairs
     # No token with this ending is longer than its reach.
     begin = end - v.reach.get(data[end - 3:end] if end >= 3 else data[:end], 2)
     for begin in range(begin if begin > 0 else 0, end):
-        part = data[begin:end]
-        if part not in ranks:
+        token = token_of(data[begin:end])
+        if token is None:
             continue
-        token = ranks[part]
         if not begin:
             if v.whole(token):
                 break

@@ -107,20 +107,20 @@ def packed_rows(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, len
         first = TaskContext.get().partitionId() << 33
         codec = shared.get()
         width = "<u2" if max(end_id, len(codec.vocabulary.tokens) - 1) < 1 << 16 else "<u4"
-        pieces, tokens, made = [], 0, 0
+        filler, pieces, tokens, made = np.array([end_id], width).tobytes(), [], 0, 0
 
         def flush():
             nonlocal pieces, tokens, made
-            for rows in _chunks(best_fit_decreasing([len(p[2]) for p in pieces], length), 512):
-                out = [_row(first + made + i, [pieces[j] for j in row], length, end_id, width) for i, row in enumerate(rows)]
+            sizes = [len(p[2]) // len(filler) for p in pieces]
+            for rows in _chunks(best_fit_decreasing(sizes, length), 512):
+                yield _batch(first + made, rows, pieces, sizes, length, filler, fields)
                 made += len(rows)
-                yield pa.RecordBatch.from_pylist(out, schema=fields)
             pieces, tokens = [], 0
 
         for batch in batches:
-            for doc, value in zip(batch.column(0), batch.column(1)):
+            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.append(np.frombuffer(codec.encode(value.as_py()), "<u4"), end_id).astype(width)
-                pieces += [(doc.as_py(), no, piece) for no, piece in enumerate(split_lossless(ids, length))]
+                pieces += [(doc, no, piece.tobytes()) for no, piece in enumerate(split_lossless(ids, length))]
                 tokens += len(ids)
                 if tokens >= BLOCK_TOKENS or len(pieces) >= BLOCK_PIECES:
                     yield from flush()
@@ -134,14 +134,25 @@ def _chunks(rows: list, size: int) -> Iterator[list]:
         yield rows[i:i + size]
 
 
-def _row(number: int, pieces: list[tuple], length: int, end_id: int, width: str) -> dict:
-    ids = np.full(length, end_id, width)
-    edges = np.cumsum([0, *(len(p[2]) for p in pieces)]).tolist()
-    for (a, b), piece in zip(zip(edges, edges[1:]), pieces):
-        ids[a:b] = piece[2]
-    return {"pack_id": number, "ids": ids.tobytes(), "n_tokens": edges[-1], "doc_ids": [p[0] for p in pieces],
-            "part_nos": [p[1] for p in pieces], "cu_seqlens": edges, "position_resets": edges[:-1],
-            "position_starts": [p[1] * length for p in pieces]}
+def _batch(number: int, rows: list[list[int]], pieces: list[tuple], sizes: list[int], length: int, filler: bytes,
+           fields: pa.Schema) -> pa.RecordBatch:
+    """Rows (places in ``pieces``) numbered from ``number``, a column at a time; ``filler`` is one id's bytes."""
+    order, per_row = [i for row in rows for i in row], np.array([len(row) for row in rows])
+    offsets = np.concatenate([[0], np.cumsum(per_row)])
+    before = np.concatenate([[0], np.cumsum([sizes[i] for i in order])])
+    n_tokens, resets = np.diff(before[offsets]), before[:-1] - np.repeat(before[offsets[:-1]], per_row)
+    parts = np.array([pieces[i][1] for i in order])
+    ids = [b"".join([pieces[i][2] for i in row]) + filler * (length - n) for row, n in zip(rows, n_tokens.tolist())]
+
+    def lists(values, name: str, offsets=offsets) -> pa.ListArray:
+        kind = fields.field(name).type
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind.value_type), type=kind)
+
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.arange(number, number + len(rows))), pa.array(ids, pa.binary()), pa.array(n_tokens, pa.int32()),
+        lists([pieces[i][0] for i in order], "doc_ids"), lists(parts, "part_nos"),
+        lists(np.insert(resets, offsets[1:], n_tokens), "cu_seqlens", offsets + np.arange(len(offsets))),
+        lists(resets, "position_resets"), lists(parts * length, "position_starts")], schema=fields)
 
 
 def write_packed(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, length: int = 2048,

@@ -293,6 +293,18 @@ def test_packing_is_lossless_and_best_fit(spark, docs, tokens):
     assert {i: sum((p[k] for k in sorted(p)), []) for i, p in parts.items()} == {i: x + [END] for i, x in ids.items()}
 
 
+def test_packed_rows_are_made_a_column_at_a_time():
+    long, short = pa.list_(pa.int64()), pa.list_(pa.int32())
+    fields = pa.schema([("pack_id", pa.int64()), ("ids", pa.binary()), ("n_tokens", pa.int32()), ("doc_ids", long), ("part_nos", short),
+                        ("cu_seqlens", short), ("position_resets", short), ("position_starts", long)])
+    ids = [np.arange(n, dtype="<u2") for n in (5, 3, 2, 1)]
+    pieces = [(doc, no, x.tobytes()) for (doc, no), x in zip([(7, 0), (7, 1), (None, 0), (9, 0)], ids)]
+    got = packing._batch(40, [[0], [1, 2], [3]], pieces, [5, 3, 2, 1], 5, np.array([99], "<u2").tobytes(), fields).to_pylist()
+    assert [np.frombuffer(r.pop("ids"), "<u2").tolist() for r in got] == [[0, 1, 2, 3, 4], [0, 1, 2, 0, 1], [0, 99, 99, 99, 99]]
+    assert [tuple(r.values()) for r in got] == [(40, 5, [7], [0], [0, 5], [0], [0]), (41, 5, [7, None], [1, 0], [0, 3, 5], [0, 3], [5, 0]),
+                                                (42, 1, [9], [0], [0, 1], [0], [0])]
+
+
 def test_best_fit_takes_the_fullest_row():
     make = random.Random(2)
     for _ in range(50):
