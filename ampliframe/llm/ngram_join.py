@@ -395,25 +395,34 @@ def _placed(docs: DataFrame) -> DataFrame:
         return persist_stage(_components_of(docs), "components", keep=True)
 
 
+def _rows_of(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Of ``rows`` one for each of ``heads`` (``doc_id, _t``, each once and found among the rows). Nearly all rows are
+    wanted, so the other keys, and those of repeated rows, are marked: a row that is certainly none of them stays
+    where it lies."""
+    keys = rows.groupBy("doc_id", "_t").agg(F.count(F.lit(1)).alias("_times"))
+    others = persist_stage(join_rows(keys, heads, "left_anti").select("doc_id", "_t").unionAll(
+        keys.filter("_times > 1").select("doc_id", "_t")).distinct(), "not-heads")
+    maybe, sure = split_by(rows, others)
+    return sure.unionAll(join_rows(maybe, heads, "left_semi").dropDuplicates(["doc_id", "_t"]))
+
+
 def _components_of(docs: DataFrame) -> DataFrame:
     spark, counts = docs.sparkSession, bucket_counts(docs)
     rows = persist_stage(_prefixes(docs, counts), "prefixes")
-    # One id per different set, one per group of equal prefix and size; null ids name nothing.
+    # One id per different set, one per group of equal prefix and size; null ids name nothing. Texts under one id
+    # that differ but in words outside the rules share the set; take one. Copies are added up before they are moved.
     named = rows.filter("n > 0 and doc_id is not null")
-    sets = named.groupBy("n", "p1", "p2", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    # Texts under one id that differ but in words outside the rules share the set; take one.
-    slim = named.select("doc_id", "_t", "n", "p1", "p2", "s1", "s2", "parity")
-    first = (salted_join(slim, sets, ["n", "p1", "p2", "s1", "s2"], SALTS)
-             .filter("doc_id = rep").groupBy("n", "p1", "p2", "s1", "s2", "rep", "parity").agg(F.min("_t").alias("rep_t")))
+    first = named.groupBy("n", "p1", "p2", "s1", "s2").agg(
+        F.min(F.struct("doc_id", "_t")).alias("_first"), F.min("parity").alias("parity")).select(
+        "n", "p1", "p2", "s1", "s2", F.col("_first.doc_id").alias("rep"), "parity", F.col("_first._t").alias("rep_t"))
     with temporary_stages(spark):
         first = persist_stage(first, "sets")
         release(spark)
         group = first.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"))
         classes = persist_stage(first.join(group, ["n", "p1", "p2"]), "groups", keep=True)
     release(spark)
-    heads = classes.filter("rep = gid").select("gid", "n", "p1", "p2").distinct()
-    prefix = (rows.select(F.col("doc_id").alias("gid"), "n", "p1", "p2", "prefix").join(
-        heads.hint("merge"), ["gid", "n", "p1", "p2"], "left_semi").dropDuplicates(["gid", "n", "p1", "p2"]))
+    heads = classes.filter("rep = gid").groupBy("gid", "n", "p1", "p2").agg(F.min("rep_t").alias("_t")).select(F.col("gid").alias("doc_id"), "_t")
+    prefix = _rows_of(rows.select("doc_id", "_t", "n", "prefix"), heads).select(F.col("doc_id").alias("gid"), "n", "prefix")
     roots = _roots(docs, classes, prefix, counts)
     placed = classes.join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(
         "n", "s1", "s2", F.coalesce("root", "rep").alias("component"))

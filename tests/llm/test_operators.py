@@ -535,6 +535,15 @@ def test_ngram_join_corner_cases(spark):
     assert kept.columns == cases.columns and 9 not in {r.doc_id for r in kept.collect()}
 
 
+def test_ngram_join_leaves_prefixes_of_heads_where_they_lie(spark):
+    rows = spark.range(0, 400, 1, 4).selectExpr("id as doc_id", "id * 3 as _t", "spark_partition_id() as part")
+    rows = rows.unionAll(rows.filter("doc_id = 5"))  # one that is repeated
+    heads = rows.filter("doc_id % 10 <> 0").select("doc_id", "_t").distinct()
+    got = ngram_join._rows_of(rows, heads).select("doc_id", "part", F.spark_partition_id().alias("now")).collect()
+    assert sorted(r.doc_id for r in got) == [i for i in range(400) if i % 10]
+    assert sum(r.part != r.now for r in got) <= 5  # the repeated one, and those that share a bit by chance
+
+
 def test_ngram_join_leaves_only_its_results_stored(spark):
     words = [f"w{i}" for i in range(60)]
     docs = spark.createDataFrame([(i, " ".join(words[:50 + i % 5])) for i in range(20)], "doc_id long, text string")
