@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,6 +13,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from ampliframe.llm import cross_tokens, pitman_yor, queries, search
+from ampliframe.session import scratch_dir
 
 from .test_operators import SF, corner_cases, docs, empty, texts  # noqa: F401
 
@@ -76,6 +78,19 @@ def test_small_blocks_and_hot_words_change_no_probability_but_by_chance(spark, m
         assert abs(r.base_score - one[r.doc_id].base_score) < 1e-6 * abs(r.base_score)
 
 
+def test_pairs_are_deleted_before_the_answers_are_made(spark, monkeypatch):
+    seen, packed = [], pitman_yor._packed
+
+    def watched(*args):
+        seen.extend(n for n in os.listdir(scratch_dir(spark).removeprefix("file:")) if n.startswith(("pitman-yor-pairs", "pitman-yor-tables")))
+        return packed(*args)
+
+    monkeypatch.setattr(pitman_yor, "_packed", watched)
+    rows = [(i, "a b a b c") for i in range(10)]
+    same_base(pitman_yor.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect(), brute_base(rows))
+    assert not seen
+
+
 def test_scorer_gives_a_distribution():
     """The last step by itself: over all dishes and the unknown word the probabilities of a context are one."""
     import pyarrow as pa
