@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -302,3 +303,27 @@ def test_sweeps_are_thrown_away_before_any_counts():
     import inspect
     from ampliframe.llm import pitman_yor
     assert inspect.signature(pitman_yor.score_texts).parameters["burn_in"].default >= 1
+
+
+def test_rows_are_gathered_by_their_bytes(monkeypatch):
+    """A row that names thousands of blocks weighs as many numbers; rows of one block are put together as before."""
+    def sizes(blocks, n=40):
+        batch = pa.RecordBatch.from_pydict({"key": pa.array(range(n), pa.int64()), "blocks": pa.array([list(range(blocks))] * n, pa.list_(pa.int64()))})
+        return [t.num_rows for t in pitman_yor._gathered(iter([batch] * 20))]
+
+    assert sizes(1) == [800]
+    heavy = sizes(20_000)
+    assert sum(heavy) == 800 and max(heavy) < 200
+    monkeypatch.setattr(pitman_yor, "ROWS", 100)
+    assert sizes(1) == [120] * 6 + [80]
+
+
+def test_restaurants_of_many_tables_are_sampled_in_parts(monkeypatch):
+    """The tables drawn are the same, however many rows are held at a time."""
+    n = 300
+    rows = [np.full(n, 5000), np.full(n, 900.0), np.full(n, 0.2), 0.7, np.arange(n, dtype=np.uint64) * np.uint64(7919)]
+    whole, widths, seat_many = pitman_yor.seat(*rows), [], pitman_yor._seat_many
+    monkeypatch.setattr(pitman_yor, "CELLS", 50 * pitman_yor.PARTICLES)
+    monkeypatch.setattr(pitman_yor, "_seat_many", lambda c, *rest: widths.append(len(c)) or seat_many(c, *rest))
+    assert (pitman_yor.seat(*rows) == whole).all()
+    assert sum(widths) == n and max(widths) == 50

@@ -82,3 +82,14 @@ def test_scratch_does_not_grow_with_rounds(spark):
     assert {(r.state, r.rounds) for r in rates.select("state", "rounds").distinct().collect()} == {("settled", 1)} or rates.first().state == "settled"
     with pytest.warns(RuntimeWarning):
         assert dn.learn_error_model(uniques, max_iter=1).first().state == "stopped"
+
+
+def test_stored_tables_are_cut_into_row_groups(spark, monkeypatch):
+    """A task holds one row group while it writes, and a file is read in parts only between them."""
+    import pyarrow.parquet as pq
+
+    from ampliframe.sources import stage as stages
+    monkeypatch.setattr(stages, "ROW_GROUP", 1 << 16)
+    table = persist_stage(spark.range(0, 200_000, 1, 1).selectExpr("id", "xxhash64(id) AS h"), "groups")
+    assert table.count() == 200_000
+    assert sum(pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).num_row_groups for f in table.inputFiles()) > 4
